@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import crosssplit, history, runs, spans
+from tracelake.llm import crosssplit, history, neighbours, runs, spans
 from tracelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def queries() -> dict[str, Query]:
         "p4_collapsed": lambda s, d: runs.collapse_presses(table(s, d, "segments")),
         "p5_found": lambda s, d: history.found(table(s, d, "episodes"), table(s, d, "shard_episodes")),
         "p5_batches": lambda s, d: history.batches(table(s, d, "episodes"), table(s, d, "shard_episodes")),
+        "p7_found": lambda s, d: neighbours.found(table(s, d, "diversity_features"), table(s, d, "frame_tokens"), table(s, d, "encoders")),
+        "p7_neighbours": lambda s, d: neighbours.listed(table(s, d, "diversity_features"), table(s, d, "frame_tokens"), table(s, d, "encoders")),
     }
 
 
