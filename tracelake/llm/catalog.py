@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import crosssplit, history, neighbours, runs, spans
+from tracelake.llm import crosssplit, history, leaks, neighbours, runs, spans
 from tracelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "p5_batches": lambda s, d: history.batches(table(s, d, "episodes"), table(s, d, "shard_episodes")),
         "p7_found": lambda s, d: neighbours.found(table(s, d, "diversity_features"), table(s, d, "frame_tokens"), table(s, d, "encoders")),
         "p7_neighbours": lambda s, d: neighbours.listed(table(s, d, "diversity_features"), table(s, d, "frame_tokens"), table(s, d, "encoders")),
+        "p8_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_reparameterised": lambda s, d: leaks.reparameterised(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_leaked_items": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
     }
 
 
