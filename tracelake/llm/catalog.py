@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import crosssplit, history, leaks, neighbours, runs, spans
+from tracelake.llm import crosssplit, history, leaks, mixing, neighbours, packing, runs, spans, subset
 from tracelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,15 +18,22 @@ def queries() -> dict[str, Query]:
         "p1_segments": lambda s, d: spans.shared_per_segment(table(s, d, "segments")),
         "p2_found": lambda s, d: crosssplit.found(table(s, d, "segments")),
         "p2_by_source": lambda s, d: crosssplit.by_source(table(s, d, "segments")),
+        "p3_pack": lambda s, d: packing.placed(table(s, d, "episodes"), table(s, d, "shard_targets")),
+        "p3_shards": lambda s, d: packing.shards(table(s, d, "episodes"), table(s, d, "shard_targets")),
         "p4_found": lambda s, d: runs.long_presses(table(s, d, "segments")),
         "p4_collapsed": lambda s, d: runs.collapse_presses(table(s, d, "segments")),
         "p5_found": lambda s, d: history.found(table(s, d, "episodes"), table(s, d, "shard_episodes")),
         "p5_batches": lambda s, d: history.batches(table(s, d, "episodes"), table(s, d, "shard_episodes")),
+        "p6_subset": lambda s, d: subset.chosen(table(s, d, "diversity_features"), table(s, d, "subset_requests")),
+        "p6_coverage": lambda s, d: subset.coverage(table(s, d, "diversity_features"), table(s, d, "subset_requests")),
         "p7_found": lambda s, d: neighbours.found(table(s, d, "diversity_features"), table(s, d, "frame_tokens"), table(s, d, "encoders")),
         "p7_neighbours": lambda s, d: neighbours.listed(table(s, d, "diversity_features"), table(s, d, "frame_tokens"), table(s, d, "encoders")),
         "p8_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_reparameterised": lambda s, d: leaks.reparameterised(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_leaked_items": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p9_uses": lambda s, d: mixing.document_uses(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p9_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "source_targets")),
     }
 
 
