@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import crosssplit, history, leaks, mixing, neighbours, packing, runs, spans, subset
+from tracelake.llm import crosssplit, history, leaks, mixing, neighbours, packing, runs, spans, subjects, subset
 from tracelake.llm.common import table
 
+SUBJECTS = ("documents", "subject_labels", "subject_areas", "eval_items")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,6 +35,8 @@ def queries() -> dict[str, Query]:
         "p9_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "source_targets")),
         "p9_uses": lambda s, d: mixing.document_uses(table(s, d, "documents"), table(s, d, "source_targets")),
         "p9_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p10_found": lambda s, d: subjects.found(*(table(s, d, t) for t in SUBJECTS)),
+        "p10_make_up": lambda s, d: subjects.make_up(*(table(s, d, t) for t in SUBJECTS)),
     }
 
 
