@@ -8,7 +8,9 @@ differ by at most the radius in every pivot distance. The table keeps these dist
 Pivot distances alone prune too little to join on: for long records they crowd together. So the ranges are keyed: a
 history record is entered once per block, d + 1 disjoint blocks of up to 8 steps, one of which any near-same record must
 hold whole and at most d places away. The join is on the block with the ranges of all pivot distances, the place and the
-arrival number as further conditions, all inside the join. What passes is verified with the true metric.
+arrival number as further conditions, all inside the join. Pairs that pass are held against the profile, 16 counts that give
+the best bound of all pivots repeating a union of id groups, before any sequence is moved; what is left is verified
+with the true metric.
 
 A batch costs the postings of the batch, one pass of the join over the posting table, and the verification of its own
 candidates: history is neither cut nor verified again, its rows are only appended.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -30,6 +32,7 @@ from tracelake.llm.edits import SHARE, longest_partner, near_same, radius
 from tracelake.plans.staging import spread, stage
 
 PIVOTS = 4
+GROUPS = 16  # of action ids, for the profile: four packed BIGINTs of four counts each
 BLOCK = 8
 SURE = BLOCK * (SHARE + 2)  # from this length on all near-same records have blocks of BLOCK steps
 POSTING = "key bigint, no bigint, n int, place int, " + ", ".join(f"c{k} int" for k in range(PIVOTS))
@@ -80,6 +83,29 @@ def _postings(probe: bool):
     return post
 
 
+def profile(actions: Column) -> list[Column]:
+    """Steps per group of ids (id modulo GROUPS), packed; counts stop at 32767, which keeps them valid bounds."""
+    def count(g: int) -> Column:
+        n = F.size(F.filter(actions, lambda v: F.pmod(F.coalesce(v, F.lit(-1)), F.lit(GROUPS)) == g))
+        return F.least(n, F.lit(32767)).cast("bigint")
+
+    return [(count(4 * i) + F.shiftleft(count(4 * i + 1), 16) + F.shiftleft(count(4 * i + 2), 32) + F.shiftleft(count(4 * i + 3), 48)).alias(f"g{i}") for i in range(GROUPS // 4)]
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles allow them: the surplus of either side, summed over the groups, is the best bound of all pivots that
+    repeat a union of groups. In numpy, as one JVM expression of this length is beyond what the JIT compiles."""
+    for b in batches:
+        more = less = np.zeros(b.num_rows, dtype=np.int64)
+        for i in range(GROUPS // 4):
+            x, y = (np.asarray(b.column(f"{side}{i}")).view(np.uint64) for side in "po")
+            for k in range(0, 64, 16):
+                d = (x >> np.uint64(k) & np.uint64(0xFFFF)).astype(np.int64) - (y >> np.uint64(k) & np.uint64(0xFFFF)).astype(np.int64)
+                more, less = more + np.maximum(d, 0), less + np.maximum(-d, 0)
+        keep = pa.array(np.maximum(more, less) <= np.asarray(b.column("reach")))
+        yield pa.RecordBatch.from_arrays([b.column("new").filter(keep), b.column("old").filter(keep)], names=["new", "old"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         (x, xo), (y, yo) = flat(b.column("new_actions")), flat(b.column("old_actions"))
@@ -101,6 +127,12 @@ def near_pairs(new: DataFrame, old: DataFrame, old_postings: DataFrame) -> DataF
     for c in ("n", "place", *[f"c{k}" for k in range(PIVOTS)]):
         on &= F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= reach
     pairs = stage(a.join(b, on).select(F.col("a.no").alias("new"), F.col("b.no").alias("old")).distinct(), "pairs")
+    of = lambda rows, c: stage(rows.select(F.col("no").alias(c), F.size("actions").alias(f"n_{c}"), *profile(F.col("actions"))), "profiles")
+    p = of(new, "new")
+    o = (p.withColumnRenamed("new", "old").withColumnRenamed("n_new", "n_old") if old is new else of(old, "old"))
+    rename = lambda df, side: df.withColumnsRenamed({f"g{i}": f"{side}{i}" for i in range(GROUPS // 4)})
+    joined = pairs.join(rename(p, "p"), "new").join(rename(o, "o"), "old").withColumn("reach", F.floor(F.greatest("n_new", "n_old") / SHARE)).drop("n_new", "n_old")
+    pairs = stage(joined.mapInArrow(_close, "new bigint, old bigint"), "close")
     both = pairs.join(new.select(F.col("no").alias("new"), F.col("actions").alias("new_actions")), "new").join(
         old.select(F.col("no").alias("old"), F.col("actions").alias("old_actions")), "old")
     return spread(both, "new", "old").mapInArrow(_verify, "new bigint, old bigint")
