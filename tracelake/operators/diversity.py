@@ -9,6 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def summed(m: Column) -> Column:
+    """A count map whose repeated keys (files can hold them) are one key with the sum of their counts."""
+    keys = F.map_keys(m)
+    once = F.array_distinct(keys)
+    total = lambda k: F.aggregate(F.filter(F.map_entries(m), lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda t, e: t + e["value"])
+    return F.when(F.size(once) == F.size(keys), m).otherwise(F.map_from_arrays(once, F.transform(once, total)))
+
+
 def js_distance(a: Column, b: Column) -> Column:
     """Root of the Jensen-Shannon divergence (base 2) of two count maps; null if either is null or empty. One pass over the union of keys."""
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda t, v: t + v)

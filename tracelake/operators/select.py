@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -78,7 +79,7 @@ def balanced_shards(df: DataFrame, key: list[str], stratum: str, length: str, ui
 
     import pandas as pd
 
-    schema = df.select(*key, stratum, length, uid).schema.add("shard", "int")
+    schema = df.select(*key, stratum, length, uid).schema.add("shard", T.IntegerType())
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([stratum, length, uid], ascending=[True, False, True], na_position="first")

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gaussian(dx: Column, dy: Column, sigma: float | Column) -> Column:
@@ -84,7 +85,7 @@ def nearest_code(vectors: DataFrame, uid: str, vec: str, codes: dict[int, list[f
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[at].astype(np.int32)), pa.array(np.sqrt(np.maximum(d[np.arange(len(x)), at], 0)))], names=[uid, "code", "distance"])
 
     t = vectors.select(uid, vec).where(F.col(vec).isNotNull())
-    return t.mapInArrow(assign, t.select(uid).schema.add("code", "int").add("distance", "double"))
+    return t.mapInArrow(assign, t.select(uid).schema.add("code", T.IntegerType()).add("distance", T.DoubleType()))
 
 
 def lloyd_step(vectors: DataFrame, uid: str, vec: str, codes: dict[int, list[float]]) -> DataFrame:
