@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import crosssplit, history, leaks, mixing, neighbours, packing, runs, spans, subjects, subset
+from tracelake.llm import crosssplit, history, leaks, mixing, neighbours, packing, runs, spans, sql, subjects, subset
 from tracelake.llm.common import table
 
 SUBJECTS = ("documents", "subject_labels", "subject_areas", "eval_items")
@@ -41,4 +41,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": sql.P1_FOUND, "p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p4_collapsed": sql.P4_COLLAPSED, "p5_found": sql.P5_FOUND,
+        "p7_found": sql.P7_FOUND, "p8_found": sql.P8_FOUND, "p8_leaked_items": sql.P8_LEAKED_ITEMS,
+    }

@@ -248,7 +248,7 @@ def _scan(trees: dict[str, Tree], probes: dict[str, tuple[list[str], np.ndarray]
 OUT = "grp string, q string, m string, value double"
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, unit: bool = False, most: float | None = None, queries: Column | None = None, recall: float = 0.95, leaf: int = 400, sample: int = 40_000, probes: int = 100) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, unit: bool = False, most: float | None = None, queries: Column | None = None, recall: float = 0.95, leaf: int = 400, sample: int = 20_000, probes: int = 100) -> DataFrame:
     """grp, q, m, value: for every row (or those of ``queries``) its k nearest others of the same group.
 
     vectors: grp STRING, id STRING (unique per group), vec ARRAY<FLOAT> (one length per group, no nulls). unit: cosine (vectors not zero) instead of the root
@@ -327,7 +327,7 @@ def states(features: DataFrame, bins: int = 20, width: int = 8) -> DataFrame:
 
 def tokens(frames: DataFrame, encoders: DataFrame) -> DataFrame:
     """grp (encoder), id, vec of the usable vectors: token_dim numbers, not all zero. Repeated token_id once."""
-    rows = frames.where("token_id IS NOT NULL AND vec IS NOT NULL").join(encoders.select(F.col("checkpoint_sha256").alias("encoder_sha256"), "token_dim"), "encoder_sha256")
+    rows = frames.select("token_id", "encoder_sha256", "vec").where("token_id IS NOT NULL AND vec IS NOT NULL").join(encoders.select(F.col("checkpoint_sha256").alias("encoder_sha256"), "token_dim"), "encoder_sha256")
     rows = rows.where((F.size("vec") == F.col("token_dim")) & F.forall("vec", _finite) & F.exists("vec", lambda v: v != 0))
     return rows.select(F.col("encoder_sha256").alias("grp"), F.col("token_id").cast("string").alias("id"), "vec")
 
