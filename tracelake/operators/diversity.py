@@ -132,7 +132,7 @@ def select_diverse(candidates: DataFrame, references: DataFrame, least: float, d
                 pool.append(c)
         return pd.DataFrame(out, columns=["path", "accepted", "reason", "distance"])
 
-    return both.groupBy(F.lit(0) if whole_pool else F.col("weapon")).applyInPandas(run, "path string, accepted boolean, reason string, distance double")
+    return both.withColumn("_group", F.lit(None).cast("string") if whole_pool else F.col("weapon")).groupBy("_group").applyInPandas(run, "path string, accepted boolean, reason string, distance double")
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

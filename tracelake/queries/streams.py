@@ -56,6 +56,6 @@ def stream_seal(spark, d):
 @query()
 def corridor_searches(spark, d):
     """Searches over the toy simulator, one task per seed, replayed for validity."""
-    from tracelake.operators.search import searches
+    from tracelake.operators.search import Config, searches
 
-    return searches(spark, 12)
+    return searches(spark, 12, config=Config(rollouts=32, length=8, settle=3))
