@@ -137,7 +137,8 @@ def test_leaks(spark, make):
     w = lambda s: re.findall("[a-z0-9]+", (s or "").lower())
     want = set()
     for i, text, _ in docs:
-        grams = {tuple(w(text)[k : k + 12]) for k in range(len(w(text)) - 11)}
+        words_of = w(text)
+        grams = {tuple(words_of[k : k + 12]) for k in range(len(words_of) - 11)}
         want |= {(i, n) for n, s, _ in ITEMS if any(tuple(w(s)[k : k + 12]) in grams for k in range(len(w(s)) - 11))}
     assert sorted(tuple(r) for r in leaks.found(t, items(spark)).collect()) == sorted(want)
     plain = leaks.template_hits(t, items(spark), few=0, capitals=False)  # the way for more templates than are sent to the tasks
