@@ -53,6 +53,12 @@ def tasks(spark: SparkSession) -> int:
     return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """The scan as it is where it has enough splits for the cores, else spread evenly (as a single small file needs for work bound by CPU)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(tasks(df.sparkSession))
+
+
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Hash-partition by ``keys`` into a fixed number of tasks that adaptive execution doesn't coalesce."""
     return df.repartition(tasks(df.sparkSession), *keys)

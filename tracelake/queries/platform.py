@@ -264,21 +264,25 @@ js AS (SELECT a, b, sqrt(greatest(0, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (
 
 def _features(spark, d):
     f = table(spark, d, "diversity_features").dropDuplicates(["uid"])
-    return f.withColumns({"weapon": F.regexp_replace(F.lower("weapon"), "[^a-z0-9]+", ""), "ngrams": diversity.summed(C("ngrams"))})
+    return f.withColumn("weapon", F.regexp_replace(F.lower("weapon"), "[^a-z0-9]+", ""))
 
 
 def _neighbours(spark, d):
-    """Pairs of consecutive records of a weapon, with both sides' features."""
-    f = _features(spark, d).where("weapon <> '' AND size(ngrams) > 0 AND size(state) = 20")
-    w = Window.partitionBy("weapon").orderBy("uid")
-    cols = ["uid", "length", "ngrams", "state"]
-    return f.select(*[C(c).alias(f"{c}_a") for c in cols], *[F.lead(c).over(w).alias(f"{c}_b") for c in cols]).where("uid_b IS NOT NULL")
+    """Consecutive records (a, b) of a weapon, among those with n-grams and full states."""
+    f = _features(spark, d).where("weapon <> '' AND size(ngrams) > 0 AND size(state) = 20").select("uid", "weapon")
+    return f.select(C("uid").alias("a"), F.lead("uid").over(Window.partitionBy("weapon").orderBy("uid")).alias("b")).where("b IS NOT NULL")
+
+
+def _js(spark, d):
+    """Long form: n-grams are rows, and a pair only joins those that both sides hold. Repeated keys of a map count together."""
+    grams = _features(spark, d).select("uid", F.explode("ngrams").alias("gram", "n")).groupBy("uid", "gram").agg(F.sum("n").alias("n"))
+    return diversity.js_pairs(grams, "uid", "gram", "n", _neighbours(spark, d))
 
 
 @query(f"WITH {_DIV} SELECT a, b, round(js, 5) AS js FROM js")
 def js_distance(spark, d):
     """Jensen-Shannon distance of the n-grams of consecutive records of a weapon."""
-    return _neighbours(spark, d).select(C("uid_a").alias("a"), C("uid_b").alias("b"), F.round(diversity.js_distance(C("ngrams_a"), C("ngrams_b")), 5).alias("js"))
+    return _js(spark, d).withColumn("js", F.round("js", 5))
 
 
 _STATE = """s AS (SELECT js.a, js.b, js.js, x.length AS la, y.length AS lb, flatten(x.state) AS sa, flatten(y.state) AS sb FROM js JOIN f x ON x.uid = js.a JOIN f y ON y.uid = js.b),
@@ -286,9 +290,11 @@ z AS (SELECT a, b, 0.45 * sqrt(list_avg(list_transform(list_zip(sa, sb), lambda
 
 
 def _distances(spark, d):
-    n = _neighbours(spark, d)
-    dist = diversity.diversity_distance(diversity.state_rms(F.transform("state_a", lambda r: r.cast("array<double>")), F.transform("state_b", lambda r: r.cast("array<double>"))), diversity.js_distance(C("ngrams_a"), C("ngrams_b")), diversity.duration_gap(C("length_a"), C("length_b")))
-    return n.select(C("uid_a").alias("a"), C("uid_b").alias("b"), dist.alias("distance")).where("distance IS NOT NULL")
+    f = _features(spark, d).select("uid", "length", F.flatten("state").cast("array<double>").alias("state"))
+    side = lambda n: f.select(C("uid").alias(n), C("length").alias(f"length_{n}"), C("state").alias(f"state_{n}"))
+    both = _js(spark, d).join(side("a"), "a").join(side("b"), "b").where(F.size("state_a") == F.size("state_b"))
+    rms = diversity.state_rms(F.array("state_a"), F.array("state_b"))
+    return both.select("a", "b", diversity.diversity_distance(rms, C("js"), diversity.duration_gap(C("length_a"), C("length_b"))).alias("distance"))
 
 
 @query(f"WITH {_DIV}, {_STATE} SELECT a, b, round(distance, 5) AS distance FROM z")
