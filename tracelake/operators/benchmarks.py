@@ -96,9 +96,9 @@ def histogram_gaps(df: DataFrame, value: str, width: float = 64, share: float =
     bins = max(1, math.ceil((ends[1] - ends[0]) / width))
     b = F.least(F.floor((F.col(value) - F.lit(ends[0])) / width), F.lit(bins - 1)).cast("bigint")
     n = df.where(F.col(value).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
-    most = n.agg(F.max("n").alias("most"))
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(n, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return every.join(F.broadcast(most), F.lit(True)).where(F.col("n") < share * F.col("most")).select("bin", "n")
+    most = F.max("n").over(Window.partitionBy())  # one row per bin
+    return every.withColumn("most", most).where(F.col("n") < share * F.col("most")).select("bin", "n")
 
 
 def density(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:

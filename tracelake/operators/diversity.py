@@ -76,7 +76,7 @@ def ngrams(bits: Column) -> Column:
 def nearest_earlier(df: DataFrame, uid: str, stratum: str, vec: str) -> DataFrame:
     """For every row its nearest earlier row (smaller uid), of the same stratum if there is one, else of all.
 
-    Rows of a stratum meet in Arrow blocks: each row as a query is sent to the blocks of its own stratum only; rows that open their
+    Strata are few (weapons, labels). Rows of a stratum meet in Arrow blocks: each row as a query is sent to the blocks of its own stratum only; rows that open their
     stratum (one per stratum) meet all blocks. No pair of rows is emitted, only the best per block."""
     import numpy as np
     import pyarrow as pa
@@ -87,8 +87,8 @@ def nearest_earlier(df: DataFrame, uid: str, stratum: str, vec: str) -> DataFram
     tagged = rows.join(firsts, "stratum").join(blocks, "stratum").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
     members = tagged.select("stratum", "block", "uid", "vec", F.lit(False).alias("asks"))
     own = tagged.where("uid <> first").select("stratum", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "uid", "vec", F.lit(True).alias("asks"))
-    every = blocks.select("stratum", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    opening = tagged.where("uid = first").select("uid", "vec").join(F.broadcast(every), F.lit(True)).select("stratum", "block", "uid", "vec", F.lit(True).alias("asks"))  # one row a stratum
+    every = blocks.select("stratum", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).agg(F.collect_list(F.struct("stratum", "block")).alias("b")).withColumn("k", F.lit(0))
+    opening = tagged.where("uid = first").select("uid", "vec", F.lit(0).alias("k")).join(F.broadcast(every), "k").select(F.inline("b"), "uid", "vec", F.lit(True).alias("asks"))  # one row a stratum
 
     def best(part: pa.Table) -> pa.Table:
         asks = np.asarray(part.column("asks").to_pylist(), dtype=bool)

@@ -71,4 +71,6 @@ def bootstrap_gap(gaps: DataFrame, value: str, rounds: int = 1000, seed: int = 0
     means = t.groupBy("_round").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
     tail = (1 - level) / 2
     ci = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return gaps.agg(F.avg(value).alias("mean")).join(F.broadcast(ci), F.lit(True))  # one row each
+    none = F.lit(None).cast("double")
+    both = gaps.agg(F.avg(value).alias("mean")).select("mean", none.alias("low"), none.alias("high")).unionByName(ci.select(none.alias("mean"), "low", "high"))  # one row each
+    return both.agg(F.max("mean").alias("mean"), F.max("low").alias("low"), F.max("high").alias("high"))

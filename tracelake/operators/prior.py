@@ -32,9 +32,8 @@ def prior(counts: DataFrame, actions: DataFrame, smooth: float = 0.0) -> DataFra
     actions: one column, the table of actions (a fixed few). Columns: prev, next, n, p."""
     name = actions.columns[0]
     a = actions.select(F.col(name).alias("prev"))
-    # the grid of the fixed action table is made by exploding it onto itself
-    nexts = a.agg(F.sort_array(F.collect_set("prev")).alias("all"))
-    grid = a.join(F.broadcast(nexts), F.lit(True)).select("prev", F.explode("all").alias("next"))
+    # the grid of the fixed action table: every action with the set of all, exploded
+    grid = a.withColumn("_all", F.collect_set("prev").over(Window.partitionBy())).select("prev", F.explode("_all").alias("next"))
     dense = grid.join(counts, ["prev", "next"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     row, size = F.sum("n").over(Window.partitionBy("prev")), F.count("*").over(Window.partitionBy("prev"))
     return dense.withColumn("p", F.when(row > 0, (1 - smooth) * F.col("n") / row + smooth / size).otherwise(1 / size))
