@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.identity import effective_split, side, trace_name
+from tracelake.plans.staging import spread
 
 BUTTONS = 9
 NO_STEP = -1  # code of a step that is null
@@ -33,14 +34,15 @@ def step_codes(actions: Column) -> Column:
 def segment_codes(segments: DataFrame) -> DataFrame:
     """One row per segment (uid): uid, trace, codes, skip, side, split. Rows without uid or actions are left out.
 
-    Codes are made before the shuffle, so what moves is two bytes a step and not nested arrays. A null ``src_trace``
+    Codes are made before the shuffle, so what moves is two bytes a step and not nested arrays; the one exchange, by uid, also
+    serves what follows (windows and aggregations by uid, work per record). A null ``src_trace``
     counts as the trace named ``''``."""
     trace = F.coalesce(trace_name(F.col("src_trace")), F.lit(""))
     split = effective_split(F.col("split"), trace)
     rows = segments.where(F.col("uid").isNotNull() & F.col("actions").isNotNull()).select(
         "uid", trace.alias("trace"), step_codes(F.col("actions")).alias("codes"), "skip", split.alias("split"), side(split).alias("side")
     )
-    return rows.dropDuplicates(["uid"])
+    return spread(rows, "uid").dropDuplicates(["uid"])
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

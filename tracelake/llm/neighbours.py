@@ -257,8 +257,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, unit: bool = False, most
     ordered by id. An empty table gives an empty result."""
     spark = vectors.sparkSession
     raw = vectors.select("grp", "id", "vec", (F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)).alias("query"))
-    coded = raw.mapInArrow(_encode, "grp string, id string, query boolean, dim int, code binary").dropDuplicates(["grp", "id"])
-    rows = stage(spread(coded.withColumns({"h": F.xxhash64("code"), "h2": F.xxhash64("code", F.lit(1)), "salt": F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int")}), "grp", "id"), "vectors")
+    coded = raw.mapInArrow(_encode, "grp string, id string, query boolean, dim int, code binary")
+    coded = spread(coded, "grp", "id").dropDuplicates(["grp", "id"])
+    rows = stage(coded.withColumns({"h": F.xxhash64("code"), "h2": F.xxhash64("code", F.lit(1)), "salt": F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int")}), "vectors")
     key = ["grp", "h", "h2"]
     multi = stage(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.max("query").alias("any")).where("n > 1"), "copies")
     few_classes = multi.count() <= 100_000

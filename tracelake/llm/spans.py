@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import as_text, flat, gram_hashes, segment_codes, starts_inside
-from tracelake.plans.staging import spread, stage, tasks
+from tracelake.plans.staging import stage, tasks
 
 PIECE = "key bigint, uid string, trace string, start int, text string"
 
@@ -94,7 +94,7 @@ def located(records: DataFrame, span: int = 64, k: int = 24, phrases_per_shard:
     """Intervals (uid, lo, hi) covered by windows of ``span`` steps that occur under at least two traces.
 
     records: uid, trace, codes. Records shorter than ``span`` share nothing."""
-    pieces = stage(spread(records.select("uid", "trace", "codes"), "uid").mapInArrow(_cut(span, k), PIECE), "pieces")
+    pieces = stage(records.select("uid", "trace", "codes").mapInArrow(_cut(span, k), PIECE), "pieces")
     lo_hi = lambda c, d: (F.min(c).alias("a"), F.max(d).alias("b"))
     keys = pieces.groupBy("key").agg(*lo_hi("trace", "trace")).where("a <> b").select("key")
     cand = stage(pieces.join(keys, "key", "left_semi"), "candidates")

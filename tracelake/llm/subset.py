@@ -109,7 +109,7 @@ def clustered(features: DataFrame, k: int = 48, sample: int = 20_000) -> DataFra
     num = F.transform(F.flatten("state"), lambda v: F.coalesce(v, F.lit(0.0)).cast("float"))
     rows = features.where("uid IS NOT NULL").select("uid", weapon_name(F.col("weapon")).alias("weapon"), F.coalesce(num, F.array().cast("array<float>")).alias("state"),
         F.coalesce(F.map_keys("ngrams"), F.array().cast("array<string>")).alias("grams"), F.coalesce(F.transform(F.map_values("ngrams"), lambda v: F.coalesce(v, F.lit(0))), F.array().cast("array<bigint>")).alias("counts"))
-    rows = stage(spread(rows.dropDuplicates(["uid"]), "uid"), "features")
+    rows = stage(spread(rows, "uid").dropDuplicates(["uid"]), "features")
     n = rows.count()
     if not n:
         return rows.select("uid", "weapon", F.lit(0).alias("cluster"))
