@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.plans.staging import stage, tasks
+from tracelake.plans.staging import parallel, stage
 
 TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the public pattern of this vocabulary
@@ -49,7 +49,7 @@ def _counter(path: str):
 def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id, source (one spelling), tokens of each document; null or empty text has 0. One row per doc_id."""
     rows = documents.where("doc_id IS NOT NULL").select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    counted = rows.repartition(tasks(documents.sparkSession)).mapInArrow(_counter(f"{tokenizers}/{vocabulary}"), "doc_id bigint, source string, tokens bigint")
+    counted = parallel(rows).mapInArrow(_counter(f"{tokenizers}/{vocabulary}"), "doc_id bigint, source string, tokens bigint")
     return counted.groupBy("doc_id").agg(F.max_by(F.struct("source", "tokens"), F.struct("tokens", "source")).alias("v")).select("doc_id", "v.source", "v.tokens")
 
 
@@ -138,6 +138,6 @@ def shares(documents: DataFrame, targets: DataFrame, size: int | None = None, to
     planned = plan(counts, targets, size)
     got = uses(counts, planned).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"))
     both = planned.join(got, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    total = both.agg(F.sum("used").alias("total"))
-    return both.join(total, F.lit(True)).select("source", "target_share", "max_repeats", "available", "used",
+    return both.withColumn("total", F.sum("used").over(Window.partitionBy())).select(  # one row per source
+        "source", "target_share", "max_repeats", "available", "used",
         F.try_divide("used", "total").alias("share"), F.try_divide("used", "available").alias("repeats"))
