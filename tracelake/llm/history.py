@@ -34,6 +34,7 @@ from tracelake.plans.staging import spread, stage
 PIVOTS = 4
 GROUPS = 16  # of action ids, for the profile: four packed BIGINTs of four counts each
 BLOCK = 8
+FEW = 500_000  # ids sent to all tasks at most; more are joined
 SURE = BLOCK * (SHARE + 2)  # from this length on all near-same records have blocks of BLOCK steps
 POSTING = "key bigint, no bigint, n int, place int, " + ", ".join(f"c{k} int" for k in range(PIVOTS))
 
@@ -127,6 +128,9 @@ def near_pairs(new: DataFrame, old: DataFrame, old_postings: DataFrame) -> DataF
     for c in ("n", "place", *[f"c{k}" for k in range(PIVOTS)]):
         on &= F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= reach
     pairs = stage(a.join(b, on).select(F.col("a.no").alias("new"), F.col("b.no").alias("old")).distinct(), "pairs")
+    if old is not new:  # of history only what is in a pair is looked at again
+        ids = pairs.select(F.col("old").alias("no")).distinct()
+        old = stage(old.select("no", "actions").join(F.broadcast(ids) if ids.count() <= FEW else ids, "no", "left_semi"), "met")
     of = lambda rows, c: stage(rows.select(F.col("no").alias(c), F.size("actions").alias(f"n_{c}"), *profile(F.col("actions"))), "profiles")
     p = of(new, "new")
     o = (p.withColumnRenamed("new", "old").withColumnRenamed("n_new", "n_old") if old is new else of(old, "old"))
@@ -143,7 +147,7 @@ def records(episodes: DataFrame) -> DataFrame:
     are null). Rows without uid or arrival number are left out."""
     rows = episodes.where(F.col("uid").isNotNull() & F.col("staged_no").isNotNull()).select(
         "uid", F.col("staged_no").alias("no"), "batch_no", hex64(F.col("fingerprint")).alias("fp"), "actions", "source_trace")
-    return rows.dropDuplicates(["uid"]).withColumn("same", F.sha2(F.col("actions").cast("string").cast("binary"), 256))
+    return spread(rows, "uid").dropDuplicates(["uid"]).withColumn("same", F.sha2(F.col("actions").cast("string").cast("binary"), 256))
 
 
 def judged(episodes: DataFrame, published: DataFrame) -> DataFrame:
