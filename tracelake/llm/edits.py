@@ -9,7 +9,12 @@ longer side's q-grams all but q * d are found in the other.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from tracelake.llm.common import mix64
+
+PIVOTS = 4  # halves of the code space, by bits of a hash
 SHARE = 10  # one edit in so many steps of the longer sequence
 
 
@@ -68,3 +73,23 @@ def profiles_apart(a: np.ndarray, b: np.ndarray) -> int:
 def near_same(a: np.ndarray, b: np.ndarray) -> bool:
     most = max(len(a), len(b)) // SHARE
     return abs(len(a) - len(b)) <= most and profiles_apart(a, b) <= most and distance(a.tolist(), b.tolist(), most) <= most
+
+
+def pivot_counts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per record the number of its steps in each of PIVOTS fixed halves of the code space, 16 bits each in one BIGINT. Counts stop at 65535,
+    which keeps every bound that differences of counts give."""
+    bits = mix64(codes.astype(np.int64).view(np.uint64) + np.uint64(0x51ED))
+    out = np.zeros(len(offsets) - 1, dtype=np.uint64)
+    for k in range(PIVOTS):
+        total = np.r_[0, np.cumsum((bits >> np.uint64(k)) & np.uint64(1)).astype(np.int64)]
+        out |= np.minimum(total[offsets[1:]] - total[offsets[:-1]], 65535).astype(np.uint64) << np.uint64(16 * k)
+    return out.view(np.int64)
+
+
+def within_reach(a: str, b: str, reach: Column) -> Column:
+    """Do the packed counts of two columns differ by at most ``reach`` in every pivot?"""
+    ok = F.lit(True)
+    for k in range(PIVOTS):
+        x, y = (F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(0xFFFF) for c in (a, b))
+        ok &= F.abs(x - y) <= reach
+    return ok
