@@ -28,15 +28,14 @@ from pyspark.sql.utils import AnalysisException
 
 from tracelake.functions.identity import hex64
 from tracelake.llm.common import flat, gram_hashes, mix64
-from tracelake.llm.edits import SHARE, longest_partner, near_same, radius
+from tracelake.llm.edits import SHARE, longest_partner, near_same, pivot_counts, radius, within_reach
 from tracelake.plans.staging import spread, stage
 
-PIVOTS = 4
 GROUPS = 16  # of action ids, for the profile: four packed BIGINTs of four counts each
 BLOCK = 8
 FEW = 500_000  # ids sent to all tasks at most; more are joined
 SURE = BLOCK * (SHARE + 2)  # from this length on all near-same records have blocks of BLOCK steps
-POSTING = "key bigint, no bigint, n int, place int, " + ", ".join(f"c{k} int" for k in range(PIVOTS))
+POSTING = "key bigint, no bigint, at bigint, pivots bigint"  # at: length of the record << 32 | place of the block
 
 
 def block_steps(n: np.ndarray) -> np.ndarray:
@@ -44,15 +43,6 @@ def block_steps(n: np.ndarray) -> np.ndarray:
     return np.minimum(BLOCK, n // (radius(longest_partner(n)) + 1))
 
 
-def _pivot_counts(codes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    bits = mix64(codes.astype(np.int64).view(np.uint64) + np.uint64(0x51ED))
-    out = []
-    for k in range(PIVOTS):
-        total = np.r_[0, np.cumsum((bits >> np.uint64(k)) & np.uint64(1)).astype(np.int64)]
-        out.append((total[offsets[1:]] - total[offsets[:-1]]).astype(np.int32))
-    return out
-
-
 def _postings(probe: bool):
     """Postings of history (its blocks) or of a batch (all its grams that could equal a block)."""
 
@@ -60,7 +50,7 @@ def _postings(probe: bool):
         for b in batches:
             codes, offsets = flat(b.column("actions"))
             n = np.diff(offsets)
-            counts, no = _pivot_counts(codes, offsets), np.asarray(b.column("no"))
+            counts, no = pivot_counts(codes, offsets), np.asarray(b.column("no"))
             for size in range(1, BLOCK + 1):
                 if probe:
                     fits = (n >= SURE) & (size == BLOCK)
@@ -77,9 +67,7 @@ def _postings(probe: bool):
                 j = np.arange(per.sum()) - (np.cumsum(per) - per)[rec]
                 place = j if probe else j * n[rec] // per[rec]
                 key = mix64(gram_hashes(codes, size)[offsets[:-1][rec] + place] + np.uint64(size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(no[rec]), pa.array(n[rec].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(c[rec]) for c in counts]],
-                    names=["key", "no", "n", "place", *[f"c{k}" for k in range(PIVOTS)]])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(no[rec]), pa.array(n[rec] << 32 | place), pa.array(counts[rec])], names=["key", "no", "at", "pivots"])
 
     return post
 
@@ -123,10 +111,9 @@ def near_pairs(new: DataFrame, old: DataFrame, old_postings: DataFrame) -> DataF
     """Pairs (new, old) of near-same rows with old.no < new.no. new, old: no BIGINT (unique), actions ARRAY<BIGINT>."""
     probes = spread(new.select("no", "actions"), "no").mapInArrow(_postings(True), POSTING)
     a, b = probes.alias("a"), old_postings.alias("b")
-    reach = F.floor(F.greatest("a.n", "b.n") / SHARE)
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.no") < F.col("a.no"))
-    for c in ("n", "place", *[f"c{k}" for k in range(PIVOTS)]):
-        on &= F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= reach
+    (na, pa_), (nb, pb) = ((F.shiftright(f"{s}.at", 32), F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF)) for s in "ab")
+    reach = F.floor(F.greatest(na, nb) / SHARE)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.no") < F.col("a.no")) & (F.abs(na - nb) <= reach) & (F.abs(pa_ - pb) <= reach) & within_reach("a.pivots", "b.pivots", reach)
     pairs = stage(a.join(b, on).select(F.col("a.no").alias("new"), F.col("b.no").alias("old")).distinct(), "pairs")
     if old is not new:  # of history only what is in a pair is looked at again
         ids = pairs.select(F.col("old").alias("no")).distinct()
