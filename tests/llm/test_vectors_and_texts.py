@@ -107,6 +107,21 @@ def test_subset_sizes_and_variety(spark):
     assert len(share) == len(set(group.values())) and share[0] < 0.45 * 60  # the large group has two thirds of all records
 
 
+def test_clusters_are_fitted_on_all_records(spark):
+    from pyspark.sql import functions as F
+
+    # 40,000 records of three kinds, and eight of a fourth that a draw of 20,000 by hash would all miss
+    t = spark.range(40_000).select("id", F.concat(F.lit("u"), "id").alias("uid"), F.lit("laser").alias("weapon"))
+    missed = t.where(F.pmod(F.xxhash64("uid", F.lit(9)), F.lit(1 << 30)) >= (1 << 29)).orderBy("id").limit(8)
+    rare = {r.uid for r in missed.collect()}
+    kind = F.when(F.col("uid").isin(*rare), "u:9").otherwise(F.concat(F.lit("u:"), F.col("id") % 3 + 3))
+    df = t.select("uid", "weapon", F.create_map(kind, F.lit(50).cast("bigint")).alias("ngrams"), F.lit(None).cast("array<array<float>>").alias("state"))
+    of = {r.uid: r.cluster for r in subset.clustered(df, k=4).collect()}
+    assert len(of) == 40_000 and len(set(of.values())) == 4
+    own = {of[u] for u in rare}
+    assert len(own) == 1 and {u for u, c in of.items() if c in own} == rare
+
+
 def test_quotas():
     assert subset.quotas({1: 100, 2: 1, 3: 25}, 10) == {1: 6, 2: 1, 3: 3}
     assert sum(subset.quotas({i: i * i for i in range(1, 9)}, 57).values()) == 57

@@ -1,7 +1,7 @@
-"""Choosing a varied subset: mini-batch k-means, square-root quotas per cluster, sampling within the quotas.
+"""Choosing a varied subset: k-means, square-root quotas per cluster, sampling within the quotas.
 
-A record's vector joins its state signature, the hashed frequencies of its n-grams and its weapon. Mini-batch k-means is
-fitted on a bounded sample (``sample`` records by hash of the uid), every record is assigned. Of a request the clusters get places in
+A record's vector joins its state signature, the hashed frequencies of its n-grams and its weapon. K-means is seeded by
+k-means|| and fitted in passes over all records: each task sums up its own, the sums are merged. Of a request the clusters get places in
 proportion to the square root of their size, unused places go to the others by the same rule, and within a cluster records are
 drawn in hash order. Ranks are counted over hash buckets, so a cluster that holds most records is never one task.
 """
@@ -29,55 +29,148 @@ def weapon_name(c: Column) -> Column:
     return F.when(clean != "", clean)
 
 
-def _vectors(b: pa.RecordBatch) -> np.ndarray:
-    """Missing parts of a record are 0: absent states and bins, absent n-grams, unknown weapon."""
-    n = b.num_rows
-    out = np.zeros((n, DIM), dtype=np.float32)
-    values, offsets = flat(b.column("state"))  # already flattened rows of numbers
-    lengths = np.minimum(np.diff(offsets), BINS * WIDTH)
-    rec = np.repeat(np.arange(n), lengths)
-    place = np.arange(lengths.sum()) - (np.cumsum(lengths) - lengths)[rec]
-    out[rec, place] = np.nan_to_num(values[offsets[:-1][rec] + place].astype(np.float32), posinf=0, neginf=0)
-    (counts, offsets), (keys, _) = flat(b.column("counts")), flat(b.column("grams"))
-    rec = np.repeat(np.arange(n), np.diff(offsets))
-    names, code = np.unique(keys.astype(str), return_inverse=True) if len(keys) else (np.zeros(0, str), np.zeros(0, int))
-    slot = np.array([xxhash.xxh3_64_intdigest(k) % GRAMS for k in names], dtype=np.int64)
-    if len(rec):
-        np.add.at(out, (rec, BINS * WIDTH + slot[code]), np.nan_to_num(counts.astype(np.float32)))
-    part = out[:, BINS * WIDTH : BINS * WIDTH + GRAMS]
-    part[:] = np.sqrt(np.maximum(part, 0) / np.maximum(part.sum(1, keepdims=True), 1)) * 2
-    for i, w in enumerate(b.column("weapon").to_pylist()):
-        if w:
-            out[i, BINS * WIDTH + GRAMS + xxhash.xxh3_64_intdigest(w) % 8] = 1
-    return out
-
-
-def mini_batch_kmeans(x: np.ndarray, k: int, batch: int = 512, steps: int = 150, seed: int = 3) -> np.ndarray:
-    """Centres by mini-batches, each centre with its own falling rate; far points start it (k-means++)."""
-    rng = np.random.default_rng(seed)
-    k = max(1, min(k, len(x)))
-    centres = [x[rng.integers(len(x))]]
-    near = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < k and near.sum() > 0:
-        centres.append(x[rng.choice(len(x), p=near / near.sum())])
-        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(1))
-    c, n = np.array(centres, dtype=np.float64), np.zeros(len(centres))
-    for _ in range(steps):
-        b = x[rng.integers(len(x), size=batch)]
-        at = ((c**2).sum(1)[None] - 2 * b @ c.T).argmin(1)
-        for j in np.unique(at):
-            mine = b[at == j]
-            n[j] += len(mine)
-            c[j] += (mine.mean(0) - c[j]) * len(mine) / n[j]
-    return c.astype(np.float32)
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary column: of every row its ``lengths`` values, one row after the other."""
+    ends = np.concatenate([[0], np.cumsum(lengths * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a column made by ``_packed``."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], dtype=kind, count=int(ends[-1] - ends[0]) // size, offset=int(ends[0])), np.diff(ends) // size
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as packed numbers, made once for all passes: the state, and dimension and value of what isn't 0 of the rest.
+
+    Missing parts of a record are 0: absent states and bins, absent n-grams, unknown weapon."""
+    for b in batches:
+        n = b.num_rows
+        state = np.zeros((n, BINS * WIDTH), dtype=np.float32)
+        values, offsets = flat(b.column("state"))  # already flattened rows of numbers
+        lengths = np.minimum(np.diff(offsets), BINS * WIDTH)
+        rec = np.repeat(np.arange(n), lengths)
+        place = np.arange(lengths.sum()) - (np.cumsum(lengths) - lengths)[rec]
+        state[rec, place] = np.nan_to_num(values[offsets[:-1][rec] + place].astype(np.float32), posinf=0, neginf=0)
+        (counts, offsets), (keys, _) = flat(b.column("counts")), flat(b.column("grams"))
+        rec = np.repeat(np.arange(n), np.diff(offsets))
+        names, code = np.unique(keys.astype(str), return_inverse=True) if len(keys) else (np.zeros(0, str), np.zeros(0, int))
+        slot = np.array([BINS * WIDTH + xxhash.xxh3_64_intdigest(k) % GRAMS for k in names], dtype=np.int64)
+        at, once = np.unique(rec * DIM + slot[code], return_inverse=True)  # a dimension once a record
+        count = np.maximum(np.bincount(once, np.nan_to_num(counts.astype(np.float64)), len(at)), 0)
+        rec, dim = at // DIM, at % DIM
+        value = np.sqrt(count / np.maximum(np.bincount(rec, count, n), 1)[rec]) * 2
+        weapon = [(i, BINS * WIDTH + GRAMS + xxhash.xxh3_64_intdigest(w) % 8) for i, w in enumerate(b.column("weapon").to_pylist()) if w]
+        own = np.array(weapon, dtype=np.int64).reshape(-1, 2)
+        rec, dim, value = np.concatenate([rec, own[:, 0]]), np.concatenate([dim, own[:, 1]]), np.concatenate([value, np.ones(len(own))])
+        order, lengths = np.argsort(rec, kind="stable"), np.bincount(rec, minlength=n)
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("weapon"), _packed(state, np.full(n, BINS * WIDTH)), _packed(dim[order].astype(np.int32), lengths), _packed(value[order].astype(np.float32), lengths)], names=["uid", "weapon", "state", "dims", "vals"])
+
+
+def _vectors(b: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Blocks of the batch with their vectors, as many rows at once as take 32 MB."""
+    step = max(1, (1 << 23) // dim)
+    for i in range(0, b.num_rows, step):
+        part = b.slice(i, step)
+        out = np.zeros((part.num_rows, dim), dtype=np.float32)
+        out[:, : BINS * WIDTH] = _unpacked(part.column("state"), np.float32)[0].reshape(part.num_rows, -1)
+        (dims, lengths), (vals, _) = _unpacked(part.column("dims"), np.int32), _unpacked(part.column("vals"), np.float32)
+        out[np.repeat(np.arange(part.num_rows), lengths), dims] = vals
+        yield part, out
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row, and the square of its distance (0 also where only rounding differs)."""
+    d = (c**2).sum(1)[None] - 2 * x @ c.T
+    at, own = d.argmin(1), (x**2).sum(1)
+    near = d[np.arange(len(x)), at] + own
+    return at, np.where(near > 1e-5 * (1 + own), near, 0)
+
+
+def _draw(rows: DataFrame, dim: int, centres: np.ndarray | None, n: int, seed: int) -> np.ndarray:
+    """n rows out of all, without replacement, drawn in proportion to the squared distance from the centres (without centres evenly)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, vecs = np.zeros(0), np.zeros((0, dim), dtype=np.float32)
+        for b in batches:
+            for part, x in _vectors(b, dim):
+                u = (part.column("h").to_numpy(zero_copy_only=False) + 1) / (1 << 40)
+                w = np.ones(len(x)) if centres is None else _nearest(x, centres)[1].astype(np.float64)
+                key = np.where(w > 0, -np.log(u) / np.maximum(w, 1e-300), np.inf)
+                keys, vecs = np.concatenate([keys, key]), np.concatenate([vecs, x])
+                best = np.argsort(keys, kind="stable")[:n]
+                best = best[np.isfinite(keys[best])]
+                keys, vecs = keys[best], vecs[best]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), _packed(vecs, np.full(len(keys), dim))], names=["key", "vec"])
+
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 40)))
+    got = hashed.mapInArrow(draw, "key double, vec binary").orderBy("key").limit(n).collect()
+    return np.array([np.frombuffer(r.vec, dtype=np.float32) for r in got]).reshape(-1, dim)
+
+
+def _totals(rows: DataFrame, dim: int, centres: np.ndarray) -> list:
+    """Per centre with records: cluster, n, cost (squared distances), sums of the vectors. A task gives a row per centre, merged by centre."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(centres)
+        n, cost, sums = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((k, dim))
+        for b in batches:
+            for _, x in _vectors(b, dim):
+                at, near = _nearest(x, centres)
+                n += np.bincount(at, minlength=k)
+                cost += np.bincount(at, near, k)
+                for j in np.unique(at):
+                    sums[j] += x[at == j].sum(0, dtype=np.float64)
+        has = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(n[has]), pa.array(cost[has]), _packed(sums[has], np.full(len(has), dim))], names=["cluster", "n", "cost", "sums"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("cost").to_numpy(), kind="stable")  # sums don't depend on the order of arrival
+        total = np.array([np.frombuffer(v.as_py(), dtype=np.float64) for v in t.column("sums").combine_chunks()])[order].sum(0)
+        return pa.table({"cluster": t.column("cluster")[:1], "n": [int(t.column("n").to_numpy().sum())], "cost": [float(t.column("cost").to_numpy()[order].sum())], "sums": [total.tobytes()]})
+
+    schema = "cluster int, n bigint, cost double, sums binary"
+    return rows.mapInArrow(part, schema).groupBy("cluster").applyInArrow(merge, schema).collect()  # k rows
+
+
+def _seeds(rows: DataFrame, dim: int, k: int, rounds: int = 4) -> np.ndarray:
+    """k-means||: in each round 2 k of all records, by their distance from what was drawn before; of those k by k-means++, each with the number of records it is nearest to."""
+    drawn = _draw(rows, dim, None, 2 * k, 9)
+    for i in range(rounds):
+        drawn = np.concatenate([drawn, _draw(rows, dim, drawn, 2 * k, 10 + i)])
+    weight = np.zeros(len(drawn))
+    for r in _totals(rows, dim, drawn):
+        weight[r.cluster] = r.n
+    rng = np.random.default_rng(3)
+    picked = [int(weight.argmax())]
+    near = ((drawn - drawn[picked[0]]) ** 2).sum(1)
+    while len(picked) < k and (p := weight * near).sum() > 0:
+        picked.append(int(rng.choice(len(drawn), p=p / p.sum())))
+        near = np.minimum(near, ((drawn - drawn[picked[-1]]) ** 2).sum(1))
+    return drawn[picked]
+
+
+def fitted(rows: DataFrame, dim: int, k: int, passes: int = 20, least: float = 1e-3) -> np.ndarray:
+    """Centres of k-means over all records: a pass moves each centre to the mean of its records, until the squared distances fall by less than ``least``."""
+    centres, before = _seeds(rows, dim, k), np.inf
+    for _ in range(passes):
+        got = _totals(rows, dim, centres)
+        for r in got:
+            centres[r.cluster] = np.frombuffer(r.sums, dtype=np.float64) / r.n
+        cost = sum(r.cost for r in got)
+        if cost >= before * (1 - least):
+            break
+        before = cost
+    return centres
 
 
 def _assign(centres: np.ndarray):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _vectors(b)
-            at = ((centres**2).sum(1)[None] - 2 * x @ centres.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("weapon"), pa.array(at.astype(np.int32))], names=["uid", "weapon", "cluster"])
+            for part, x in _vectors(b, centres.shape[1]):
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("weapon"), pa.array(_nearest(x, centres)[0].astype(np.int32))], names=["uid", "weapon", "cluster"])
 
     return assign
 
@@ -104,20 +197,15 @@ def quotas(sizes: dict[int, int], places: int) -> dict[int, int]:
     return whole
 
 
-def clustered(features: DataFrame, k: int = 48, sample: int = 20_000) -> DataFrame:
+def clustered(features: DataFrame, k: int = 48) -> DataFrame:
     """uid, weapon (one spelling), cluster of every distinct record."""
     num = F.transform(F.flatten("state"), lambda v: F.coalesce(v, F.lit(0.0)).cast("float"))
     rows = features.where("uid IS NOT NULL").select("uid", weapon_name(F.col("weapon")).alias("weapon"), F.coalesce(num, F.array().cast("array<float>")).alias("state"),
         F.coalesce(F.map_keys("ngrams"), F.array().cast("array<string>")).alias("grams"), F.coalesce(F.transform(F.map_values("ngrams"), lambda v: F.coalesce(v, F.lit(0))), F.array().cast("array<bigint>")).alias("counts"))
-    rows = stage(spread(rows, "uid").dropDuplicates(["uid"]), "features")
-    n = rows.count()
-    if not n:
+    rows = stage(spread(rows, "uid").dropDuplicates(["uid"]).mapInArrow(_features, "uid string, weapon string, state binary, dims binary, vals binary"), "features")
+    if rows.isEmpty():
         return rows.select("uid", "weapon", F.lit(0).alias("cluster"))
-    part = min(1.0, sample / n)
-    drawn = rows.where(F.pmod(F.xxhash64("uid", F.lit(9)), F.lit(1 << 30)) < int(part * (1 << 30))).toArrow().combine_chunks()
-    batches = drawn.to_batches()
-    x = np.concatenate([_vectors(b) for b in batches]) if drawn.num_rows else np.zeros((1, DIM), dtype=np.float32)
-    return rows.mapInArrow(_assign(mini_batch_kmeans(x, k)), "uid string, weapon string, cluster int")
+    return rows.mapInArrow(_assign(fitted(rows, DIM, k)), "uid string, weapon string, cluster int")
 
 
 def chosen(features: DataFrame, requests: DataFrame, k: int = 48, buckets: int = 256) -> DataFrame:
