@@ -122,6 +122,16 @@ def test_clusters_are_fitted_on_all_records(spark):
     assert len(own) == 1 and {u for u, c in of.items() if c in own} == rare
 
 
+def test_weapons_and_ngrams_dont_share_dimensions(spark):
+    # these pairs fell into one slot when weapons were hashed to 8 and n-grams to 64
+    rows = [(f"u{i:03d}", ["regular", "laser"][i % 2], {["u:0", "u:2"][i // 2 % 2]: 50}, None, 1, "x") for i in range(80)]
+    of = {r.uid: r.cluster for r in subset.clustered(spark.createDataFrame(rows, FEATURES), k=4).collect()}
+    kinds = defaultdict(set)
+    for u, w, g, *_ in rows:
+        kinds[w, *g].add(of[u])
+    assert len(kinds) == 4 and all(len(v) == 1 for v in kinds.values()) and len(set(of.values())) == 4
+
+
 def test_quotas():
     assert subset.quotas({1: 100, 2: 1, 3: 25}, 10) == {1: 6, 2: 1, 3: 3}
     assert sum(subset.quotas({i: i * i for i in range(1, 9)}, 57).values()) == 57

@@ -1,6 +1,7 @@
 """Choosing a varied subset: k-means, square-root quotas per cluster, sampling within the quotas.
 
-A record's vector joins its state signature, the hashed frequencies of its n-grams and its weapon. K-means is seeded by
+A record's vector joins its state signature, the frequencies of its n-grams and its weapon; every distinct n-gram and
+weapon has a dimension of its own. K-means is seeded by
 k-means|| and fitted in passes over all records: each task sums up its own, the sums are merged. Of a request the clusters get places in
 proportion to the square root of their size, unused places go to the others by the same rule, and within a cluster records are
 drawn in hash order. Ranks are counted over hash buckets, so a cluster that holds most records is never one task.
@@ -12,15 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import flat
 from tracelake.plans.staging import spread, stage
 
-BINS, WIDTH, GRAMS = 20, 8, 64
-DIM = BINS * WIDTH + GRAMS + 8
+BINS, WIDTH = 20, 8
 
 
 def weapon_name(c: Column) -> Column:
@@ -42,31 +41,45 @@ def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], dtype=kind, count=int(ends[-1] - ends[0]) // size, offset=int(ends[0])), np.diff(ends) // size
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names(rows: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
+    """A dimension for every distinct n-gram and for every distinct weapon, behind those of the state; the number of all dimensions.
+
+    The driver holds the distinct names, whose number the alphabet of the steps bounds (512 codes, 512² pairs), not the records."""
+    name = F.concat(F.transform("grams", lambda g: F.struct(F.lit(False).alias("weapon"), g.alias("name"))), F.array(F.struct(F.lit(True).alias("weapon"), F.col("weapon").alias("name"))))
+    got = sorted(tuple(r) for r in rows.select(F.inline(name)).where("name IS NOT NULL").distinct().collect())
+    at = {key: BINS * WIDTH + i for i, key in enumerate(got)}
+    return {n: i for (w, n), i in at.items() if not w}, {n: i for (w, n), i in at.items() if w}, BINS * WIDTH + len(at)
+
+
+def _features(grams: dict[str, int], weapons: dict[str, int], dim: int):
     """Rows as packed numbers, made once for all passes: the state, and dimension and value of what isn't 0 of the rest.
 
     Missing parts of a record are 0: absent states and bins, absent n-grams, unknown weapon."""
-    for b in batches:
-        n = b.num_rows
-        state = np.zeros((n, BINS * WIDTH), dtype=np.float32)
-        values, offsets = flat(b.column("state"))  # already flattened rows of numbers
-        lengths = np.minimum(np.diff(offsets), BINS * WIDTH)
-        rec = np.repeat(np.arange(n), lengths)
-        place = np.arange(lengths.sum()) - (np.cumsum(lengths) - lengths)[rec]
-        state[rec, place] = np.nan_to_num(values[offsets[:-1][rec] + place].astype(np.float32), posinf=0, neginf=0)
-        (counts, offsets), (keys, _) = flat(b.column("counts")), flat(b.column("grams"))
-        rec = np.repeat(np.arange(n), np.diff(offsets))
-        names, code = np.unique(keys.astype(str), return_inverse=True) if len(keys) else (np.zeros(0, str), np.zeros(0, int))
-        slot = np.array([BINS * WIDTH + xxhash.xxh3_64_intdigest(k) % GRAMS for k in names], dtype=np.int64)
-        at, once = np.unique(rec * DIM + slot[code], return_inverse=True)  # a dimension once a record
-        count = np.maximum(np.bincount(once, np.nan_to_num(counts.astype(np.float64)), len(at)), 0)
-        rec, dim = at // DIM, at % DIM
-        value = np.sqrt(count / np.maximum(np.bincount(rec, count, n), 1)[rec]) * 2
-        weapon = [(i, BINS * WIDTH + GRAMS + xxhash.xxh3_64_intdigest(w) % 8) for i, w in enumerate(b.column("weapon").to_pylist()) if w]
-        own = np.array(weapon, dtype=np.int64).reshape(-1, 2)
-        rec, dim, value = np.concatenate([rec, own[:, 0]]), np.concatenate([dim, own[:, 1]]), np.concatenate([value, np.ones(len(own))])
-        order, lengths = np.argsort(rec, kind="stable"), np.bincount(rec, minlength=n)
-        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("weapon"), _packed(state, np.full(n, BINS * WIDTH)), _packed(dim[order].astype(np.int32), lengths), _packed(value[order].astype(np.float32), lengths)], names=["uid", "weapon", "state", "dims", "vals"])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            state = np.zeros((n, BINS * WIDTH), dtype=np.float32)
+            values, offsets = flat(b.column("state"))  # already flattened rows of numbers
+            lengths = np.minimum(np.diff(offsets), BINS * WIDTH)
+            rec = np.repeat(np.arange(n), lengths)
+            place = np.arange(lengths.sum()) - (np.cumsum(lengths) - lengths)[rec]
+            state[rec, place] = np.nan_to_num(values[offsets[:-1][rec] + place].astype(np.float32), posinf=0, neginf=0)
+            (counts, offsets), (keys, _) = flat(b.column("counts")), flat(b.column("grams"))
+            rec = np.repeat(np.arange(n), np.diff(offsets))
+            names, code = np.unique(keys.astype(str), return_inverse=True) if len(keys) else (np.zeros(0, str), np.zeros(0, int))
+            slot = np.array([grams[k] for k in names], dtype=np.int64)
+            at, once = np.unique(rec * dim + slot[code], return_inverse=True)  # a dimension once a record
+            count = np.maximum(np.bincount(once, np.nan_to_num(counts.astype(np.float64)), len(at)), 0)
+            rec, dims = at // dim, at % dim
+            value = np.sqrt(count / np.maximum(np.bincount(rec, count, n), 1)[rec]) * 2
+            weapon = [(i, weapons[w]) for i, w in enumerate(b.column("weapon").to_pylist()) if w]
+            own = np.array(weapon, dtype=np.int64).reshape(-1, 2)
+            rec, dims, value = np.concatenate([rec, own[:, 0]]), np.concatenate([dims, own[:, 1]]), np.concatenate([value, np.ones(len(own))])
+            order, lengths = np.argsort(rec, kind="stable"), np.bincount(rec, minlength=n)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("weapon"), _packed(state, np.full(n, BINS * WIDTH)), _packed(dims[order].astype(np.int32), lengths), _packed(value[order].astype(np.float32), lengths)], names=["uid", "weapon", "state", "dims", "vals"])
+
+    return features
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -202,10 +215,12 @@ def clustered(features: DataFrame, k: int = 48) -> DataFrame:
     num = F.transform(F.flatten("state"), lambda v: F.coalesce(v, F.lit(0.0)).cast("float"))
     rows = features.where("uid IS NOT NULL").select("uid", weapon_name(F.col("weapon")).alias("weapon"), F.coalesce(num, F.array().cast("array<float>")).alias("state"),
         F.coalesce(F.map_keys("ngrams"), F.array().cast("array<string>")).alias("grams"), F.coalesce(F.transform(F.map_values("ngrams"), lambda v: F.coalesce(v, F.lit(0))), F.array().cast("array<bigint>")).alias("counts"))
-    rows = stage(spread(rows, "uid").dropDuplicates(["uid"]).mapInArrow(_features, "uid string, weapon string, state binary, dims binary, vals binary"), "features")
+    rows = stage(spread(rows, "uid").dropDuplicates(["uid"]), "records")
     if rows.isEmpty():
         return rows.select("uid", "weapon", F.lit(0).alias("cluster"))
-    return rows.mapInArrow(_assign(fitted(rows, DIM, k)), "uid string, weapon string, cluster int")
+    grams, weapons, dim = _names(rows)
+    rows = stage(rows.mapInArrow(_features(grams, weapons, dim), "uid string, weapon string, state binary, dims binary, vals binary"), "features")
+    return rows.mapInArrow(_assign(fitted(rows, dim, k)), "uid string, weapon string, cluster int")
 
 
 def chosen(features: DataFrame, requests: DataFrame, k: int = 48, buckets: int = 256) -> DataFrame:
