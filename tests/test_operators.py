@@ -168,6 +168,43 @@ def test_js_and_distance(spark):
     assert n == {"u:1": 2, "u:2": 1, "b:1:1": 1, "b:1:2": 1}
 
 
+def test_nearest_blended_is_brute_force(spark, data):
+    import numpy as np
+    from tracelake.queries import platform
+
+    rows = sorted((r for r in platform._features(spark, data).where("size(ngrams) > 0 AND size(state) > 0").withColumn("ngrams", F.map_entries("ngrams")).collect()), key=lambda r: r.uid)
+
+    def shares(r):  # repeated keys count together
+        n = {}
+        for k, v in r.ngrams:
+            n[k] = n.get(k, 0) + v
+        return {k: v / sum(n.values()) for k, v in n.items()}
+
+    def distance(a, b):
+        x, y = np.array(a.state, float), np.array(b.state, float)
+        p, q = shares(a), shares(b)
+        half = lambda s, t: sum(v * math.log2(2 * v / (v + t.get(k, 0))) for k, v in s.items())
+        return 0.45 * np.sqrt(((x - y) ** 2).mean()) + 0.35 * math.sqrt(max(0, (half(p, q) + half(q, p)) / 2)) + 0.2 * min(1, abs(math.log((a.length + 1) / (b.length + 1))) / math.log(4))
+
+    got = {r.uid: r for r in diversity.nearest_blended(platform._features(spark, data), 25).collect()}
+    assert set(got) == {r.uid for r in rows} and len(rows) > 20
+    for i, r in enumerate(rows):
+        like = [b for b in rows[:i] if len(b.state) == len(r.state)]
+        pool = {b.uid: distance(r, b) for b in [b for b in like if (b.weapon or "") == (r.weapon or "")] or like}
+        if not pool:
+            assert got[r.uid].nearest is None and got[r.uid].distance is None
+        else:
+            assert got[r.uid].distance == pytest.approx(min(pool.values()), abs=1e-7) == pool[got[r.uid].nearest]
+
+
+def test_js_distance_all_needs_no_state(spark, tmp_path):
+    from tracelake.queries import platform
+
+    rows = [("a", "f", 9, "L", {"u:1": 1}, [[0.0] * 8] * 20), ("b", "f", 9, "l", {"u:2": 1}, None), ("c", "f", 9, "L ", {"u:1": 1}, [[0.0] * 8] * 7)]
+    spark.createDataFrame(rows, "uid string, fingerprint string, length int, weapon string, ngrams map<string,bigint>, state array<array<float>>").write.parquet(str(tmp_path / "diversity_features.parquet"))
+    assert {tuple(r) for r in platform.js_distance_all(spark, str(tmp_path)).collect()} == {("a", "b", 1.0), ("b", "c", 1.0)}
+
+
 def test_select_diverse(spark):
     cand = spark.createDataFrame([("p1", "f1", "S", 0.0), ("p2", "f1", "S", 5.0), ("p3", "f3", "S", 0.05), ("p4", "f4", "S", 3.0), ("p5", "f5", "R", 9.0)], "path string, fingerprint string, weapon string, x double")
     refs = spark.createDataFrame([("r1", "f9", "S", 1.0)], "path string, fingerprint string, weapon string, x double")

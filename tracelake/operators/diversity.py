@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.plans.staging import stage
+
 
 def summed(m: Column) -> Column:
     """A count map whose repeated keys (files can hold them) are one key with the sum of their counts."""
@@ -109,6 +111,98 @@ def nearest_earlier(df: DataFrame, uid: str, stratum: str, vec: str) -> DataFram
     return found.groupBy("uid").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("uid", "b.nearest", "b.distance")
 
 
+def nearest_blended(features: DataFrame, block: int = 4000) -> DataFrame:
+    """uid, weapon, nearest, distance: for every record the nearest earlier one (smaller uid) of its weapon under the blended distance, of all weapons
+    where its own has none earlier; nearest and distance are null for the very first. Of equal distances the smaller uid counts.
+
+    features: distinct uid, weapon, length, ngrams, state. Unknown weapons are a stratum of their own. Records without n-grams or state have no distance and are left
+    out; states of another size can't be compared, so a record meets only those of its size. Exact: all pairs of a stratum meet, as tiles of two blocks. Two matrix products
+    give bounds of every pair (root mean square as it is; the Jensen-Shannon divergence in bits lies between H²/(2 ln 2) and 2 H² for H² = 1 - sum of sqrt(p q)), and only pairs
+    whose lower bound is under the best distance of the record are worked out. No pair of rows is emitted, only the best per tile."""
+    import numpy as np
+    import pyarrow as pa
+
+    t = features.select("uid", F.coalesce("weapon", F.lit("")).alias("weapon"), F.col("length").cast("double").alias("length"), F.map_keys("ngrams").alias("grams"), F.map_values("ngrams").alias("counts"),
+                        F.flatten("state").cast("array<double>").alias("state")).where("uid IS NOT NULL AND length IS NOT NULL AND size(state) > 0 AND aggregate(counts, 0L, (a, x) -> a + coalesce(x, 0L)) > 0")
+    code = {r.g: i for i, r in enumerate(t.select(F.explode("grams").alias("g")).distinct().orderBy("g").collect())}  # bounded by the alphabet of the steps, not by the records
+
+    def coded(batches):
+        for b in batches:
+            lists = b.column("grams")
+            codes = pa.array([code[g] for g in lists.flatten().to_pylist()], pa.int32())
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("uid", "weapon", "length")], pa.ListArray.from_arrays(pa.array(ends), codes), *[b.column(c) for c in ("counts", "state")]], names=["uid", "weapon", "length", "grams", "counts", "state"])
+
+    rows = stage(t.mapInArrow(coded, "uid string, weapon string, length double, grams array<int>, counts array<bigint>, state array<double>"), "blended").withColumn("size", F.size("state"))
+    firsts = rows.groupBy("size", "weapon").agg(F.min("uid").alias("first"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a weapon
+    placed = rows.join(F.broadcast(firsts), ["size", "weapon"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(5)), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = placed.select(*rows.columns, "block", other).select(*rows.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.lit(False).alias("opens"))
+    each = firsts.select("size", F.col("weapon").alias("into"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    opening = placed.where("uid = first").join(F.broadcast(each), "size").where("into <> weapon").select(*[F.col("into").alias("weapon") if c == "weapon" else c for c in rows.columns], "i", F.col("i").alias("j"), F.lit(-1).alias("block"), F.lit(True).alias("opens"))
+
+    def dense(part: pa.Table) -> tuple:
+        n = part.num_rows
+        x = np.array(part.column("state").to_pylist(), dtype=np.float64).reshape(n, -1)
+        p = np.zeros((n, len(code)))
+        g, c = part.column("grams").combine_chunks(), part.column("counts").combine_chunks()
+        np.add.at(p, (np.repeat(np.arange(n), g.value_lengths().to_numpy(zero_copy_only=False)), g.flatten().to_numpy()), np.nan_to_num(c.flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
+        p /= p.sum(1, keepdims=True)
+        return np.array(part.column("uid").to_pylist(), dtype=object), x, p, np.sqrt(p), np.log(part.column("length").to_numpy() + 1)
+
+    def log_term(p, m):
+        return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(m > 0, m, 1)), 0).sum(1)
+
+    def best(part: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(part.column("uid").to_pylist(), dtype=object), kind="stable")
+        part = part.take(pa.array(order))
+        uid, x, p, root, length = dense(part)
+        _, rank = np.unique(uid.astype(str), return_inverse=True)
+        opens, own, i, j = part.column("opens").to_numpy(), part.column("block").to_numpy(), part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        member = np.flatnonzero(~opens)
+        got = []
+
+        def exact(a, b):
+            out = np.empty(len(a))
+            for s in range(0, len(a), 4096):
+                u, v = a[s : s + 4096], b[s : s + 4096]
+                m = (p[u] + p[v]) / 2
+                js = np.sqrt(np.maximum((log_term(p[u], m) + log_term(p[v], m)) / 2, 0))
+                rms = np.sqrt(((x[u] - x[v]) ** 2).mean(1))
+                out[s : s + 4096] = 0.45 * rms + 0.35 * js + 0.2 * np.minimum(1, np.abs(length[u] - length[v]) / math.log(4.0))
+            return out
+
+        square = (x**2).sum(1)
+        # in a tile of two blocks, rows meet only those of the other block; rows that open a stratum meet all
+        meets = [(np.flatnonzero(opens), member)] + ([(np.flatnonzero((own == a) & ~opens), np.flatnonzero((own == b) & ~opens)) for a, b in ((i, j), (j, i))] if i != j else [(member, member)])
+        for asks, pool in meets:
+            for s in range(0, len(asks), 256):
+                q = asks[s : s + 256]
+                m = pool[: np.searchsorted(rank[pool], rank[q].max())] if len(q) else pool[:0]  # the pool is in order of uid
+                if not len(m):
+                    continue
+                mean = (square[q][:, None] + square[m][None] - 2 * x[q] @ x[m].T) / x.shape[1]
+                slack = 1e-9 * (1 + (square[q][:, None] + square[m][None]) / x.shape[1])
+                h = 1 - root[q] @ root[m].T
+                low = 0.45 * np.sqrt(np.maximum(mean - slack, 0)) + 0.35 * np.sqrt(np.maximum(h - 1e-9, 0) / (2 * math.log(2.0))) + 0.2 * np.minimum(1, np.abs(length[q][:, None] - length[m][None]) / math.log(4.0)) - 1e-12
+                low[rank[m][None] >= rank[q][:, None]] = np.inf
+                first = low.argmin(1)
+                has = np.flatnonzero(np.isfinite(low[np.arange(len(q)), first]))
+                top = np.full(len(q), -1.0)
+                top[has] = exact(q[has], m[first[has]])
+                a, b = np.nonzero(low <= top[:, None])
+                d = exact(q[a], m[b])
+                pick = np.lexsort((rank[m[b]], d, a))
+                pick = pick[np.unique(a[pick], return_index=True)[1]]
+                got += zip(uid[q[a[pick]]], uid[m[b[pick]]], d[pick].tolist())
+        cols = list(zip(*got)) if got else [(), (), ()]
+        return pa.table({"uid": pa.array(cols[0], pa.string()), "nearest": pa.array(cols[1], pa.string()), "distance": pa.array(cols[2], pa.float64())})
+
+    found = tiles.unionByName(opening).groupBy("size", "weapon", "i", "j").applyInArrow(best, "uid string, nearest string, distance double")
+    one = found.groupBy("uid").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("uid", "b.nearest", "b.distance")
+    return rows.select("uid", "weapon").join(one, "uid", "left").select("uid", "weapon", "nearest", "distance")
+
+
 def select_diverse(candidates: DataFrame, references: DataFrame, least: float, distance, whole_pool: bool = False) -> DataFrame:
     """Accept candidates in order of ``path`` unless an equal fingerprint is in the pool or the nearest of the pool is closer than ``least``.
 

@@ -267,16 +267,16 @@ def _features(spark, d):
     return f.withColumn("weapon", F.regexp_replace(F.lower("weapon"), "[^a-z0-9]+", ""))
 
 
-def _neighbours(spark, d):
-    """Consecutive records (a, b) of a weapon, among those with n-grams and full states."""
-    f = _features(spark, d).where("weapon <> '' AND size(ngrams) > 0 AND size(state) = 20").select("uid", "weapon")
+def _neighbours(spark, d, state="size(state) = 20"):
+    """Consecutive records (a, b) of a weapon, among those with n-grams and, unless another condition is given, full states."""
+    f = _features(spark, d).where(f"weapon <> '' AND size(ngrams) > 0 AND {state}").select("uid", "weapon")
     return f.select(C("uid").alias("a"), F.lead("uid").over(Window.partitionBy("weapon").orderBy("uid")).alias("b")).where("b IS NOT NULL")
 
 
-def _js(spark, d):
+def _js(spark, d, state="size(state) = 20"):
     """Long form: n-grams are rows, and a pair only joins those that both sides hold. Repeated keys of a map count together."""
     grams = _features(spark, d).select("uid", F.explode("ngrams").alias("gram", "n")).groupBy("uid", "gram").agg(F.sum("n").alias("n"))
-    return diversity.js_pairs(grams, "uid", "gram", "n", _neighbours(spark, d))
+    return diversity.js_pairs(grams, "uid", "gram", "n", _neighbours(spark, d, state))
 
 
 @query(f"WITH {_DIV} SELECT a, b, round(js, 5) AS js FROM js")
@@ -309,6 +309,25 @@ def diversity_quantiles(spark, d):
     return _distances(spark, d).agg(F.count("*").alias("pairs"), q.alias("q")).select("pairs", *[F.round(C("q")[i], 5).alias(n) for i, n in enumerate(("p10", "median", "p90"))])
 
 
+@query(f"WITH {_DIV.replace(' AND len(state) = 20', '')} SELECT a, b, round(js, 5) AS js FROM js")
+def js_distance_all(spark, d):
+    """The same as ``js_distance`` over all records with weapon and n-grams, whatever their state."""
+    return _js(spark, d, "true").withColumn("js", F.round("js", 5))
+
+
+@query()
+def diversity_nearest(spark, d):
+    """For every record its nearest earlier one of the same weapon (else of all) under the blended distance."""
+    return diversity.nearest_blended(_features(spark, d))
+
+
+@query()
+def diversity_nearest_quantiles(spark, d):
+    """Records with an earlier one, and the 10 %, 50 %, 90 % points of the distances to the nearest."""
+    q = F.percentile("distance", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return diversity_nearest(spark, d).agg(F.count("distance").alias("measured"), q.alias("q")).select("measured", *[F.round(C("q")[i], 5).alias(n) for i, n in enumerate(("p10", "median", "p90"))])
+
+
 @query("""WITH f AS (SELECT DISTINCT ON (uid) uid, fingerprint, regexp_replace(lower(weapon), '[^a-z0-9]+', '', 'g') AS weapon, length FROM diversity_features ORDER BY uid),
 s AS (SELECT DISTINCT ON (uid) uid, weapon AS base FROM segments ORDER BY uid, weapon)
 SELECT f.uid, coalesce(nullif(f.weapon, ''), s.base) AS weapon FROM f LEFT JOIN (SELECT uid, min(base) AS base FROM s GROUP BY 1) s USING (uid)""")
