@@ -205,6 +205,20 @@ def test_js_distance_all_needs_no_state(spark, tmp_path):
     assert {tuple(r) for r in platform.js_distance_all(spark, str(tmp_path)).collect()} == {("a", "b", 1.0), ("b", "c", 1.0)}
 
 
+def test_places_taken_twice(spark, tmp_path):
+    from tracelake.queries import platform
+
+    f = [c * 64 for c in "abcd"]
+    shards = [(1, 1, "full", "S", "E", 0, 2, 10), (2, 1, "full", "S", "E", 0, 1, 10), (3, 1, "full", "S", "E", 1, 1, 10), (3, 1, "full", "S", "E", 1, 1, 10)]
+    spark.createDataFrame(shards, "id bigint, level int, task string, weapon string, encoder_sha256 string, ordinal int, episodes int, frames bigint").write.parquet(f"{tmp_path}/shards.parquet")
+    members = [(1, f[0], 0), (1, f[1], 0), (2, f[2], 0), (2, f[2], 0), (3, f[3], 0)]
+    spark.createDataFrame(members, "shard_id bigint, fingerprint string, ordinal int").write.parquet(f"{tmp_path}/shard_episodes.parquet")
+    spark.createDataFrame([(x, x, "t", 5) for x in f], "uid string, fingerprint string, source_trace string, action_steps int").write.parquet(f"{tmp_path}/episodes.parquet")
+    spark.createDataFrame([(1, "full", 100)], "level int, task string, target_frames bigint").write.parquet(f"{tmp_path}/shard_targets.parquet")
+    got = {r.gate: r.violations for r in platform.quality_gates(spark, str(tmp_path)).collect()}
+    assert got["place taken twice"] == 2  # two members of shard 1, and shards 1 and 2
+
+
 def test_select_diverse(spark):
     cand = spark.createDataFrame([("p1", "f1", "S", 0.0), ("p2", "f1", "S", 5.0), ("p3", "f3", "S", 0.05), ("p4", "f4", "S", 3.0), ("p5", "f5", "R", 9.0)], "path string, fingerprint string, weapon string, x double")
     refs = spark.createDataFrame([("r1", "f9", "S", 1.0)], "path string, fingerprint string, weapon string, x double")

@@ -112,14 +112,19 @@ UNION ALL SELECT 'frames over target', count(*) FROM shards s JOIN shard_targets
 UNION ALL SELECT 'no action steps', count(*) FROM e WHERE action_steps IS NULL OR action_steps <= 0
 UNION ALL SELECT 'frames unknown', count(*) FROM shards WHERE frames IS NULL OR frames < 0) SELECT * FROM g""")
 def quality_gates(spark, d):
-    """Violations of the catalog's gates, one row per gate."""
+    """Violations of the catalog's gates, one row per gate. A place is taken twice by two members at one ordinal of a shard, or by two shards at one ordinal of
+    a level, task, weapon and encoder; a shard at two places counts as well."""
     s, m, e = _catalog(spark, d)
     t = table(spark, d, "shard_targets").select(C("level").alias("l"), C("task").alias("t"), "target_frames")
+    taken = expectations.duplicates(m.where("shard_id IS NOT NULL AND ordinal IS NOT NULL"), ["shard_id", "ordinal"]).select(F.lit(1).alias("n"))
+    place = ["level", "task", "weapon", "encoder_sha256", "ordinal"]
+    own = s.select("id", *place).distinct()
+    places = taken.unionAll(expectations.duplicates(own.where("ordinal IS NOT NULL"), place).select(F.lit(1).alias("n"))).unionAll(expectations.duplicates(own, ["id"]).select(F.lit(1).alias("n")))
     return expectations.violations({
         "count of members": expectations.count_mismatch(s.withColumnRenamed("id", "shard_id"), m.select("shard_id", "fingerprint", C("ordinal").alias("o")), ["shard_id"], "episodes"),
         "episode missing": expectations.missing(m, e, ["fingerprint"]),
         "in two shards": expectations.several_values(m, ["fingerprint"], "shard_id"),
-        "place taken twice": expectations.duplicates(s, ["id"]),
+        "place taken twice": places,
         "frames over target": s.join(t, (C("level") == C("l")) & (C("task") == C("t"))).where("frames > target_frames"),
         "no action steps": expectations.failing(e, C("action_steps") > 0),
         "frames unknown": expectations.failing(s, C("frames") >= 0),
