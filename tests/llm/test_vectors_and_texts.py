@@ -132,6 +132,12 @@ def test_weapons_and_ngrams_dont_share_dimensions(spark):
     assert len(kinds) == 4 and all(len(v) == 1 for v in kinds.values()) and len(set(of.values())) == 4
 
 
+def test_all_pairs_of_a_unit_count():
+    terms = [f"t{i:02d}" for i in range(15)]  # a unit was cut to its first 12 terms
+    got = list(subjects.sets_of(terms, ["x", "y"]))
+    assert len(got) == len(set(got)) == (15 + 15 * 14 // 2) * 3 and {(("t13", "t14"), None), (("t14",), "x"), (("t00", "t14"), "y")} <= set(got)
+
+
 def test_quotas():
     assert subset.quotas({1: 100, 2: 1, 3: 25}, 10) == {1: 6, 2: 1, 3: 3}
     assert sum(subset.quotas({i: i * i for i in range(1, 9)}, 57).values()) == 57

@@ -3,7 +3,7 @@
 Labels are read from a bounded sample of labelled documents (at most ``sample``, by hash of the id). A document is cut into
 units: sentences, long ones in pieces; words inside quoted evaluation items are left out first. Terms (words and pairs
 of words) that depend on a label become items; every unit of a labelled document is a transaction of its items and the document's
-labels. Parallel FP-growth mines the frequent item sets; sets of up to two terms and one label are the rules, and a rule is
+labels. Sets of up to two terms and one label are counted over all units, none of whose terms is left out; the frequent ones are the rules, and a rule is
 redundant if a more general one is as sure. A unit collects, per subject, the log-odds of its matching rules against the
 subject's base rate; the best subject over a threshold is the unit's. A document has a subject if a passage (units close to one
 another) holds enough units of it; threshold and number are calibrated on the labelled sample.
@@ -16,12 +16,12 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +73,14 @@ def terms(words: list[str]) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
 
 
+def sets_of(items: list[str], subjects: list[str]) -> Iterator[tuple[tuple[str, ...], str | None]]:
+    """Every term and every pair of terms of a unit, by itself (None) and with each of its subjects."""
+    terms = sorted(set(items))
+    for a in chain(((t,) for t in terms), combinations(terms, 2)):
+        for s in (None, *dict.fromkeys(subjects)):
+            yield a, s
+
+
 def items_of(words: list[str], known: frozenset[str]) -> list[str]:
     """Known terms of a unit; a word inside a known pair is left out."""
     out, covered = [], set()
@@ -217,19 +225,17 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items:
     common = {r.term for r in usual} - known  # frequent and independent of the labels
     known = frozenset(t for t in known if not (set(t.split()) & common))
 
-    def basket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [items_of(w, known)[:12] + ["c=" + s for s in ss] for w, ss in zip(b.column("words").to_pylist(), b.column("subjects").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
-
-    baskets = stage(cut.join(texts.select("doc_id", "subjects"), "doc_id").select("words", "subjects").mapInArrow(basket, "items array<string>"), "baskets")
-    n = baskets.count()
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_docs, n * 2e-5) / max(n, 1)), minConfidence=0.0).fit(baskets).freqItemsets
-    is_class = lambda x: F.startswith(x, F.lit("c="))
-    sets = sets.select("freq", F.sort_array(F.filter("items", lambda x: ~is_class(x))).alias("terms"), F.filter("items", is_class).alias("cls"))
-    kept = sets.where((F.size("terms").between(1, 2)) & (F.size("cls") <= 1)).collect()  # bounded by the sample
+            got = Counter(x for w, ss in zip(b.column("words").to_pylist(), b.column("subjects").to_pylist()) for x in sets_of(items_of(w, known), ss))
+            yield pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in got], pa.list_(pa.string())), pa.array([c for _, c in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["terms", "cls", "n"])
+
+    units = stage(cut.join(texts.select("doc_id", "subjects"), "doc_id").select("words", "subjects"), "units")
+    n = units.count()
+    support = math.ceil(min(1.0, max(least_docs, n * 2e-5) / max(n, 1)) * n)
+    kept = units.mapInArrow(count, "terms array<string>, cls string, n bigint").groupBy("terms", "cls").agg(F.sum("n").alias("freq")).where(F.col("freq") >= support).collect()  # bounded by the sample
     total = {tuple(r.terms): r.freq for r in kept if not r.cls}
-    seen = {(tuple(r.terms), r.cls[0][2:]): r.freq for r in kept if r.cls}
+    seen = {(tuple(r.terms), r.cls): r.freq for r in kept if r.cls}
     of_unit = {s: max(1e-6, sum(f for (a, t), f in seen.items() if t == s and len(a) == 1)) for s in base}
     every = sum(f for a, f in total.items() if len(a) == 1)
 
