@@ -274,3 +274,14 @@ def test_quoted_items_are_left_out():
     text = "Before it. " + ITEMS[0][1].replace("handed", "um handed") + " After it."
     left = subjects.quote_mask(text, names, h)
     assert left.startswith("Before it.") and "After it." in left and "noon" not in left and "save state" not in left
+
+
+@pytest.mark.parametrize("n", [1, 49, 73])
+def test_long_sentences_leave_pieces_of_one_word(spark, make, n):
+    """A sentence of 49 or 73 words is cut into pieces of 24, the last of which has one word."""
+    sentence = " ".join(["statute", "clause", "verdict"][i % 3] for i in range(n)) + "."
+    docs = make.documents([(i, " ".join([sentence] * 5), "s") for i in range(15)] + [(i, "noodle oven pepper dough. " * 5, "s") for i in range(15, 30)])
+    lab = spark.createDataFrame([(i, "law" if i < 15 else "food", "r") for i in range(30)], "doc_id bigint, subject string, rater string")
+    areas = spark.createDataFrame([("law", "x"), ("food", "x")], "subject string, description string")
+    got = {(r.doc_id, r.subject) for r in subjects.found(docs, lab, areas, items(spark)).collect()}
+    assert got == {(i, "food") for i in range(15, 30)} | ({(i, "law") for i in range(15)} if n > 1 else set())

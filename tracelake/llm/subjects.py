@@ -212,7 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items:
         return Model({}, names, quoted)
     base = {r.s: r.n / docs for r in texts.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
     # terms that depend on a label, by document counts
-    pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
+    pair = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))  # none of a unit of one word
     per = cut.select("doc_id", F.explode(F.array_distinct(F.concat("words", pair))).alias("term")).distinct().join(texts.select("doc_id", "subjects"), "doc_id")
     df = per.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_docs)
     by = per.select("term", F.explode("subjects").alias("s")).groupBy("term", "s").agg(F.count("*").alias("n")).join(df, "term")
