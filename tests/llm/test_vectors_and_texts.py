@@ -132,10 +132,26 @@ def test_weapons_and_ngrams_dont_share_dimensions(spark):
     assert len(kinds) == 4 and all(len(v) == 1 for v in kinds.values()) and len(set(of.values())) == 4
 
 
-def test_all_pairs_of_a_unit_count():
-    terms = [f"t{i:02d}" for i in range(15)]  # a unit was cut to its first 12 terms
-    got = list(subjects.sets_of(terms, ["x", "y"]))
-    assert len(got) == len(set(got)) == (15 + 15 * 14 // 2) * 3 and {(("t13", "t14"), None), (("t14",), "x"), (("t00", "t14"), "y")} <= set(got)
+def test_growth_counts_every_set():
+    """Sets of one and two items with their counts per class, also of long transactions (a unit was once cut to 12 terms)."""
+    rng = np.random.default_rng(4)
+    rows = [(tuple(sorted(rng.choice(30, rng.integers(0, 25), replace=False).tolist())), rng.integers(0, 3, 6)) for _ in range(60)]
+    want = defaultdict(int)
+    for items_, n in rows:
+        for i, x in enumerate(items_):
+            want[x,] += n
+            for y in items_[i + 1 :]:
+                want[x, y] += n
+    want = {k: v.tolist() for k, v in want.items() if v[2] + v[5] >= 8}
+    got, groups = {}, 4
+    for g in range(groups):
+        paths = defaultdict(lambda: np.zeros(6, np.int64))
+        for items_, n in rows:
+            mine = [i for i, x in enumerate(items_) if x % groups == g]
+            if mine:
+                paths[items_[: mine[-1] + 1]] += n
+        got |= {a: n.tolist() for a, n in subjects.grow(paths, 8, 2, lambda x: x % groups == g)}
+    assert got == want and len(want) > 100
 
 
 def test_quotas():
@@ -269,11 +285,58 @@ def test_subjects_without_labels(spark, make):
 
 
 def test_quoted_items_are_left_out():
-    names = frozenset({"velory", "orywen", "kipru"})
-    h = np.unique(leaks.window_hashes(leaks.canonical(leaks.WORD.findall(ITEMS[0][1].lower()), names)[0], subjects.QUOTE))
+    from tracelake.llm.words import parts, word_hash
+
+    names = np.sort(word_hash(["velory", "orywen", "kipru"]))
+    h = np.unique(subjects._quote_windows(next(parts([ITEMS[0][1]])), names, None)[4]).view(np.uint64)
     text = "Before it. " + ITEMS[0][1].replace("handed", "um handed") + " After it."
-    left = subjects.quote_mask(text, names, h)
-    assert left.startswith("Before it.") and "After it." in left and "noon" not in left and "save state" not in left
+    for odd in ("", "İİ "):  # its small letters are longer
+        t = next(parts(["x", odd + text]))
+        blank = subjects.quoted_places(t, names, h)
+        left = "".join(c for c, b in zip(t.text, blank) if not b)
+        assert "before it." in left and "after it." in left and "noon" not in left and "save state" not in left
+
+
+@pytest.mark.parametrize("text", ["Word. One-two, don’t  stop... A&amp;B <b>bold</b>! x", "a", "", "İstanbul is  Big. 12 of 3 ß ﬁ 𝔘 𐐀b", "no stop;here: yes\nline two\n• three four [12] five six", "um " * 30 + ". " + "ja " * 49 + ". Ein Wort."])
+def test_words_and_units(text):
+    """The words and units that numpy finds are those of the patterns."""
+    from tracelake.llm import words
+
+    (low,) = subjects.cleaned([text])
+    t = next(words.parts(["other text.", low]))
+    low = low.lower()
+    start, end = t.alnum()
+    assert [t.text[i:j] for i, j in zip(start, end) if t.record(np.array([i]))[0] == 1] == re.findall("[a-z0-9]+", low)
+    want = []
+    for s in re.split(r"[.!?;:]+(?=\s|$)|\n+|[•]", re.sub("[*`#|=]+", " ", low)):
+        w = re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", s)
+        want += [w[i : i + 24] for i in range(0, len(w), 24)] if len(w) > 48 else [w] if len(w) > 1 else []
+    u = subjects.Units(t, np.zeros(len(t.codes), dtype=bool))
+    own = [u.word[(u.unit == i)].tolist() for i in np.flatnonzero(u.text == 1)]
+    assert own == [words.word_hash(w).tolist() for w in want]
+
+
+def test_inner_capitals():
+    from tracelake.llm import words
+
+    t = next(words.parts(["The Kipru team saw İzmir. Now Orywen, iPad and NASA; 3Com K.", "Start Small"], True))
+    start, end = t.alnum()
+    got = [t.text[i:j] for i, j, c in zip(start, end, leaks.inner_capitals(t, start, end)) if c]
+    assert got == ["kipru", "orywen", "small"]
+
+
+def test_names_and_quotes_by_join(spark, make):
+    """More names, templates and quotes than are sent to the tasks: joined, with the same result."""
+    other = ITEMS[1][1].replace("Kipru", "Zendin").replace("12", "17")
+    t = make.documents([(1, "See: " + other, "s"), (2, "İ " + ITEMS[1][1] + " And " + ITEMS[0][1], "s"), (3, None, "s"), (4, "", "s")])
+    rows = lambda **more: [sorted(map(str, df.collect())) for df in leaks.template_hits(t, items(spark), **more)]
+    assert rows() == rows(most_names=0) and len(rows()[0]) > 10
+    lab = spark.createDataFrame([(1, "law", "r"), (2, "law", "r")], "doc_id bigint, subject string, rater string")
+    areas = spark.createDataFrame([("law", "x")], "subject string, description string")
+    model, joins = subjects.fit(t, lab, areas, items(spark), most=0)
+    assert joins[1] is not None
+    some = [list(map(bool, r.quoted or [])) for r in subjects._joined(t.select("doc_id", "text"), model.names, joins).orderBy("doc_id").collect()]
+    assert some[1] and not some[2] and not some[3]
 
 
 @pytest.mark.parametrize("n", [1, 49, 73])

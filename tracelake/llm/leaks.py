@@ -6,53 +6,65 @@ placeholders. All windows of 12 canonical words of the items form the template t
 hash-joined with it, and the slots (what stood where the placeholders are) are compared:
 
 * equal slots: the document holds the passage (p8_found; literal words are compared too, so hashes prove nothing alone);
-* slots that map one to one, numbers to numbers and names to names: a re-parameterised passage.
+* slots that map one to one, numbers to numbers and names to names: a re-parameterised passage. That is so exactly where both
+  windows have the same form, the words with every slot replaced by its type and the number of its first occurrence.
 
 So that re-parameterised text with unknown names is met as well, document words with a capital inside a sentence are
 also tried as names. The windows of documents are never shuffled unless their template hash is among those of the items: these hashes
-are sent to all tasks where they are few (checked: at most ``few``), else the plain hash join does the same work.
+are sent to all tasks where they are few (checked: at most ``few``), else the plain hash join does the same work. So it is with the
+names: beyond ``few`` the words of the documents are joined with the table of names instead, with the same result.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import mix64, starts_inside
-from tracelake.plans.staging import parallel, spread, stage
+from tracelake.llm.words import DIGIT, LATIN, Texts, among, parts, word_hash
+from tracelake.plans.staging import parallel, stage
 
-WORD = re.compile("[a-z0-9]+")
-CASED = re.compile("[A-Za-z0-9]+")
 # Words that are counted or measured in.
-UNITS = frozenset("percent second seconds minute minutes hour hours day days week weeks frame frames step steps byte bytes degree degrees cycle cycles meter meters metre metres kilometer kilometers gram grams kilogram kilograms dollar dollars euro euros".split())
-
-
-@lru_cache(maxsize=200_000)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def inner_capitals(text: str) -> list[bool]:
-    """For every word of the text: does it start with a capital (and go on small) inside a sentence?"""
-    out, end = [], 0
-    for m in CASED.finditer(text):
-        w, gap = m.group(), text[end : m.start()]
-        out.append(bool(end) and w[0].isupper() and w[1:].islower() and not re.search(r"[.!?:>\n“\"]", gap))
-        end = m.end()
-    return out
-
-
-def canonical(words: list[str], names: frozenset[str], capital: list[bool] | None = None) -> tuple[np.ndarray, list[str]]:
-    """Hash of each canonical word, and the type of each word: ``n`` number, ``u`` unit, ``p`` name or ``w`` literal."""
-    kinds = ["n" if w.isdigit() else "u" if w in UNITS else "p" if w in names or (capital is not None and capital[i] and not w[0].isdigit()) else "w" for i, w in enumerate(words)]
-    return np.array([_word_hash(w if k == "w" else f"<{k}>") for w, k in zip(words, kinds)], dtype=np.uint64), kinds
+UNITS = "percent second seconds minute minutes hour hours day days week weeks frame frames step steps byte bytes degree degrees cycle cycles meter meters metre metres kilometer kilometers gram grams kilogram kilograms dollar dollars euro euros".split()
+UNIT_HASHES, SLOTS = np.sort(word_hash(UNITS)), dict(zip("nup", word_hash(["<n>", "<u>", "<p>"])))
+ENDS = np.array([ord(c) for c in ".!?:>\n“\""], dtype=np.uint32)  # characters after which a capital means nothing
+FEW_NAMES = 200_000  # names sent to all tasks at most; more are joined
+
+
+def inner_capitals(t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For every word: does it start with a capital (and go on small) inside a sentence?"""
+    letters, capitals = t.count((t.kind & LATIN) > 0, start + 1, end), t.count(t.upper, start, end)
+    ends, same = np.isin(t.codes, ENDS), np.zeros(len(start), dtype=bool)
+    rec = t.record(start)
+    same[1:] = rec[1:] == rec[:-1]
+    if len(start) > 1:
+        same[1:] &= t.count(ends, end[:-1], start[1:]) == 0
+    return same & t.upper[start] & (capitals == 1) & (letters > 0)
+
+
+def canonical(t: Texts, start: np.ndarray, end: np.ndarray, names: np.ndarray, own: list[np.ndarray] | None = None, capital: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each canonical word, and the type of each word: ``n`` number, ``u`` unit, ``p`` name or ``w`` literal.
+
+    names: sorted hashes. own: of every text of the batch the (sorted) hashes of its words that are names, instead of ``names``."""
+    h = t.hashes(start, end)
+    kind = np.full(len(h), ord("w"), dtype=np.uint8)
+    if own is None:
+        kind[among(h, names)] = ord("p")
+    else:
+        at = np.searchsorted(start, t.bounds)
+        for r, (i, j) in enumerate(zip(at[:-1], at[1:])):
+            kind[i:j][among(h[i:j], own[t.first + r])] = ord("p")
+    if capital is not None:
+        kind[capital & ((t.kind[start] & DIGIT) == 0)] = ord("p")
+    kind[among(h, UNIT_HASHES)] = ord("u")
+    kind[t.count((t.kind & DIGIT) > 0, start, end) == end - start] = ord("n")
+    for k, v in SLOTS.items():
+        h[kind == ord(k)] = v
+    return h, kind
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -65,73 +77,109 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix64(out).view(np.int64)
 
 
-def _windows(id_name: str, size: int, names: frozenset[str], wanted: np.ndarray | None, capitals: bool):
-    """Rows (id, place, template, kinds, words) of the windows whose template is wanted (None: of all)."""
+def form(words: list[str], kinds: str) -> tuple[str, list[str]]:
+    """The words with every slot as its type and the number of its first occurrence, and the distinct slots."""
+    seen: dict[tuple[str, str], int] = {}
+    out = [w if k == "w" else f"<{k}{seen.setdefault((k, w), len(seen))}>" for w, k in zip(words, kinds)]
+    return " ".join(out), [w for _, w in seen]
+
+
+def own_hashes(b: pa.RecordBatch, name: str) -> list[np.ndarray] | None:
+    """The sorted hashes that a joined column holds per row, None where the batch has no such column."""
+    if name not in b.schema.names:
+        return None
+    return [np.sort(np.array(v or [], dtype=np.int64).view(np.uint64)) for v in b.column(name).to_pylist()]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}  # hash of the canonical word; one dictionary per task
 
-        def word_hash(w: str) -> int:
-            h = known[w] = int(canonical([w], names)[0][0])
-            return h
+def _windows(id_name: str, size: int, names: np.ndarray, wanted: np.ndarray | None, capitals: bool):
+    """Rows (id, place, template, words, form, slots) of the windows whose template is wanted (None: of all)."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            lows = [t.lower() if t else "" for t in texts]
-            words = [WORD.findall(low) for low in lows]
-            offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-            every = np.fromiter((known[w] if w in known else word_hash(w) for ws in words for w in ws), dtype=np.uint64, count=int(offsets[-1]))
-            rec, at = starts_inside(offsets, size)
-            t = window_hashes(every, size)[at] if len(at) else np.zeros(0, dtype=np.int64)
-            keep = np.arange(len(t)) if wanted is None else np.flatnonzero(np.isin(t, wanted))
-            hits = [(int(r), int(i), int(h), None) for r, i, h in zip(rec[keep], at[keep] - offsets[:-1][rec[keep]], t[keep])]
-            for r, text in enumerate(texts) if capitals else ():
-                if len(words[r]) >= size and len(lows[r]) == len(text) and any(cap := inner_capitals(text)) and len(cap) == len(words[r]):
-                    h, kinds = canonical(words[r], names, cap)
-                    w = window_hashes(h, size)
-                    differ = window_hashes(every[offsets[r] : offsets[r + 1]], size) != w
-                    hits += [(r, i, int(w[i]), kinds) for i in np.flatnonzero(differ & (True if wanted is None else np.isin(w, wanted))).tolist()]
-            if hits:
-                r, i, h, kinds = zip(*hits)
-                text = [words[x][y : y + size] for x, y in zip(r, i)]
-                kind = ["".join(k[y : y + size] if k else canonical(ws, names)[1]) for k, y, ws in zip(kinds, i, text)]
-                yield pa.RecordBatch.from_arrays([b.column(id_name).take(pa.array(r, pa.int64())), pa.array(i, pa.int32()), pa.array(h, pa.int64()), pa.array(kind), pa.array([" ".join(ws) for ws in text])], names=["id", "place", "template", "kinds", "words"])
+            own, ids = own_hashes(b, "names"), b.column(id_name)
+            for t in parts(b.column("text").to_pylist(), capitals):
+                start, end = t.alnum()
+                offsets = np.searchsorted(start, t.bounds)
+                rec, at = starts_inside(offsets, size)
+                if not len(at):
+                    continue
+                h, kind = canonical(t, start, end, names, own)
+                plain = window_hashes(h, size)[at]
+                tries = [(plain, kind, np.ones(len(at), dtype=bool))]
+                if capitals and (cap := inner_capitals(t, start, end)).any():
+                    h, kind = canonical(t, start, end, names, own, cap)
+                    with_capitals = window_hashes(h, size)[at]
+                    tries.append((with_capitals, kind, with_capitals != plain))
+                for template, kind, fit in tries:
+                    keep = np.flatnonzero(fit if wanted is None else fit & among(template, wanted))
+                    if not len(keep):
+                        continue
+                    said = [[t.text[i:j] for i, j in zip(start[w : w + size], end[w : w + size])] for w in at[keep].tolist()]
+                    forms, slots = zip(*(form(ws, kind[w : w + size].tobytes().decode()) for ws, w in zip(said, at[keep].tolist())))
+                    yield pa.RecordBatch.from_arrays([
+                        ids.take(pa.array(t.first + rec[keep])), pa.array((at - offsets[:-1][rec])[keep].astype(np.int32)), pa.array(template[keep]),
+                        pa.array([" ".join(ws) for ws in said]), pa.array(forms), pa.array(slots, pa.list_(pa.string()))], names=["id", "place", "template", "words", "form", "slots"])
 
     return cut
 
 
-ROW = "id bigint, place int, template bigint, kinds string, words string"
+ROW = "id bigint, place int, template bigint, words string, form string, slots array<string>"
 
 
-def item_names(items: DataFrame, few: int = 200_000) -> frozenset[str]:
-    """Words that items write with an inner capital and never in small letters. If there are more than ``few``, none is
-    typed by the list: names are then literal words, and only capitals tell names in documents."""
+def name_table(items: DataFrame) -> DataFrame:
+    """h: hashes of the words that items write with an inner capital and never in small letters."""
 
     def cased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, list[bool]] = {}
-            for text in b.column("text").to_pylist():
-                text = text or ""
-                for m, cap in zip(CASED.findall(text), inner_capitals(text)):
-                    s = seen.setdefault(m.lower(), [False, False])
-                    s[0] |= cap
-                    s[1] |= m.islower() or m[0].isdigit()
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()]), pa.array([v[1] for v in seen.values()])], names=["w", "cap", "low"])
-
-    words = items.select("text").mapInArrow(cased, "w string, cap boolean, low boolean").groupBy("w").agg(F.max("cap").alias("cap"), F.max("low").alias("low")).where("cap AND NOT low")
-    got = [r.w for r in words.limit(few + 1).collect()]
-    return frozenset(got if len(got) <= few else ())
-
-
-def template_hits(documents: DataFrame, items: DataFrame, size: int = 12, few: int = 1_000_000, capitals: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Windows of documents that fit a template of the items, and the items' windows: each id, place, template, kinds, words."""
-    names = item_names(items)
+            for t in parts(b.column("text").to_pylist(), True):
+                start, end = t.alnum()
+                low = (t.count(t.upper, start, end) == 0) | ((t.kind[start] & DIGIT) > 0)
+                rows = np.unique(np.stack([t.hashes(start, end).view(np.int64), inner_capitals(t, start, end), low]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1] > 0), pa.array(rows[2] > 0)], names=["h", "cap", "low"])
+
+    words = items.select("text").mapInArrow(cased, "h bigint, cap boolean, low boolean")
+    return words.groupBy("h").agg(F.max("cap").alias("cap"), F.max("low").alias("low")).where("cap AND NOT low").select("h")
+
+
+def few_hashes(table: DataFrame, few: int = FEW_NAMES) -> np.ndarray | None:
+    """The hashes (column h) in order, or None if there are more than ``few``."""
+    got = table.limit(few + 1).toArrow().column("h").to_numpy()
+    return np.unique(got.view(np.uint64)) if len(got) <= few else None
+
+
+def word_hashes(b: pa.RecordBatch, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    start, end = t.alnum()
+    return t.record(start), t.hashes(start, end)
+
+
+def with_hashes(texts: DataFrame, table: DataFrame, key: str, name: str, of: Callable = word_hashes, clean: Callable = list) -> DataFrame:
+    """``texts`` with the column ``name``: those hashes of each text (by default of its words) that are in the table (h), by a join."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in parts(clean(b.column("text").to_pylist())):
+                rec, h = of(b, t)
+                rows = np.unique(np.stack([rec, h.view(np.int64)]), axis=1)
+                at = pa.array(t.first + rows[0])
+                yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column("_text").take(at), pa.array(rows[1])], names=["_key", "_text", "h"])
+
+    keyed = texts.withColumn("_text", F.xxhash64("text"))
+    own = keyed.mapInArrow(hashes, "_key bigint, _text bigint, h bigint").join(table, "h", "left_semi").groupBy(F.col("_key").alias(key), "_text").agg(F.collect_set("h").alias(name))
+    return keyed.join(own, [key, "_text"], "left").drop("_text")
+
+
+def template_hits(documents: DataFrame, items: DataFrame, size: int = 12, few: int = 1_000_000, capitals: bool = True, most_names: int = FEW_NAMES) -> tuple[DataFrame, DataFrame]:
+    """Windows of documents that fit a template of the items, and the items' windows: each id, place, template, words, form, slots."""
+    table = stage(name_table(items), "names")
+    names = few_hashes(table, most_names)
+    known = np.zeros(0, np.uint64) if names is None else names
+    typed = lambda df: df if names is not None else with_hashes(df, table, "id", "names")
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("id"), "text")
-    table = stage(rows.mapInArrow(_windows("id", size, names, None, False), ROW), "templates")
-    hashes = table.select("template").distinct().limit(few + 1).toArrow().column("template").to_numpy()
+    templates = stage(typed(rows).mapInArrow(_windows("id", size, known, None, False), ROW), "templates")
+    hashes = templates.select("template").distinct().limit(few + 1).toArrow().column("template").to_numpy()
     wanted = np.sort(hashes) if len(hashes) <= few else None
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    return parallel(docs).mapInArrow(_windows("id", size, names, wanted, capitals), ROW), table
+    return parallel(typed(docs)).mapInArrow(_windows("id", size, known, wanted, capitals), ROW), templates
 
 
 def found(documents: DataFrame, items: DataFrame, size: int = 12) -> DataFrame:
@@ -142,41 +190,18 @@ def found(documents: DataFrame, items: DataFrame, size: int = 12) -> DataFrame:
     return same.select("doc_id", "item_id").distinct()
 
 
-def _consistent(size: int):
-    """Does one slot map onto the other one to one, names to names and numbers to numbers, with the rest equal?"""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, moved = [], []
-            for i, (a, ka, c, kc) in enumerate(zip(*(b.column(n).to_pylist() for n in ("words", "kinds", "item_words", "item_kinds")))):
-                to: dict[tuple[str, str], str] = {}
-                back: dict[tuple[str, str], str] = {}
-                ok = ka == kc
-                for x, y, k in zip(a.split(), c.split(), ka) if ok else ():
-                    if k == "w":
-                        ok &= x == y
-                    else:
-                        ok &= to.setdefault((k, y), x) == x and back.setdefault((k, x), y) == y
-                if ok and any(k[1] != v for k, v in to.items()):
-                    keep.append(i)
-                    moved.append(sum(k[1] != v for k, v in to.items()))
-            idx = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(idx), b.column("item_id").take(idx), b.column("place").take(idx), pa.array(moved, pa.int32())], names=["doc_id", "item_id", "place", "moved"])
-
-    return check
-
-
 def reparameterised(documents: DataFrame, items: DataFrame, size: int = 12, windows: int = 3) -> DataFrame:
     """Documents that hold passages of an item with other names, numbers or units: doc_id, item_id, windows, most_moved.
 
-    At least ``windows`` windows must fit with consistent slots, some slot changed, and the pair must not share the passage as it is."""
+    At least ``windows`` windows must fit with consistent slots, some slot changed, and the pair must not share the passage as it is. The join is
+    on the whole form, so windows whose slots can't map one to one never meet."""
     hits, table = template_hits(documents, items, size)
     hits = stage(hits, "hits")
     exact = hits.select(F.col("id").alias("doc_id"), "template", "words").join(table.select(F.col("id").alias("item_id"), "template", "words").distinct(), ["template", "words"]).select("doc_id", "item_id").distinct()
-    fit = hits.select(F.col("id").alias("doc_id"), "place", "template", "kinds", "words").join(
-        table.select(F.col("id").alias("item_id"), "template", F.col("kinds").alias("item_kinds"), F.col("words").alias("item_words")), "template").where("words <> item_words")
-    ok = spread(fit, "doc_id", "item_id").mapInArrow(_consistent(size), "doc_id bigint, item_id bigint, place int, moved int")
-    return ok.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("windows"), F.max("moved").alias("most_moved")).where(F.col("windows") >= windows).join(exact, ["doc_id", "item_id"], "left_anti")
+    known = table.select(F.col("id").alias("item_id"), "form", F.col("slots").alias("said")).distinct()
+    moved = F.size(F.filter(F.zip_with("slots", "said", lambda a, b: a != b), lambda x: x))
+    fit = hits.select(F.col("id").alias("doc_id"), "place", "form", "slots").join(known, "form").withColumn("moved", moved).where("moved > 0")
+    return fit.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("windows"), F.max("moved").alias("most_moved")).where(F.col("windows") >= windows).join(exact, ["doc_id", "item_id"], "left_anti")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, size: int = 12) -> DataFrame:

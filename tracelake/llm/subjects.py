@@ -2,13 +2,16 @@
 
 Labels are read from a bounded sample of labelled documents (at most ``sample``, by hash of the id). A document is cut into
 units: sentences, long ones in pieces; words inside quoted evaluation items are left out first. Terms (words and pairs
-of words) that depend on a label become items; every unit of a labelled document is a transaction of its items and the document's
-labels. Sets of up to two terms and one label are counted over all units, none of whose terms is left out; the frequent ones are the rules, and a rule is
-redundant if a more general one is as sure. A unit collects, per subject, the log-odds of its matching rules against the
-subject's base rate; the best subject over a threshold is the unit's. A document has a subject if a passage (units close to one
-another) holds enough units of it; threshold and number are calibrated on the labelled sample.
-
-What is sent to the tasks (rules, terms) is bounded by the sample, whatever the size of the corpus; every document is scored whole.
+of words) that depend on a label become items; every unit of a labelled document is a transaction of its items, in the order of their frequency,
+with the document's labels as its classes. Parallel FP-growth mines the sets of up to two items with the number of their units per class: every task
+gets, of each transaction, the prefix up to the last item it is to mine, and grows its items from their conditional pattern bases. The frequent
+sets with a class are the rules, and a rule is redundant if a more general one is as sure. A unit collects, per subject, the log-odds of
+its matching rules against the subject's base rate; the best subject over a threshold is the unit's. A document has a subject if a
+passage (units close to one another) holds enough units of it. Threshold and number are calibrated on documents the rules were not mined from:
+all counts are kept per half of the sample, and each half is scored by the rules of the other.
+
+What is sent to the tasks (rules, terms) is bounded by the sample, whatever the size of the corpus; every document is scored whole. Scoring is
+numpy over whole batches: words are hashes, rules are sorted tables of hashes and numbers.
 """
 
 from __future__ import annotations
@@ -16,259 +19,415 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.leaks import WORD, canonical, item_names, window_hashes
+from tracelake.llm.common import mix64, starts_inside
+from tracelake.llm.leaks import FEW_NAMES, canonical, few_hashes, name_table, own_hashes, window_hashes, with_hashes
+from tracelake.llm.words import BREAK, SPACE, STOP, Texts, among, parts
 from tracelake.plans.staging import parallel, stage, tasks
 
-TERM = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-MARK = re.compile(r"<[^<>\n]{1,40}>|[*`#|=]+|\[\d+\]")
-BREAK = re.compile(r"[.!?;:]+(?=\s|$)|\n+|[•]")
+MARK = re.compile(r"<[^<>\n]{1,40}>|\[\d+\]")
 QUOTE = 7  # canonical words of a window that tells a quoted item
 GAP = 6  # words between quoted windows that still belong to the quotation
 UNIT_WORDS = 24
+APART = 4  # units of a passage have at most so many units from one to the next
+LEASTS, NUMBERS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0), (1, 2, 3, 4)
 
 
-def quote_mask(text: str, names: frozenset[str], quoted: np.ndarray) -> str:
-    """The text with the words of quoted items blanked out."""
-    low = text.lower()
-    if len(low) != len(text) or not len(quoted):
-        return text
-    spans = [m.span() for m in WORD.finditer(low)]
-    if len(spans) < QUOTE:
-        return text
-    h, _ = canonical([low[a:b] for a, b in spans], names)
-    hit = np.flatnonzero(np.isin(window_hashes(h, QUOTE), quoted))
-    if not len(hit):
-        return text
-    out, done, i = [], 0, 0
-    while i < len(hit):
-        first, last = hit[i], hit[i] + QUOTE - 1
-        while i + 1 < len(hit) and hit[i + 1] <= last + GAP:
-            i += 1
-            last = hit[i] + QUOTE - 1
-        out.append(text[done : spans[first][0]])
-        done, i = spans[last][1], i + 1
-    return " ".join([*out, text[done:]])
-
-
-def units(text: str) -> list[list[str]]:
-    """Words (lower case) of each unit; units are sentences, pieces of UNIT_WORDS words where a sentence is long."""
-    text = MARK.sub(" ", html.unescape(text)).lower().replace("’", "'")
+def cleaned(texts: list[str | None]) -> list[str]:
+    """Texts without entities and tags, with one kind of apostrophe."""
     out = []
-    for s in BREAK.split(text):
-        words = TERM.findall(s)
-        out += [words[i : i + UNIT_WORDS] for i in range(0, len(words), UNIT_WORDS)] if len(words) > 2 * UNIT_WORDS else [words] if len(words) > 1 else []
+    for t in texts:
+        t = t or ""
+        if "&" in t:
+            t = html.unescape(t)
+        if "<" in t or "[" in t:
+            t = MARK.sub(" ", t)
+        out.append(t.replace("’", "'"))
     return out
 
 
-def terms(words: list[str]) -> list[str]:
-    return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
+def _quote_windows(t: Texts, names: np.ndarray, own: list[np.ndarray] | None) -> tuple[np.ndarray, ...]:
+    """Starts and ends of the words, and text, first word and hash of every window of QUOTE canonical words."""
+    start, end = t.alnum()
+    rec, at = starts_inside(np.searchsorted(start, t.bounds), QUOTE)
+    h, _ = canonical(t, start, end, names, own)
+    return start, end, rec, at, window_hashes(h, QUOTE)[at] if len(at) else np.zeros(0, np.int64)
+
+
+def quoted_places(t: Texts, names: np.ndarray, quoted: np.ndarray, own: list[np.ndarray] | None = None, own_quoted: list[np.ndarray] | None = None) -> np.ndarray:
+    """Is the character inside a quoted item?"""
+    start, end, rec, at, h = _quote_windows(t, names, own)
+    h = h.view(np.uint64)
+    if own_quoted is None:
+        hit = among(h, quoted)
+    else:
+        hit = np.zeros(len(h), dtype=bool)
+        for r in np.unique(rec):
+            hit[rec == r] = among(h[rec == r], own_quoted[t.first + r])
+    edge = np.zeros(len(t.codes) + 1, dtype=np.int64)
+    rec, at = rec[hit], at[hit]
+    if len(at):
+        last = at + QUOTE - 1
+        new = np.r_[True, (rec[1:] != rec[:-1]) | (at[1:] > last[:-1] + GAP)]
+        np.add.at(edge, start[at[new]], 1)
+        np.add.at(edge, end[last[np.r_[new[1:], True]]], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+class Units:
+    """The units of a part of a batch: of every word its hash and unit, of every unit its text and its place in it."""
+
+    def __init__(self, t: Texts, blank: np.ndarray):
+        start, end = t.terms(~blank)
+        space = ((t.kind & SPACE) > 0) | blank
+        stop = ((t.kind & STOP) > 0) & ~blank
+        stop[:-1] &= space[1:]
+        ends = stop | (((t.kind & BREAK) > 0) & ~blank)
+        _, no, n = np.unique(np.cumsum(ends)[start], return_inverse=True, return_counts=True)
+        place = np.arange(len(start)) - (np.cumsum(n) - n)[no]
+        piece = np.where(n[no] > 2 * UNIT_WORDS, place // UNIT_WORDS, 0)
+        use = n[no] > 1  # a sentence of one word is no unit
+        start, end, no, piece = start[use], end[use], no[use], piece[use]
+        new = np.r_[True, (no[1:] != no[:-1]) | (piece[1:] != piece[:-1])] if len(no) else np.zeros(0, dtype=bool)
+        self.word, self.unit = t.hashes(start, end), np.cumsum(new) - 1
+        self.text = t.record(start[new]) + t.first
+        self.count = len(self.text)
+        self.place = np.arange(self.count) - np.searchsorted(self.text, self.text)
+        same = self.unit[1:] == self.unit[:-1]
+        self.left = np.flatnonzero(same)  # first words of the pairs
+        self.pair = mix64(self.word[self.left] * np.uint64(0xD1B54A32D192ED03) + self.word[self.left + 1])
+
+    def items(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit and number of the known terms, each once a unit; a word inside a known pair is left out."""
+        pair = among(self.pair, known)
+        word = among(self.word, known)
+        word[self.left[pair]] = word[self.left[pair] + 1] = False
+        unit = np.concatenate([self.unit[self.left[pair]], self.unit[word]])
+        term = np.searchsorted(known, np.concatenate([self.pair[pair], self.word[word]]))
+        both = np.unique(unit * max(1, len(known)) + term)
+        return both // max(1, len(known)), both % max(1, len(known))
+
+
+def units_of(b: pa.RecordBatch, names: np.ndarray, quoted: np.ndarray) -> Iterator[Units]:
+    own, own_quoted = own_hashes(b, "names"), own_hashes(b, "quoted")
+    for t in parts(cleaned(b.column("text").to_pylist())):
+        yield Units(t, quoted_places(t, names, quoted, own, own_quoted))
 
 
-def sets_of(items: list[str], subjects: list[str]) -> Iterator[tuple[tuple[str, ...], str | None]]:
-    """Every term and every pair of terms of a unit, by itself (None) and with each of its subjects."""
-    terms = sorted(set(items))
-    for a in chain(((t,) for t in terms), combinations(terms, 2)):
-        for s in (None, *dict.fromkeys(subjects)):
-            yield a, s
+def subject_name(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
 
 
-def items_of(words: list[str], known: frozenset[str]) -> list[str]:
-    """Known terms of a unit; a word inside a known pair is left out."""
-    out, covered = [], set()
-    for i in range(len(words) - 1):
-        if (pair := f"{words[i]} {words[i + 1]}") in known:
-            out.append(pair)
-            covered |= {i, i + 1}
-    out += [w for i, w in enumerate(words) if i not in covered and w in known]
-    return sorted(set(out))
+class Rules:
+    """Log-odds of the subjects for single terms and for pairs of terms; 0 where there is no rule. Terms are sorted hashes."""
+
+    def __init__(self, known: np.ndarray, single: np.ndarray, keys: np.ndarray, double: np.ndarray):
+        self.known, self.single, self.keys, self.double = known, single, keys, double
+
+    def labels(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
+        """Best subject (-1: no rule matches) of each unit and its evidence: of the rules that use a term, the surest counts."""
+        best, value = np.full(u.count, -1), np.zeros(u.count)
+        unit, term = u.items(self.known)
+        if not len(unit):
+            return best, value
+        score = self.single[term]
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        n = np.diff(np.r_[first, len(unit)])
+        if len(self.keys):
+            many = np.repeat(n, n)
+            a = np.repeat(np.arange(len(unit)), many)
+            b = np.repeat(np.repeat(first, n), many) + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            key = np.minimum(term[a], term[b]) * len(self.known) + np.maximum(term[a], term[b])
+            hit = among(key, self.keys) & (a != b)
+            np.maximum.at(score, a[hit], self.double[np.searchsorted(self.keys, key[hit])])
+        total = np.add.reduceat(score, first)
+        at = unit[first]
+        best[at], value[at] = total.argmax(1), total.max(1)
+        best[at[value[at] <= 0]] = -1
+        return best, value
+
+
+def passages(u: Units, best: np.ndarray, value: np.ndarray, least: float, subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, subject, units and evidence of the largest passage of every text and subject (the first of the largest)."""
+    use = np.flatnonzero((best >= 0) & (value >= least))
+    key = u.text[use] * subjects + best[use]
+    order = np.lexsort((u.place[use], key))
+    use, key = use[order], key[order]
+    if not len(use):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    new = np.r_[True, (key[1:] != key[:-1]) | (u.place[use][1:] - u.place[use][:-1] > APART)]
+    run = np.cumsum(new) - 1
+    n, evidence, of = np.bincount(run), np.bincount(run, value[use]), key[new]
+    order = np.lexsort((-n, of))
+    top = order[np.r_[True, of[order][1:] != of[order][:-1]]]
+    return of[top] // subjects, of[top] % subjects, n[top], evidence[top]
 
 
-def _units(names: frozenset[str], quoted: np.ndarray):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, no, words = [], [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for k, u in enumerate(units(quote_mask(text, names, quoted)) if text else []):
-                    doc.append(i)
-                    no.append(k)
-                    words.append(u)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "no", "words"])
+class Model:
+    """Rules, the calibrated bounds, and what tells quoted items."""
 
-    return cut
+    def __init__(self, subjects: list[str], rules: Rules, names: np.ndarray, quoted: np.ndarray):
+        self.subjects, self.rules, self.names, self.quoted = subjects, rules, names, quoted
+        self.least, self.count, self.quality = 1.0, 2, None
 
 
-def subject_name(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
+def _score(model: Model):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, name = len(model.subjects), pa.array(model.subjects, pa.string())
+        for b in batches:
+            for u in units_of(b, model.names, model.quoted):
+                best, value = model.rules.labels(u)
+                text, subject, n, evidence = passages(u, best, value, model.least, k)
+                some = n >= model.count
+                text, subject = text[some], subject[some]
+                mine = np.bincount((u.text * k + best)[best >= 0], minlength=b.num_rows * k)
+                share = mine[text * k + subject] / np.maximum(np.bincount(u.text, minlength=b.num_rows), 1)[text]
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id").take(pa.array(text)), name.take(pa.array(subject)), pa.array(n[some].astype(np.int32)), pa.array(evidence[some]), pa.array(share)], names=["doc_id", "subject", "units", "evidence", "share"])
 
+    return score
 
-class Model:
-    """Rules: antecedent (one or two terms) -> subject -> log-odds against the base rate; and the calibrated bounds."""
-
-    def __init__(self, rules: dict[tuple[str, ...], dict[str, float]], names: frozenset[str], quoted: np.ndarray):
-        self.rules, self.names, self.quoted = rules, names, quoted
-        self.known = frozenset(t for a in rules for t in a)
-        self.least, self.count = 1.0, 2
-
-    def unit_scores(self, words: list[str]) -> dict[str, float]:
-        """Evidence per subject: of the rules that use a term, the surest counts."""
-        its = items_of(words, self.known)
-        total: dict[str, float] = defaultdict(float)
-        for i, a in enumerate(its):
-            best: dict[str, float] = dict(self.rules.get((a,), {}))
-            for j, c in enumerate(its):
-                if i != j and (r := self.rules.get((a, c) if a < c else (c, a))):
-                    for s, v in r.items():
-                        best[s] = max(best.get(s, -9.0), v)
-            for s, v in best.items():
-                total[s] += v
-        return total
-
-    def labels(self, text: str | None) -> list[tuple[str | None, float]]:
-        """Best subject and lead (over the second) of each unit; None where no rule matches."""
-        out = []
-        for u in units(quote_mask(text, self.names, self.quoted)) if text else []:
-            ranked = sorted(((v, s) for s, v in self.unit_scores(u).items()), reverse=True)
-            if ranked:
-                out.append((ranked[0][1], ranked[0][0]))
-            else:
-                out.append((None, 0.0))
-        return out
-
-    @staticmethod
-    def passages(labels: list[tuple[str | None, float]], least: float, apart: int = 4) -> dict[str, tuple[int, float]]:
-        """Per subject: most units of it in one passage (at most ``apart`` other units between two), and their evidence."""
-        out: dict[str, tuple[int, float]] = {}
-        run: dict[str, tuple[int, int, float]] = {}
-        for i, (s, v) in enumerate(labels):
-            if s is None or v < least:
-                continue
-            last, n, e = run.get(s, (-99, 0, 0.0))
-            n, e = (n + 1, e + v) if i - last <= apart else (1, v)
-            run[s] = (i, n, e)
-            if n > out.get(s, (0, 0.0))[0]:
-                out[s] = (n, e)
-        return out
 
+def _classes(b: pa.RecordBatch, k: int) -> np.ndarray:
+    """Rows of 2 * (k + 1) zeros and ones: for the row's half of the sample, one for every row and one for each of its subjects."""
+    out = np.zeros((b.num_rows, 2, k + 1), dtype=np.int64)
+    for i, (half, subjects) in enumerate(zip(b.column("half").to_pylist(), b.column("classes").to_pylist())):
+        out[i, half, [k, *subjects]] = 1
+    return out.reshape(b.num_rows, -1)
 
-def _score(model: Model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _term_counts(k: int, names: np.ndarray, quoted: np.ndarray):
+    """Documents that hold a term, per half and class. Pairs come with their words (a, b), words with zeros."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, subject, n, evidence, share = [], [], [], [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                labels = model.labels(text)
-                for s, (k, e) in model.passages(labels, model.least).items():
-                    if k >= model.count:
-                        doc.append(i)
-                        subject.append(s)
-                        n.append(k)
-                        evidence.append(e)
-                        share.append(sum(x == s for x, _ in labels) / len(labels))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(subject, pa.string()), pa.array(n, pa.int32()), pa.array(evidence, pa.float64()), pa.array(share, pa.float64())], names=["doc_id", "subject", "units", "evidence", "share"])
+            classes = _classes(b, k)
+            for u in units_of(b, names, quoted):
+                zero = np.zeros(len(u.word), np.uint64)
+                term = np.concatenate([u.word, u.pair])
+                words = np.stack([np.concatenate([zero, u.word[u.left]]), np.concatenate([zero, u.word[u.left + 1]])])
+                text = np.concatenate([u.text[u.unit], u.text[u.unit[u.left]]])
+                terms, first, no = np.unique(term, return_index=True, return_inverse=True)
+                once = np.unique(no * b.num_rows + text)
+                n = np.zeros((len(terms), classes.shape[1]), dtype=np.int64)
+                np.add.at(n, once // b.num_rows, classes[once % b.num_rows])
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), *(pa.array(w[first].view(np.int64)) for w in words), *(pa.array(c) for c in n.T.copy())], names=["term", "a", "b", *(f"n{i}" for i in range(n.shape[1]))])
 
-    return score
+    return count
 
 
-def _trial(model: Model):
-    """Hits, finds and labels of labelled documents for each choice of threshold and number."""
+def _prefixes(k: int, known: np.ndarray, rank: np.ndarray, groups: int, names: np.ndarray, quoted: np.ndarray):
+    """Of each unit, for every group that is to mine one of its items, the items up to the last of these, most frequent first; equal ones together."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            classes, got = _classes(b, k), defaultdict(lambda: np.zeros(2 * (k + 1), dtype=np.int64))
+            for u in units_of(b, names, quoted):
+                unit, term = u.items(known)
+                order = np.lexsort((rank[term], unit))
+                unit, items = unit[order], rank[term[order]]
+                first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.zeros(0, np.int64)
+                for i, j in zip(first, np.r_[first[1:], len(unit)]):
+                    mine, n = items[i:j].tolist(), classes[u.text[unit[i]]]
+                    for g, last in {x % groups: at for at, x in enumerate(mine)}.items():
+                        got[g, tuple(mine[: last + 1])] += n
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([list(p) for _, p in got], pa.list_(pa.int32())), pa.array([v.tolist() for v in got.values()], pa.list_(pa.int64()))], names=["grp", "items", "n"])
+
+    return emit
+
+
+def grow(paths: dict[tuple[int, ...], np.ndarray], support: int, longest: int, mined=None, suffix: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """FP-growth over weighted prefix paths: the frequent sets (by the sum of the weights of all rows) that end in ``suffix``, of at most ``longest`` items."""
+    total: dict[int, np.ndarray] = {}
+    base: dict[int, dict[tuple[int, ...], np.ndarray]] = defaultdict(dict)
+    for path, n in paths.items():
+        for i, x in enumerate(path):
+            if mined is None or mined(x):
+                total[x] = total[x] + n if x in total else n
+                if i and len(suffix) + 1 < longest:  # the conditional pattern base of x
+                    base[x][path[:i]] = base[x][path[:i]] + n if path[:i] in base[x] else n
+    k = len(next(iter(total.values()))) // 2 if total else 0
+    for x, n in total.items():
+        if n[k - 1] + n[2 * k - 1] >= support:
+            yield (x, *suffix), n
+            yield from grow(base[x], support, longest, None, (x, *suffix))
+
+
+def _grown(support: int, groups: int, longest: int = 2):
+    def mine(t: pa.Table) -> pa.Table:
+        paths: dict[tuple[int, ...], np.ndarray] = {}
+        for p, n in zip(t.column("items").to_pylist(), t.column("n").to_pylist()):
+            paths[tuple(p)] = paths.get(tuple(p), 0) + np.array(n)
+        g = t.column("grp")[0].as_py()
+        out = list(grow(paths, support, longest, lambda x: x % groups == g))
+        return pa.table({"items": pa.array([list(a) for a, _ in out], pa.list_(pa.int32())), "n": pa.array([n.tolist() for _, n in out], pa.list_(pa.int64()))})
+
+    return mine
+
+
+def _rules(known: np.ndarray, allowed: np.ndarray, sets: np.ndarray, n: np.ndarray, support: int) -> Rules:
+    """Rules from the counts of sets (item numbers, the second -1 for single ones) per class, those of all units last."""
+    k = n.shape[1] - 1
+    ok = (n[:, k] >= support) & allowed[sets[:, 0]] & ((sets[:, 1] < 0) | allowed[sets[:, 1]])
+    sets, n = sets[ok], np.where(n[ok] >= support, n[ok], 0).astype(float)
+    one = sets[:, 1] < 0
+    prior = np.minimum(0.9, np.maximum(n[one, :k].sum(0), 1e-6) / max(1.0, n[one, k].sum()))
+    conf = (n[:, :k] + 2 * prior) / (n[:, k:] + 2)
+    odds = np.log(conf / (1 - conf + 1e-3)) - np.log(prior / (1 - prior))
+    by_item = np.full((len(known), k), -np.inf)
+    by_item[sets[one, 0]] = conf[one]
+    two = np.flatnonzero(~one)
+    keep = odds > 0.5
+    keep[two] &= np.maximum(by_item[sets[two, 0]], by_item[sets[two, 1]]) < conf[two] - 0.02  # a more general rule isn't as sure
+    odds = np.where(keep, odds, 0.0)
+    used = np.unique(sets[keep.any(1)])
+    used = used[used >= 0]
+    at = np.searchsorted(used, sets)
+    single = np.zeros((len(used), k))
+    some = one & keep.any(1)
+    single[at[some, 0]] = odds[some]
+    two = np.flatnonzero(~one & keep.any(1))
+    keys = np.minimum(at[two, 0], at[two, 1]) * len(used) + np.maximum(at[two, 0], at[two, 1])
+    order = np.argsort(keys)
+    return Rules(known[used], single, keys[order], odds[two][order])
+
+
+def _trial(k: int, halves: list[Rules], names: np.ndarray, quoted: np.ndarray):
+    """Hits, finds and labels of labelled documents for each choice of threshold and number, each half by the rules of the other."""
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[float, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+        counts = np.zeros((len(LEASTS), len(NUMBERS), 3), dtype=np.int64)
         for b in batches:
-            for text, subjects in zip(b.column("text").to_pylist(), b.column("subjects").to_pylist()):
-                labels, want = model.labels(text), set(subjects)
-                for least in (0.5, 1.0, 1.5, 2.0, 2.5, 3.0):
-                    p = model.passages(labels, least)
-                    for n in (1, 2, 3, 4):
-                        got = {s for s, (k, _) in p.items() if k >= n}
-                        for i, v in enumerate((len(got & want), len(got), len(want))):
-                            counts[least, n][i] += v
-        keys = list(counts)
-        cols = list(zip(*counts.values())) if keys else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.float64()), pa.array([k[1] for k in keys], pa.int32()), *[pa.array(c, pa.int64()) for c in cols]], names=["least", "n", "hit", "got", "want"])
+            classes, half = _classes(b, k).reshape(b.num_rows, 2, -1)[:, :, :k].sum(1), b.column("half").to_numpy()
+            counts[:, :, 2] += classes.sum()
+            for u in units_of(b, names, quoted):
+                for f, rules in enumerate(halves):
+                    best, value = rules.labels(u)
+                    best[half[u.text] != f] = -1
+                    for i, least in enumerate(LEASTS):
+                        text, subject, n, _ = passages(u, best, value, least, k)
+                        for j, number in enumerate(NUMBERS):
+                            some = n >= number
+                            counts[i, j, :2] += classes[text[some], subject[some]].sum(), some.sum()
+        i, j = np.indices(counts.shape[:2])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(LEASTS)[i.ravel()]), pa.array(np.array(NUMBERS, np.int32)[j.ravel()]), *(pa.array(c.ravel()) for c in np.moveaxis(counts, 2, 0))], names=["least", "n", "hit", "got", "want"])
 
     return trial
 
 
-def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items: DataFrame, sample: int = 20_000, least_docs: int = 3) -> Model:
-    """Mine and calibrate the rules on at most ``sample`` labelled documents (those of smallest hash)."""
-    names = item_names(quoted_items)
-    quoted = np.unique(np.concatenate([np.zeros(0, np.int64)] + [window_hashes(canonical(WORD.findall(r.text.lower()), names)[0], QUOTE) for r in quoted_items.where("text IS NOT NULL").toLocalIterator()]))
-    wanted = labels.select("doc_id", subject_name(F.col("subject")).alias("subject")).join(areas.select("subject").distinct(), "subject").distinct()
-    drawn = wanted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    truth = stage(wanted.join(drawn, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")), "labels")
-    texts = stage(documents.select("doc_id", "text").join(truth, "doc_id"), "labelled")
-    cut = stage(texts.select("doc_id", "text").repartition(tasks(documents.sparkSession)).mapInArrow(_units(names, quoted), "doc_id bigint, no int, words array<string>"), "units")
-    docs = texts.count()
-    if not docs:
-        return Model({}, names, quoted)
-    base = {r.s: r.n / docs for r in texts.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
-    # terms that depend on a label, by document counts
-    pair = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))  # none of a unit of one word
-    per = cut.select("doc_id", F.explode(F.array_distinct(F.concat("words", pair))).alias("term")).distinct().join(texts.select("doc_id", "subjects"), "doc_id")
-    df = per.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_docs)
-    by = per.select("term", F.explode("subjects").alias("s")).groupBy("term", "s").agg(F.count("*").alias("n")).join(df, "term")
-    rate = F.create_map([F.lit(x) for kv in base.items() for x in kv])
-    lift = (F.col("n") / F.col("df")) / rate[F.col("s")]
-    z = (F.col("n") - F.col("df") * rate[F.col("s")]) / F.sqrt(F.col("df") * rate[F.col("s")] * (1 - rate[F.col("s")]) + 1e-9)
-    rows = by.where((lift > 1.4) & (z > 2.5) & (F.col("n") / F.col("df") > 0.45)).select("term").distinct().collect()  # bounded by the sample
-    known = frozenset(r.term for r in rows)
-    usual = df.where((F.col("df") >= max(least_docs, docs // 20)) & ~F.contains("term", F.lit(" "))).select("term").collect()  # at most 20 times the words of a document
-    common = {r.term for r in usual} - known  # frequent and independent of the labels
-    known = frozenset(t for t in known if not (set(t.split()) & common))
+def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items: DataFrame, sample: int = 20_000, least_docs: int = 3, most: int = 1_000_000) -> tuple[Model, tuple[DataFrame | None, DataFrame | None]]:
+    """Mine and calibrate the rules on at most ``sample`` labelled documents (those of smallest hash). Also the tables of names
+    and of quoted windows, where they are joined with the texts as they are too many to be sent to all tasks."""
+    spark = documents.sparkSession
+    name_rows = stage(name_table(quoted_items), "names")
+    names = few_hashes(name_rows, FEW_NAMES)
+    plain = np.zeros(0, np.uint64) if names is None else names
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = Counter(x for w, ss in zip(b.column("words").to_pylist(), b.column("subjects").to_pylist()) for x in sets_of(items_of(w, known), ss))
-            yield pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in got], pa.list_(pa.string())), pa.array([c for _, c in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["terms", "cls", "n"])
-
-    units = stage(cut.join(texts.select("doc_id", "subjects"), "doc_id").select("words", "subjects"), "units")
-    n = units.count()
-    support = math.ceil(min(1.0, max(least_docs, n * 2e-5) / max(n, 1)) * n)
-    kept = units.mapInArrow(count, "terms array<string>, cls string, n bigint").groupBy("terms", "cls").agg(F.sum("n").alias("freq")).where(F.col("freq") >= support).collect()  # bounded by the sample
-    total = {tuple(r.terms): r.freq for r in kept if not r.cls}
-    seen = {(tuple(r.terms), r.cls): r.freq for r in kept if r.cls}
-    of_unit = {s: max(1e-6, sum(f for (a, t), f in seen.items() if t == s and len(a) == 1)) for s in base}
-    every = sum(f for a, f in total.items() if len(a) == 1)
-
-    def odds(a: tuple[str, ...], s: str) -> tuple[float, float]:
-        prior = min(0.9, of_unit[s] / every)
-        conf = (seen.get((a, s), 0) + 2 * prior) / (total[a] + 2)
-        return conf, math.log(conf / (1 - conf + 1e-3)) - math.log(prior / (1 - prior))
-
-    rules: dict[tuple[str, ...], dict[str, float]] = {}
-    for a in sorted(total, key=len):
-        for s in base:
-            conf, lo = odds(a, s)
-            if lo <= 0.5 or (len(a) == 2 and any(odds((t,), s)[0] >= conf - 0.02 for t in a if (t,) in total)):
-                continue  # no evidence, or redundant
-            rules.setdefault(a, {})[s] = lo
-    model = Model(rules, names, quoted)
-    best = (-1.0, model.least, model.count)
-    sums = texts.select("text", "subjects").repartition(tasks(documents.sparkSession)).mapInArrow(_trial(model), "least double, n int, hit bigint, got bigint, want bigint").groupBy("least", "n").agg(
-        *[F.sum(c).alias(c) for c in ("hit", "got", "want")]).collect()
-    counts = {(r.least, r.n): (r.hit, r.got, r.want) for r in sums}
-    for (least, count), (hit, got, want_n) in sorted(counts.items()):
-        f = 2 * hit / max(1, got + want_n)
-        if f > best[0]:
-            best = (f, least, count)
-    model.quality, model.least, model.count = best
-    return model
-
-
-def scored(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items: DataFrame, sample: int = 20_000) -> DataFrame:
+            own = own_hashes(b, "names")
+            for t in parts(cleaned(b.column("text").to_pylist())):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_quote_windows(t, plain, own)[4]))], names=["h"])
+
+    of_items = quoted_items.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    of_items = of_items if names is not None else with_hashes(of_items, name_rows, "item_id", "names", clean=cleaned)
+    quote_rows = stage(of_items.mapInArrow(windows, "h bigint").distinct(), "quotes")
+    quoted = few_hashes(quote_rows, most)
+    subjects = sorted(r.subject for r in areas.where("subject IS NOT NULL").select("subject").distinct().collect())  # fixed table
+    model = Model(subjects, Rules(plain[:0], np.zeros((0, len(subjects))), np.zeros(0, np.int64), np.zeros((0, len(subjects)))), plain, np.zeros(0, np.uint64) if quoted is None else quoted)
+    joins = (name_rows if names is None else None, quote_rows if quoted is None else None)
+    k = len(subjects)
+    wanted = labels.select("doc_id", subject_name(F.col("subject")).alias("subject")).join(areas.select("subject").distinct(), "subject").distinct()
+    drawn = wanted.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    number = F.create_map([F.lit(x) for i, s in enumerate(subjects) for x in (s, i)]) if k else F.create_map()
+    truth = stage(wanted.join(drawn, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(number[F.col("subject")]).alias("classes")), "labels")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2)).cast("int").alias("half")
+    texts = documents.select("doc_id", "text").join(truth, "doc_id").select("doc_id", "text", "classes", half)
+    texts = stage(_joined(texts, plain, joins).repartition(tasks(spark)), "labelled")
+    per = texts.select("half", F.explode(F.concat("classes", F.array(F.lit(k)))).alias("c")).groupBy("half", "c").agg(F.count("*").alias("n")).collect()
+    docs = np.zeros((2, k + 1), dtype=np.int64)
+    for r in per:
+        docs[r.half, r.c] = r.n
+    if not docs[:, k].sum():
+        return model, joins
+    # terms that depend on a label, by document counts: of all documents and of either half
+    width = 2 * (k + 1)
+    counted = texts.mapInArrow(_term_counts(k, model.names, model.quoted), "term bigint, a bigint, b bigint, " + ", ".join(f"n{i} bigint" for i in range(width)))
+    counted = counted.groupBy("term", "a", "b").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(width)])
+    parts_ = [(0, 1), (1,), (0,)]  # rules of all, rules for half 0 (from half 1), rules for half 1
+
+    def depends(halves: tuple[int, ...]) -> Column:
+        of = lambda c: sum((F.col(f"n{h * (k + 1) + c}") for h in halves), F.lit(0))
+        df, total, out = of(k), int(docs[list(halves), k].sum()), F.lit(False)
+        for c in range(k):
+            if rate := docs[list(halves), c].sum() / max(1, total):
+                z = (of(c) - df * float(rate)) / F.sqrt(df * float(rate * (1 - rate)) + 1e-9)
+                out |= (of(c) > 1.4 * float(rate) * df) & (z > 2.5) & (of(c) > 0.45 * df)
+        return (df >= least_docs) & out
+
+    every = int(docs[:, k].sum())
+    df = F.col(f"n{k}") + F.col(f"n{width - 1}")
+    usual = (F.col("a") == 0) & (F.col("b") == 0) & (df >= max(least_docs, every // 20))
+    rows = counted.select("term", "a", "b", df.alias("df"), usual.alias("usual"), *[depends(h).alias(f"ok{i}") for i, h in enumerate(parts_)]).where("ok0 OR ok1 OR ok2 OR usual").toArrow()  # bounded by the sample
+    col = {c: rows.column(c).to_numpy() for c in rows.column_names}
+    term, a, b = (col[c].view(np.uint64) for c in ("term", "a", "b"))
+    common = np.sort(term[col["usual"] & ~col["ok0"]])  # frequent and independent of the labels
+    fit_for = np.stack([col[f"ok{i}"] for i in range(3)], axis=1) & ~(among(a, common) | among(b, common) | among(term, common))[:, None]
+    use = np.flatnonzero(fit_for.any(1))
+    use = use[np.argsort(term[use])]
+    known, fit_for = term[use], fit_for[use]
+    if not len(known):
+        return model, joins
+    rank = np.empty(len(known), dtype=np.int64)  # most frequent first
+    rank[np.lexsort((known, -col["df"][use]))] = np.arange(len(known))
+    units = texts.mapInArrow(_unit_number(model.names, model.quoted), "n bigint").agg(F.sum("n")).collect()[0][0] or 0
+    support, groups = math.ceil(max(least_docs, units * 2e-5)), tasks(spark)
+    prefixes = texts.mapInArrow(_prefixes(k, known, rank, groups, model.names, model.quoted), "grp int, items array<int>, n array<bigint>")
+    mined = prefixes.groupBy("grp").applyInArrow(_grown(support, groups), "items array<int>, n array<bigint>").toArrow()  # bounded by the sample
+    if not mined.num_rows:
+        return model, joins
+    by_rank = np.argsort(rank)
+    sets = np.array([[*x, -1][:2] for x in mined.column("items").to_pylist()])
+    sets = np.where(sets >= 0, by_rank[sets], -1)
+    n = np.array(mined.column("n").to_pylist()).reshape(len(sets), 2, k + 1)
+    every_rules = [_rules(known, fit_for[:, i], sets, n[:, list(h)].sum(1), support) for i, h in enumerate(parts_)]
+    model.rules = every_rules[0]
+    sums = texts.mapInArrow(_trial(k, every_rules[1:], model.names, model.quoted), "least double, n int, hit bigint, got bigint, want bigint").groupBy("least", "n").agg(*[F.sum(c).alias(c) for c in ("hit", "got", "want")]).collect()
+    best = max(sums, key=lambda r: (2 * r.hit / max(1, r.got + r.want), -r.least, -r.n))
+    model.quality, model.least, model.count = 2 * best.hit / max(1, best.got + best.want), best.least, best.n
+    return model, joins
+
+
+def _unit_number(names: np.ndarray, quoted: np.ndarray):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(u.count for u in units_of(b, names, quoted))], pa.int64())], names=["n"])
+
+    return number
+
+
+def _joined(texts: DataFrame, names: np.ndarray, joins: tuple[DataFrame | None, DataFrame | None]) -> DataFrame:
+    """The texts, with the hashes of their names and quoted windows where these are joined."""
+    name_rows, quote_rows = joins
+    if name_rows is not None:
+        texts = with_hashes(texts, name_rows, "doc_id", "names", clean=cleaned)
+    if quote_rows is not None:
+        texts = with_hashes(texts, quote_rows, "doc_id", "quoted", lambda b, t: _quote_windows(t, names, own_hashes(b, "names"))[2:5:2], cleaned)
+    return texts
+
+
+def scored(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items: DataFrame, sample: int = 20_000, most: int = 1_000_000) -> DataFrame:
     """doc_id, subject, units, evidence, share of every document's subjects. Null and empty texts have none."""
-    model = fit(documents, labels, areas, quoted_items, sample)
-    return parallel(documents.where("doc_id IS NOT NULL").select("doc_id", "text")).mapInArrow(
-        _score(model), "doc_id bigint, subject string, units int, evidence double, share double")
+    model, joins = fit(documents, labels, areas, quoted_items, sample, most=most)
+    texts = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
+    return parallel(_joined(texts, model.names, joins)).mapInArrow(_score(model), "doc_id bigint, subject string, units int, evidence double, share double")
 
 
 def found(documents: DataFrame, labels: DataFrame, areas: DataFrame, quoted_items: DataFrame) -> DataFrame:
