@@ -128,14 +128,64 @@ def test_cross_split_derives_missing_splits(make):
     assert crosssplit.found(make.segments([])).collect() == []
 
 
-def test_least_shared_is_a_bound():
+def spread_edits(a, k, kind):
+    """k edits, evenly spread over a."""
+    a = list(a)
+    for i in sorted((int((j + 0.5) * len(a) / k) for j in range(k)), reverse=True):
+        if kind == "c":
+            a[i] = 300 + i % 7
+        elif kind == "i":
+            a.insert(i, 300 + i % 7)
+        else:
+            a.pop(i)
+    return a
+
+
+def test_cross_split_at_every_length(make, rng):
+    """As many edits as near-same allows, evenly spread and in one place, at every length."""
+    segs = []
+    for n in range(0, 121):
+        a = [rng.randrange(512) for _ in range(n)]
+        segs.append((f"e{n}", a, "t", "val"))
+        for kind in "cid":
+            k = (n + n // 9) // 10 if kind == "i" else n // 10
+            while k and max(n, n + k if kind == "i" else n) // 10 < k:
+                k -= 1
+            segs.append((f"d{n}{kind}", spread_edits(a, k, kind) if k else a, "t", "train"))
+        k = n // 10
+        segs.append((f"d{n}x", a[: n // 3] + [310] * k + a[n // 3 + k :] if k else a, "t", "train"))
+    want = {(f"d{n}{k}", f"e{n}") for n in range(121) for k in "cidx"}
+    got = {tuple(r) for r in crosssplit.found(make.segments(segs)).collect()}
+    of = {u: a for u, a, _, _ in segs}
+    assert want <= got and all(near(of[u], of[v]) for u, v in got - want)
+
+
+def test_common_passages_stay_out_of_the_lists(rng):
+    """Of a passage that all records share no block is entered where the rest of a record is long enough."""
     import numpy as np
 
-    n = np.arange(10, 400)
-    low = crosssplit.least_shared(n, 8)
-    for i in (25, 70, 300):
-        longest = int(edits.longest_partner(n[i]))
-        assert low[i] == min(m - 7 - 8 * (m // 10) for m in range(n[i], longest + 1))
+    from tracelake.llm import blocks
+
+    same = walk(rng, 50)
+    rows = [same + [rng.randrange(512) for _ in range(60)] for _ in range(300)]
+    codes, offsets = np.array(sum(rows, []), dtype=np.int16), np.arange(301) * 110
+    counts = np.zeros((len(blocks.SIZES), blocks.SLOTS), dtype=np.float32)
+    for i, size in enumerate(blocks.SIZES):
+        rec, place = blocks._inside(offsets, size, np.ones(300, dtype=bool))
+        counts[i] = np.bincount((blocks.keys(codes, size)[offsets[rec] + place] % np.uint64(blocks.SLOTS)).astype(int), minlength=blocks.SLOTS)
+    rec, place, key = blocks.chosen(codes, offsets, counts)
+    assert (np.bincount(rec) == 13).all() and (place >= 47).mean() > 0.99
+
+
+def test_packed_steps_of_odd_vectors():
+    import pyarrow as pa
+
+    from tracelake.llm.common import packed_steps
+
+    rows = [[[1, 0, 1], None, [0] * 9, [0] * 8 + [5, 1], [], [None, 2]], None, [], [[1] * 9]]
+    t = pa.array(rows, pa.list_(pa.list_(pa.int16())))
+    assert packed_steps(t).to_pylist() == [[5, -1, 0, 256, 0, 2], [], [], [511]]
+    assert packed_steps(t.slice(3)).to_pylist() == [[511]] and packed_steps(t.slice(0, 0)).to_pylist() == []
 
 
 def test_runs(make, rng):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.identity import effective_split, side, trace_name
@@ -18,17 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def step_codes(actions: Column) -> Column:
-    """One SMALLINT per step: bit i is set if button i is pressed (not 0). A null step gives NO_STEP, missing or null
-    buttons count as not pressed, null ``actions`` stay null."""
+def packed_steps(actions: pa.Array) -> pa.Array:
+    """One int16 per step: bit i is set if button i is pressed (not 0). A null step gives NO_STEP, missing or null
+    buttons count as not pressed, null ``actions`` are empty."""
+    steps = actions.flatten()  # of all rows
+    lengths = np.asarray(steps.value_lengths().fill_null(0), dtype=np.int64)
+    pressed = np.asarray(steps.flatten().fill_null(0)) != 0
+    if len(lengths) and (lengths == BUTTONS).all():
+        codes = pressed.reshape(-1, BUTTONS) @ (1 << np.arange(BUTTONS, dtype=np.int16))
+    else:
+        step = np.repeat(np.arange(len(lengths)), lengths)
+        button = np.arange(len(pressed)) - (np.cumsum(lengths) - lengths)[step]
+        use = pressed & (button < BUTTONS)
+        codes = np.bincount(step[use], (1 << button[use]).astype(float), len(lengths))
+    codes = np.where(np.asarray(steps.is_null()), NO_STEP, codes).astype(np.int16)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(actions.value_lengths().fill_null(0)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))
 
-    def code(v: Column) -> Column:
-        total = F.lit(0)
-        for i in range(BUTTONS):
-            total = total + F.when(F.coalesce(F.get(v, F.lit(i)), F.lit(0)) != 0, F.lit(1 << i)).otherwise(F.lit(0))
-        return F.when(v.isNull(), F.lit(NO_STEP)).otherwise(total).cast("smallint")
 
-    return F.transform(actions, code)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = ["codes" if n == "actions" else n for n in b.schema.names]
+        yield pa.RecordBatch.from_arrays([packed_steps(c) if n == "codes" else c for n, c in zip(names, b.columns)], names=names)
 
 
 def segment_codes(segments: DataFrame) -> DataFrame:
@@ -39,9 +52,8 @@ def segment_codes(segments: DataFrame) -> DataFrame:
     counts as the trace named ``''``."""
     trace = F.coalesce(trace_name(F.col("src_trace")), F.lit(""))
     split = effective_split(F.col("split"), trace)
-    rows = segments.where(F.col("uid").isNotNull() & F.col("actions").isNotNull()).select(
-        "uid", trace.alias("trace"), step_codes(F.col("actions")).alias("codes"), "skip", split.alias("split"), side(split).alias("side")
-    )
+    rows = segments.where(F.col("uid").isNotNull() & F.col("actions").isNotNull()).select("uid", trace.alias("trace"), "actions", F.col("skip").cast("int").alias("skip"), split.alias("split"), side(split).alias("side"))
+    rows = rows.mapInArrow(_packed, "uid string, trace string, codes array<smallint>, skip int, split string, side string")
     return spread(rows, "uid").dropDuplicates(["uid"])
 
 

@@ -1,17 +1,11 @@
 """The same or nearly the same records on the evaluation and the training side, by a weighted cosine join.
 
-Records with equal steps are one class per side. A class is a unit vector over terms (8-gram of steps, number of its
-occurrence), all of weight 1/norm: with any other weights a bound on the edits would not bound the cosine. Near-same
-records of n steps share at least o = n - 7 - 8 * radius of their terms, which is the least dot product times the norms.
-
-Inverted lists are pruned as in cosine joins with maximum-weight and residual-norm bounds: in one order that both sides
-share (plain presses first: these make the longest lists) each record leaves its first o - 3 terms out of the lists; the
-left-out residual can't make up for fewer than 3 hits in the lists. Pairs with 3 hits get the exact dot product over the
-whole vectors, and those that reach o are verified by edit distance.
-
-The list join is an equi-join on the term, with the lengths and four counts of steps (which differ by at most the radius in near-same
-records) as further conditions inside the join, so that records which share a common passage but little else are dropped
-where they meet; hits are counted with a combine before the shuffle. Very short records (under 32 steps) use 5-grams in the same way, and below 10 steps near-same means equal.
+Records with equal steps are one class per side. Training classes are entered in inverted lists by their rarest blocks (``blocks``): terms are grams
+of steps, weighted by their rarity on the evaluation side; near-same classes have a least dot product with a block vector, and what the
+weights left out can't make up for stays out of the lists, by the maximum weights of the terms. Evaluation classes, the small side, ask with all
+their grams. The list join is an equi-join on the term; lengths, place and four counts of steps (pivots), which differ by at most the radius in
+near-same records, are further conditions inside it. Candidates get the exact dot product over the whole gram vectors, and those
+that reach the bound are verified by edit distance. Lossless at every length: records under 9 steps are near-same to equal ones only.
 """
 
 from __future__ import annotations
@@ -24,57 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import flat, gram_hashes, mix64, segment_codes, starts_inside
-from tracelake.llm.edits import SHARE, distance, longest_partner, pivot_counts, profiles_apart, radius, within_reach
+from tracelake.llm.blocks import POSTING, SHORT, indexed, probes, sketch
+from tracelake.llm.common import flat, segment_codes
+from tracelake.llm.edits import SHARE, distance, profiles_apart, radius, within_reach
 from tracelake.plans.staging import spread, stage
 
-HITS = 3
-SHORT = 32  # pairs whose longer record is shorter than this use grams of Q[0] steps, others of Q[1]
-Q = (5, 8)
-LIST = "term bigint, id bigint, nk bigint, pivots bigint"  # nk: length of the record << 1 | kind of gram
-
-
-def least_shared(n: np.ndarray, q: int) -> np.ndarray:
-    """The fewest q-grams that a record of n steps shares with any near-same record."""
-    out = np.full(len(n), np.iinfo(np.int64).max)
-    top = longest_partner(n)
-    for m in range(int((top - n).max(initial=0)) + 1):
-        longer = np.minimum(n + m, top)
-        out = np.minimum(out, longer - q + 1 - q * radius(longer))
-    return out
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        codes, offsets = flat(b.column("codes"))
-        lengths = np.diff(offsets)
-        ids, counts = np.asarray(b.column("id")), pivot_counts(codes, offsets)
-        for kind, q in enumerate(Q):
-            take = (lengths >= SHARE) & ((lengths < SHORT) if kind == 0 else (longest_partner(lengths) >= SHORT))
-            grams = gram_hashes(codes, q)
-            rec, at = starts_inside(offsets, q)
-            if not len(at):
-                continue
-            change = np.r_[0, np.cumsum(codes[1:] != codes[:-1])]
-            use = take[rec]
-            rec, at = rec[use], at[use]
-            if not len(at):
-                continue
-            g, turns = grams[at], change[at + q - 1] - change[at]
-            order = np.lexsort((g, rec))  # number the occurrences of each gram in its record
-            g, rec, turns = g[order], rec[order], turns[order]
-            new = np.r_[True, (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])]
-            first = np.flatnonzero(new)
-            occurrence = np.arange(len(g)) - first[np.cumsum(new) - 1]
-            term = mix64(g + occurrence.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(kind))
-            order = np.lexsort((term, turns, rec))  # the order that all records share
-            term, rec = term[order], rec[order]
-            begin = np.searchsorted(rec, np.arange(len(lengths)))
-            rank = np.arange(len(rec)) - begin[rec]
-            skip = np.maximum(least_shared(lengths, q) - HITS, 0)
-            keep = rank >= skip[rec]
-            term, rec = term[keep], rec[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(ids[rec]), pa.array(lengths[rec] << 1 | kind), pa.array(counts[rec])], names=["term", "id", "nk", "pivots"])
+GRAM = 5  # steps of a term of the dot products
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,58 +33,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(b.num_rows):
             s, t = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
             longer = max(len(s), len(t))
-            most, q = radius(longer), Q[longer >= SHORT]
+            most = radius(longer)
             if profiles_apart(s, t) > most:
                 continue
-            a, c = (Counter(zip(*[v[j : len(v) - q + 1 + j].tolist() for j in range(q)])) for v in (s, t))
+            a, c = (Counter(zip(*[v[j : len(v) - GRAM + 1 + j].tolist() for j in range(GRAM)])) for v in (s, t))
             shared = (a & c).total()
-            if shared < longer - q + 1 - q * most:
+            if shared < longer - GRAM + 1 - GRAM * most:
                 continue
             if (d := distance(s.tolist(), t.tolist(), most)) <= most:
                 keep.append(i)
-                dots.append(shared / float(np.sqrt((len(s) - q + 1) * (len(t) - q + 1))))
+                dots.append(shared / float(np.sqrt((len(s) - GRAM + 1) * (len(t) - GRAM + 1))))
                 dists.append(d)
         idx = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("e").take(idx), b.column("t").take(idx), pa.array(dots, pa.float64()), pa.array(dists, pa.int32())], names=["e", "t", "cosine", "edits"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(idx) for c in ("e", "e2", "t", "t2")), pa.array(dots, pa.float64()), pa.array(dists, pa.int32())], names=["e", "e2", "t", "t2", "cosine", "edits"])
+
+
+PAIR = "e bigint, e2 bigint, t bigint, t2 bigint, cosine double, edits int"
 
 
 def class_pairs(classes: DataFrame) -> DataFrame:
-    """Near-same pairs (e, t, cosine, edits) of an evaluation and a training class.
-
-    classes: id BIGINT, side STRING, codes ARRAY<SMALLINT>, n INT; distinct codes per side."""
-    terms = spread(classes.select("id", "side", "codes").where("side = 'eval'"), "id").mapInArrow(_terms, LIST)
-    train = spread(classes.select("id", "side", "codes").where("side = 'train'"), "id").mapInArrow(_terms, LIST)
-    e, t = terms.alias("e"), train.alias("t")
-    ne, nt = F.shiftright("e.nk", 1), F.shiftright("t.nk", 1)
-    longer, kind = F.greatest(ne, nt), F.col("e.nk").bitwiseAND(1)
-    reach = F.floor(longer / SHARE)
-    hits = e.join(t, (F.col("e.term") == F.col("t.term")) & (F.abs(ne - nt) <= reach) & (kind == F.col("t.nk").bitwiseAND(1)) & ((longer >= SHORT) == (kind == 1)) & within_reach("e.pivots", "t.pivots", reach))
-    pairs = hits.groupBy(F.col("e.id").alias("e"), F.col("t.id").alias("t")).agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= HITS).select("e", "t")
-    of = lambda s, i: classes.where(F.col("side") == s).select(F.col("id").alias(i[0]), F.col("codes").alias(f"codes_{i[0]}"))
-    pairs = stage(pairs, "pairs")
+    """Near-same pairs (e, e2, t, t2, cosine, edits) of an evaluation and a training class.
+
+    classes: id and id2 BIGINT (two hashes), side STRING, codes ARRAY<SMALLINT>, n INT; distinct codes per side."""
+    asking, listed = (classes.where((F.col("side") == s) & (F.col("n") >= SHORT)).select("id", "codes") for s in ("eval", "train"))
+    counts = sketch(asking, "codes")
+    a = spread(asking, "id").mapInArrow(probes("id", "codes"), POSTING).alias("a")
+    b = spread(listed, "id").mapInArrow(indexed("id", "codes", counts), POSTING).alias("b")
+    (na, pa_), (nb, pb) = ((F.shiftright(f"{s}.at", 32), F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF)) for s in "ab")
+    reach = F.floor(F.greatest(na, nb) / SHARE)
+    on = (F.col("a.key") == F.col("b.key")) & (F.abs(na - nb) <= reach) & (F.abs(pa_ - pb) <= reach) & within_reach("a.pivots", "b.pivots", reach)
+    pairs = stage(a.join(b, on).select(F.col("a.id").alias("e"), F.col("b.id").alias("t")).distinct(), "pairs")
+    of = lambda s, i: classes.where(F.col("side") == s).select(F.col("id").alias(i), F.col("id2").alias(f"{i}2"), F.col("codes").alias(f"codes_{i}"))
     both = pairs.join(of("eval", "e"), "e").join(of("train", "t"), "t")
-    near = spread(both, "e", "t").mapInArrow(_verify, "e bigint, t bigint, cosine double, edits int")
-    short = classes.where((F.col("n") < SHARE))
-    equal = short.where("side = 'eval'").select(F.col("id").alias("e"), "codes").join(short.where("side = 'train'").select(F.col("id").alias("t"), "codes"), "codes")
-    return near.unionByName(equal.select("e", "t", F.lit(1.0).alias("cosine"), F.lit(0).alias("edits")))
+    near = spread(both, "e", "t").mapInArrow(_verify, PAIR)
+    short = classes.where(F.col("n") < SHORT)
+    side = lambda s, i: short.where(F.col("side") == s).select("codes", F.col("id").alias(i), F.col("id2").alias(f"{i}2"))
+    equal = side("eval", "e").join(side("train", "t"), "codes")
+    return near.unionByName(equal.select("e", "e2", "t", "t2", F.lit(1.0).alias("cosine"), F.lit(0).alias("edits")))
 
 
 def overlaps(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes (e, t, cosine, edits) and the members (uid, trace, split, side, id) of the classes.
+    """Pairs of classes (e, e2, t, t2, cosine, edits) and the members (uid, trace, split, side, id, id2) of the classes.
 
     Null ``actions`` or uid: no row. Empty ``actions`` equal one another. Segments whose split is on neither side are left out."""
-    records = stage(segment_codes(segments).where(F.col("side").isNotNull()), "records")
-    key = F.xxhash64("side", "codes", F.lit(1))
-    classes = stage(records.groupBy("side", "codes").agg(F.min("uid").alias("uid")).select(key.alias("id"), "side", "codes", F.size("codes").alias("n")), "classes")
-    return class_pairs(classes), records.select("uid", "trace", "split", "side", key.alias("id"))
+    keyed = segment_codes(segments).where(F.col("side").isNotNull()).withColumns({"id": F.xxhash64("side", "codes", F.lit(1)), "id2": F.xxhash64("codes", F.lit(2))})
+    records = stage(keyed, "records")
+    classes = stage(records.groupBy("side", "id", "id2").agg(F.min_by("codes", "uid").alias("codes")).withColumn("n", F.size("codes")), "classes")
+    return class_pairs(classes), records.select("uid", "trace", "split", "side", "id", "id2")
 
 
 def found(segments: DataFrame) -> DataFrame:
     """p2_found: every pair of uid, the smaller string first."""
     pairs, members = overlaps(segments)
-    a = members.where("side = 'eval'").select(F.col("id").alias("e"), F.col("uid").alias("u"))
-    b = members.where("side = 'train'").select(F.col("id").alias("t"), F.col("uid").alias("v"))
-    return pairs.select("e", "t").join(a, "e").join(b, "t").select(F.least("u", "v").alias("uid_a"), F.greatest("u", "v").alias("uid_b"))
+    a = members.where("side = 'eval'").select(F.col("id").alias("e"), F.col("id2").alias("e2"), F.col("uid").alias("u"))
+    b = members.where("side = 'train'").select(F.col("id").alias("t"), F.col("id2").alias("t2"), F.col("uid").alias("v"))
+    return pairs.select("e", "e2", "t", "t2").join(a, ["e", "e2"]).join(b, ["t", "t2"]).select(F.least("u", "v").alias("uid_a"), F.greatest("u", "v").alias("uid_b"))
 
 
 def by_source(segments: DataFrame) -> DataFrame:
@@ -143,7 +95,7 @@ def by_source(segments: DataFrame) -> DataFrame:
 
     Copies are counted by class sizes, not expanded into pairs."""
     pairs, members = overlaps(segments)
-    size = members.where("side = 'train'").groupBy(F.col("id").alias("t")).agg(F.count("*").alias("copies"))
-    matched = pairs.join(size, "t").groupBy("e").agg(F.sum("copies").alias("partners"), F.sum(F.when(F.col("edits") == 0, F.col("copies")).otherwise(0)).alias("equal"))
-    return members.where("side = 'eval'").join(matched.withColumnRenamed("e", "id"), "id", "left").groupBy("split", "trace").agg(
+    size = members.where("side = 'train'").groupBy(F.col("id").alias("t"), F.col("id2").alias("t2")).agg(F.count("*").alias("copies"))
+    matched = pairs.join(size, ["t", "t2"]).groupBy(F.col("e").alias("id"), F.col("e2").alias("id2")).agg(F.sum("copies").alias("partners"), F.sum(F.when(F.col("edits") == 0, F.col("copies")).otherwise(0)).alias("equal"))
+    return members.where("side = 'eval'").join(matched, ["id", "id2"], "left").groupBy("split", "trace").agg(
         F.count("*").alias("records"), F.count("partners").alias("leaking"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("equal"), F.lit(0)).alias("equal_pairs"))
