@@ -27,9 +27,9 @@ def test_windows(spark):
     assert segments.before_boss(steps).count() == 6 and segments.before_boss(steps, True).count() == 7
     assert [(r.start_step, r.end_step) for r in segments.ground_windows(steps, gap=2, latest_start=0).collect()] == [(0, 3), (3, 6)]
     t = segments.make_tasks(segments.KillMaker(shortest=3), steps)
+    assert {r.reason: r.n for r in segments.report(t).collect()} == {"kept": 1}
+    t = segments.make_tasks(segments.KillMaker(shortest=4), steps)
     assert {r.reason: r.n for r in segments.report(t).collect()} == {"too short": 1}
-    v = segments.verified(segments.kill_windows(steps), steps, F.exists("slots", lambda s: (s["slot"] == 0) & (s["hp"] == 0))).collect()
-    assert v[0].reached
 
 
 def test_fired_and_cap(spark):
@@ -117,3 +117,126 @@ def test_replay_and_encoder(spark):
     assert [(r.step, r.ram[0]) for r in segments.steps_of(tr, Counting).orderBy("step").collect()] == [(0, 5), (1, 8), (2, 14)]
     f = spark.createDataFrame([("k", bytearray(b"ab")), ("l", bytearray(b"c"))], "key string, png binary")
     assert {r.key: r.vec for r in segments.encoded(f, ["key"], "png", lambda: lambda ims: [[len(i), 1] for i in ims]).collect()} == {"k": [2, 1], "l": [1, 1]}
+
+
+def play(rng, n):
+    """A trace whose slots change at random: enough of everything that the makers look at."""
+    snaps, b = [], snapshot(ROUTINE=4, LEVEL=rng.choice([0, 2]), WEAPON=rng.choice([0, 3]))
+    for _ in range(n):
+        b = bytearray(b)
+        for s in range(3):
+            if rng.random() < 0.3:
+                b[ram.SLOT_ROUTINE + s] = rng.choice([0, 1, 1])
+            if rng.random() < 0.2:
+                b[ram.SLOT_TYPE + s] = rng.choice([0, 0, 4, 5, 6, 0x13])
+            if rng.random() < 0.3:
+                b[ram.SLOT_HP + s] = rng.choice([0, 1, 2])
+            b[ram.SLOT_X + s], b[ram.SLOT_Y + s], b[ram.SLOT_ATTR + s] = rng.choice([4, 60]), 60, rng.choice([0, 1, 3, 5])
+        if rng.random() < 0.3:
+            b[ram.WEAPON] = rng.choice([0, 1, 3, 0x13])
+        b[ram.GUN_ANI], b[ram.INVINCIBILITY] = rng.choice([0, 0x1F]), rng.choice([0, 0, 9])
+        b[ram.PLAYER_X], b[ram.PLAYER_Y], b[ram.JUMP] = rng.randrange(256), rng.choice([60, 64, 90]), rng.choice([0, 0, 1])
+        if rng.random() < 0.02:
+            b[ram.STOP_SCROLL] = 0xFF
+        if rng.random() < 0.03:
+            b[ram.ROUTINE] = rng.choice([4, 8])
+        snaps.append(b)
+    return snaps, [rng.random() < 0.1 for _ in snaps]
+
+
+def loop_windows(snaps, shots):
+    """The makers as loops over one trace: sets of (kind, slot, start, end, reason)."""
+    out, R = set(), ram
+    boss = lambda b: b[R.STOP_SCROLL] == 0xFF
+    on = lambda b, s: 8 <= b[R.SLOT_X + s] < 248 and 8 <= b[R.SLOT_Y + s] < 232
+    live = {s: dict(active=False, type=0, hp=0, spawn=None, item=False, born=None) for s in range(16)}
+    for i in range(1, len(snaps)):
+        p, b = snaps[i - 1], snaps[i]
+        if boss(b):
+            break
+        for s, v in live.items():
+            kind, hp, active = b[R.SLOT_TYPE + s], b[R.SLOT_HP + s], b[R.SLOT_ROUTINE + s] != 0
+            if v["active"] and v["hp"] > 0 and hp == 0:
+                k = v["type"]
+                if v["spawn"] is not None and k not in events.TARGET_SKIP and k != 5 and not (k == 0x13 and b[R.LEVEL] == 2):
+                    n = i - v["spawn"] + 1
+                    why = "too short" if n < 2 else "too long" if n > 240 else "off screen" if not on(b, s) else "no shot" if not any(shots[v["spawn"] : i + 1]) else None
+                    out.add(("kill", s, v["spawn"], i, why))
+                v["spawn"] = None
+            elif active and (not v["active"] or kind != v["type"]):
+                v["spawn"] = i
+            elif not active:
+                v["spawn"] = None
+            item = active and kind == 0
+            if v["item"] and not item and v["born"]:
+                at, attr, seen = v["born"]
+                gun, before = b[R.WEAPON] & 15, p[R.WEAPON] & 15
+                rapid = b[R.GUN_ANI] == 0x1F and p[R.GUN_ANI] != 0x1F and gun == before and b[R.WEAPON] & 16 and not p[R.WEAPON] & 16
+                own = {0: rapid, 5: b[R.INVINCIBILITY] > p[R.INVINCIBILITY], 6: False}.get(attr, gun == attr and gun != before)
+                kind_ = "pick" if own else "avoid" if attr in (1, 2, 3, 4) and attr != gun and gun in (1, 2, 3, 4) else None
+                n = i - at + 1
+                why = "never seen" if not seen else "no choice" if kind_ is None else "too short" if n < (10 if kind_ == "pick" else 2) else "too long" if n > 240 else None
+                gone = {b2 for b2 in range(16) if p[R.SLOT_ROUTINE + b2] and p[R.SLOT_TYPE + b2] == 0 and not (b[R.SLOT_ROUTINE + b2] and b[R.SLOT_TYPE + b2] == 0) and p[R.SLOT_ATTR + b2] & 7 == attr}
+                if why is None and kind_ == "avoid" and not (gun == before and gone):
+                    why = "perhaps dropped"  # an earlier item of the same gun may have left in the window
+                out.add(("item", s, at, i, why))
+            if item and not v["item"]:
+                v["born"] = (i, b[R.SLOT_ATTR + s] & 7, on(b, s))
+            v["active"], v["type"], v["hp"], v["item"] = active, kind, hp, item
+    start = end = None
+    for i in range(1, len(snaps)):
+        p, b = snaps[i - 1], snaps[i]
+        if start is None and boss(b) and not boss(p):
+            start = i
+        elif start and end is None and (b[R.LEVEL] > p[R.LEVEL] or (p[R.ROUTINE] not in (8, 9) and b[R.ROUTINE] in (8, 9))):
+            end = i
+    if end:
+        out.add(("boss", None, start, end, None))
+    return out
+
+
+def test_makers_against_loops(spark):
+    rng = random.Random(13)
+    plays = {f"t{i}": play(rng, 220) for i in range(6)}
+    rows = [(t, i, b, int(f)) for t, (snaps, shots) in plays.items() for i, (b, f) in enumerate(zip(snaps, shots))]
+    steps = spark.createDataFrame(rows, "trace_id string, step int, ram binary, bits int").select("trace_id", "step", "bits", *ram.decoded(F.col("ram"))).cache()
+    want = {(t, *w) for t, (snaps, shots) in plays.items() for w in loop_windows(snaps, shots)}
+    got = {(r.trace_id, name, r.slot, r.start_step, r.end_step, r.reason) for name in ("kill", "item", "boss") for r in segments.make_tasks(segments.MAKERS[name](), steps).collect()}
+    doubt = {w[:5] for w in want if w[5] == "perhaps dropped"}
+    assert {w for w in got if w[:5] not in doubt} == {w for w in want if w[:5] not in doubt} and {w[:5] for w in got} == {w[:5] for w in want}
+    assert {w[1] for w in got} == {"kill", "item", "boss"} and {None, "too short", "off screen", "no shot", "never seen", "no choice"} <= {w[5] for w in got}
+    ways = segments.make_tasks(segments.TraverseMaker(gap=20, latest_start=0), steps).collect()
+    assert ways and all(r.reason is None for r in ways)  # the place itself is in the window
+    x = lambda b: b[ram.XSCROLL] * 256 + b[ram.XSCROLL + 1] + b[ram.PLAYER_X]
+    for r in ways:
+        snaps = plays[r.trace_id][0]
+        assert (r.start_x, r.end_x, r.end_y) == (x(snaps[r.start_step]), x(snaps[r.end_step]), snaps[r.end_step][ram.PLAYER_Y]) and r.end_step - r.start_step > 20
+
+
+def test_goals_are_pinned(spark):
+    """Another slot's death, or an empty slot, is not the goal."""
+    w = spark.createDataFrame([("t", 0, 1, 3), ("t", 1, 1, 3), ("t", 1, 4, 9), ("u", 1, 4, 9)], "trace_id string, slot int, start_step int, end_step int")
+    g = spark.createDataFrame([("t", 1, 3), ("t", 2, 5), ("u", 1, 10)], "trace_id string, slot int, step int")
+    assert {(r.trace_id, r.slot, r.start_step): r.reached for r in segments.verified(w, g, ["trace_id", "slot"]).collect()} == {("t", 0, 1): False, ("t", 1, 1): True, ("t", 1, 4): False, ("u", 1, 4): False}
+
+
+class Shooting:
+    """Slot 3 dies once fire was pressed, or at the second step if the state says that a bullet is on its way."""
+
+    def start(self, state):
+        self.late, self.n, self.shot = state[0], 0, False
+        return self.ram()
+
+    def act(self, code, skip):
+        self.n, self.shot = self.n + 1, self.shot or code & 1
+        return self.ram()
+
+    def ram(self):
+        dead = self.shot or (self.late and self.n > 1)
+        return bytes(snapshot(ROUTINE=4, SLOT_HP=[9, 9, 9, 0 if dead else 1]))
+
+
+def test_stray_bullets(spark):
+    tasks = spark.createDataFrame([("a", bytearray(b"\x00"), [0, 1, 0], 3), ("b", bytearray(b"\x01"), [0, 1, 0], 3)], "uid string, initial_state binary, codes array<int>, skip int")
+    w = spark.createDataFrame([("a", 3), ("b", 3)], "uid string, slot int")
+    assert {r.uid: r.stray for r in segments.stray(w, tasks, Shooting).collect()} == {"a": False, "b": True}

@@ -1,6 +1,7 @@
 """Segments cut from decoded steps: extraction plug-ins, gates, goal frames and points, start states, features.
 
-steps: trace_id, step and the columns of ``functions.ram.decoded``; where a function needs the action held in a step it says so.
+steps: trace_id, step (number of the observation; 0 is the one before any action) and the columns of ``functions.ram.decoded``; ``bits``, where a function needs
+it, is the action that led to the observation. A window from start_step to end_step holds end_step - start_step + 1 actions.
 """
 
 from __future__ import annotations
@@ -34,36 +35,63 @@ def before_boss(steps: DataFrame, on_previous: bool = False) -> DataFrame:
 
 
 def kill_windows(steps: DataFrame) -> DataFrame:
-    """trace_id, slot, start_step, end_step, kind of every target that spawns and is killed, before the boss scene."""
-    s = slot_steps(before_boss(steps))
-    level = s.groupBy("trace_id").agg(F.first("level").alias("level"))
-    got = sequence.slot_lifecycle(s, ["trace_id", "slot"], "step", C("type"), C("hp"), C("routine") != 0)
-    return got.join(level, "trace_id").where(events.is_target(C("kind"), C("level"))).select(
-        "trace_id", "slot", C("spawn_step").alias("start_step"), C("kill_step").alias("end_step"), "kind", "level", ram.type_name(C("kind"), C("level")).alias("label"))
+    """trace_id, slot, start_step, end_step, kind, level, x, y (of the slot at the kill) of every target that spawns and is killed, before the boss scene."""
+    s = slot_steps(before_boss(steps.where("step > 0")))
+    got = sequence.slot_lifecycle(s, ["trace_id", "slot"], "step", C("type"), C("hp"), C("routine") != 0, carry=("level", "x", "y"))
+    return got.where(events.is_target(C("kind"), C("level"))).select(
+        "trace_id", "slot", C("spawn_step").alias("start_step"), C("kill_step").alias("end_step"), "kind", "level", "x", "y", ram.type_name(C("kind"), C("level")).alias("label"))
 
 
-def item_windows(steps: DataFrame) -> DataFrame:
-    """trace_id, slot, start_step (birth), end_step (removal), attr, carrier of every item, before the boss scene."""
-    s = slot_steps(before_boss(steps))
+PICKUPS = {**{w: f"pick_{ram.WEAPONS[w].lower()}" for w in ram.GUN_ATTRS}, 0: "pick_rapid_fire", 5: "pick_barrier", 6: "pick_falcon"}  # event of an item's pickup, by its attribute
+
+
+def item_windows(steps: DataFrame, require_armed: bool = True) -> DataFrame:
+    """trace_id, slot, start_step (birth), end_step (removal), attr, carrier, outcome, label, level, source, seen (was it on the screen at its birth?) of every item
+    that is picked or avoided before the boss scene; items that just leave have no outcome."""
+    pairs = events.step_pairs(before_boss(steps))
+    own = F.lit(0.0)
+    for a, tag in PICKUPS.items():
+        own = F.when(C("attr") == a, C(f"_{tag}")).otherwise(own)
+    fired = {f"_{t}": events.event_by_tag(t) for t in PICKUPS.values()}
+    s = pairs.where("step > 0").withColumns(fired).select("trace_id", "step", "level", C("weapon").alias("_gun"), *fired, F.inline("slots"))
     item = (C("type") == 0) & (C("routine") != 0)
-    got = sequence.item_lifecycle(s, ["trace_id", "slot"], "step", C("type"), C("routine") != 0, item, C("attr"))
-    return got.select("trace_id", "slot", C("birth_step").alias("start_step"), C("removal_step").alias("end_step"), "attr", "carrier", ram.item_label(C("attr")).alias("label"))
+    got = sequence.item_lifecycle(s, ["trace_id", "slot"], "step", C("type"), C("routine") != 0, item, C("attr"), carry=("level", "_gun", *fired), born={"seen": ram.on_screen(C("x"), C("y"))})
+    got = sequence.pick_or_avoid(got, own > 0, C("attr"), C("_gun"), ram.GUN_ATTRS, require_armed)
+    source = F.when(C("carrier") != 0, ram.type_name(C("carrier"), C("level"))).otherwise("")
+    return got.select("trace_id", "slot", C("birth_step").alias("start_step"), C("removal_step").alias("end_step"), "attr", "carrier", "outcome",
+                      F.concat_ws("_", "outcome", F.lower(ram.item_label(C("attr")))).alias("label"), "level", source.alias("source"), "seen")
+
+
+def cleared() -> Column:
+    """Over a pair of steps: the level rose, or the transition after a boss began."""
+    return (events.event_by_tag("clear_level") > 0) | (events.event_by_tag("in_level_transition") > 0)
 
 
 def boss_windows(pairs: DataFrame) -> DataFrame:
-    """trace_id, start_step (first rising boss scene), end_step (first cleared level strictly after), peak_hp from the start on. Traces that don't clear are left out."""
-    p = pairs.withColumns({"_edge": events.event_by_tag("in_boss_stage") > 0, "_clear": events.event_by_tag("clear_level") > 0, "_hp": ram.boss_hp(C("slots"), C("level"))})
+    """trace_id, start_step (first rising boss scene), end_step (level cleared, strictly after), level, weapon and rapid before the start, peak_hp from just before the start
+    on. Traces that don't clear are left out."""
+    p = pairs.withColumns({"_edge": events.event_by_tag("in_boss_stage") > 0, "_clear": cleared(), "_hp": ram.boss_hp(C("slots"), C("level")), "_pre_hp": ram.boss_hp(C("pre_slots"), C("pre_level"))})
     ends = sequence.first_and_after(p, ["trace_id"], "step", C("_edge"), C("_clear")).where("end_step IS NOT NULL")
-    return p.join(ends, "trace_id").where("step >= start_step AND step <= end_step").groupBy("trace_id", "start_step", "end_step").agg(F.max("_hp").alias("peak_hp"))
+    at = C("step") == C("start_step")
+    return p.join(ends, "trace_id").where("step >= start_step AND step <= end_step").groupBy("trace_id", "start_step", "end_step").agg(
+        F.max(F.greatest("_hp", F.when(at, C("_pre_hp")))).alias("peak_hp"), F.max(F.when(at, C("pre_level"))).alias("level"),
+        F.max(F.when(at, ram.weapon_label(C("pre_weapon")))).alias("weapon"), F.max(F.when(at, C("pre_rapid"))).alias("rapid")).withColumn("label", F.concat(F.lit("boss_level"), (C("level") + 1).cast("string")))
+
+
+def on_ground() -> Column:
+    return (C("water_state").bitwiseAND(4) == 0) & (C("jump_status").bitwiseAND(15) == 0) & (C("edge_fall") == 0)
 
 
 def ground_windows(steps: DataFrame, gap: int = 100, latest_start: int = 100) -> DataFrame:
-    """trace_id, start_step, end_step: consecutive anchors more than ``gap`` steps apart among the steps on the ground before the boss
+    """trace_id, start_step, end_step, level, start_x, end_x, end_y: consecutive anchors more than ``gap`` steps apart among the steps on the ground before the boss
     scene; the chain starts at a hashed step below ``latest_start``."""
     t = before_boss(steps, on_previous=True)
-    ground = (C("water_state").bitwiseAND(4) == 0) & (C("jump_status").bitwiseAND(15) == 0) & (C("edge_fall") == 0)
-    t = t.where(ground).withColumn("_from", F.pmod(F.xxhash64("trace_id"), F.lit(latest_start + 1)).cast("double"))
-    return sequence.chain_pairs(sequence.anchor_chain(t, ["trace_id"], "step", gap, start=C("_from")), ["trace_id"]).select("trace_id", C("from_step").alias("start_step"), C("to_step").alias("end_step"))
+    t = t.where(on_ground()).withColumn("_from", F.pmod(F.xxhash64("trace_id"), F.lit(latest_start + 1)).cast("double"))
+    got = sequence.chain_pairs(sequence.anchor_chain(t, ["trace_id"], "step", gap, start=C("_from")), ["trace_id"]).select("trace_id", C("from_step").alias("start_step"), C("to_step").alias("end_step"))
+    place = t.select("trace_id", "step", "level", (C("xscroll") + C("player_x")).alias("x"), C("player_y").alias("y"))
+    a = place.select("trace_id", C("step").alias("start_step"), "level", C("x").alias("start_x"))
+    b = place.select("trace_id", C("step").alias("end_step"), C("x").alias("end_x"), C("y").alias("end_y"))
+    return got.join(a, ["trace_id", "start_step"]).join(b, ["trace_id", "end_step"]).withColumn("label", F.concat(F.lit("level"), (C("level") + 1).cast("string")))
 
 
 # ---- gates ------------------------------------------------------------------------------------------------------------
@@ -92,11 +120,43 @@ def gated(windows: DataFrame, reasons: list[tuple[str, Column]], label: str | No
     return t.withColumn("_k", kept_before).withColumn("reason", F.when(C("_k") >= cap, "capped").otherwise(C("reason"))).drop("_k")
 
 
-def verified(windows: DataFrame, steps: DataFrame, goal: Column) -> DataFrame:
-    """Adds ``reached``: the goal holds at some step of the window."""
-    hit = windows.join(steps.where(goal).select("trace_id", "step"), "trace_id").where("step BETWEEN start_step AND end_step").select(*[c for c in windows.columns if c in ("trace_id", "slot", "start_step", "end_step")]).distinct()
-    keys = hit.columns
-    return windows.join(hit.withColumn("reached", F.lit(True)), keys, "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
+def verified(windows: DataFrame, goals: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``reached``: a goal (key, step) lies in the window. Goals and windows are merged in the order of steps, and a window looks back at the last
+    goal, so no goal meets more than its neighbours."""
+    w = Window.partitionBy(*key).orderBy("_at", "_window").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = windows.withColumns({"_at": C("end_step"), "_window": F.lit(1), "_goal": F.lit(None).cast("int")}).unionByName(
+        goals.select(*key, C("step").alias("_at"), F.lit(0).alias("_window"), C("step").cast("int").alias("_goal")), allowMissingColumns=True)
+    last = F.last("_goal", ignorenulls=True).over(w)
+    return both.withColumn("reached", F.coalesce(last >= C("start_step"), F.lit(False))).where("_window = 1").drop("_at", "_window", "_goal")
+
+
+def kill_goals(pairs: DataFrame) -> DataFrame:
+    """trace_id, slot, step: hit points of the slot fell from above 0 to 0."""
+    fell = F.zip_with("pre_slots", "slots", lambda p, c: F.struct(c["slot"].alias("slot"), ((p["hp"] > 0) & (c["hp"] == 0)).alias("fell")))
+    return pairs.select("trace_id", "step", F.inline(F.filter(fell, lambda s: s["fell"]))).drop("fell")
+
+
+def item_goals(pairs: DataFrame) -> DataFrame:
+    """trace_id, outcome, attr, step: an item's own event: its pickup, or a gun that left while the held one stayed."""
+    tags = [("pick", a, t) for a, t in PICKUPS.items()] + [("avoid", a, f"avoid_{ram.WEAPONS[a].lower()}") for a in ram.GUN_ATTRS]
+    rows = F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(a).alias("attr"), (events.event_by_tag(t) > 0).alias("fires")) for o, a, t in tags])
+    return pairs.select("trace_id", "step", F.inline(F.filter(rows, lambda r: r["fires"]))).drop("fires")
+
+
+def muted(tasks: DataFrame, fire: int = 1) -> DataFrame:
+    """Recordings (trace_id, initial_state, codes, skip) with the fire button never pressed, to be replayed by ``steps_of``."""
+    return tasks.withColumn("codes", F.transform("codes", lambda c: c.bitwiseAND(~fire)))
+
+
+def stray(windows: DataFrame, tasks: DataFrame, make) -> DataFrame:
+    """Adds ``stray`` to kill windows: replayed from its start with fire muted, the pinned slot still dies, so the shot was fired before.
+
+    tasks: uid, initial_state, codes, skip of the windows, which have the same ``uid``. ``make`` gives the simulator."""
+    from tracelake.functions.ram import decoded
+
+    played = steps_of(muted(tasks.withColumn("trace_id", C("uid"))), make).select("trace_id", "step", *decoded(C("ram")))
+    died = kill_goals(events.step_pairs(played)).select(C("trace_id").alias("uid"), "slot").distinct().withColumn("stray", F.lit(True))
+    return windows.join(died, ["uid", "slot"], "left").withColumn("stray", F.coalesce("stray", F.lit(False)))
 
 
 def report(windows: DataFrame) -> DataFrame:
@@ -241,49 +301,103 @@ def encoded(frames: DataFrame, key: list[str], image: str, make, batch: int = 25
 
 
 class TaskMaker(Protocol):
-    """A kind of task: windows out of steps, gates, the goal."""
+    """A kind of task: windows out of steps, the gates in their order, and the goals (``goal_key`` and step)."""
 
     name: str
+    goal_key: list[str]
 
     def extract(self, steps: DataFrame) -> DataFrame: ...
-    def reject(self, windows: DataFrame) -> list[tuple[str, Column]]: ...
-    def goal_reached(self) -> Column: ...
+    def reject(self) -> list[tuple[str, Column]]: ...
+    def goals(self, pairs: DataFrame, windows: DataFrame) -> DataFrame: ...
+
+
+def _length() -> Column:
+    return C("end_step") - C("start_step") + 1
 
 
 class KillMaker:
-    name = "kill"
+    """Kills of a target that came on stage in the window, died on the screen, and was shot at in the window."""
+
+    name, goal_key = "kill", ["trace_id", "slot"]
 
     def __init__(self, shortest: int = 2, longest: int = 240):
         self.shortest, self.longest = shortest, longest
 
     def extract(self, steps: DataFrame) -> DataFrame:
-        return kill_windows(steps)
+        w = kill_windows(steps)
+        return fired_between(w, steps) if "bits" in steps.columns else w.withColumn("fired", F.lit(None).cast("boolean"))  # unknown: not a reason
+
+    def reject(self) -> list[tuple[str, Column]]:
+        return [("too short", _length() < self.shortest), ("too long", _length() > self.longest), ("off screen", ~ram.on_screen(C("x"), C("y"))), ("no shot", ~C("fired")), ("dropped", ~C("reached"))]
+
+    def goals(self, pairs: DataFrame, windows: DataFrame) -> DataFrame:
+        return kill_goals(pairs)
+
+
+class ItemMaker:
+    """Items that were seen, and picked or (guns only) avoided; a pick takes at least ``shortest_pick`` steps."""
+
+    name, goal_key = "item", ["trace_id", "outcome", "attr"]
+
+    def __init__(self, shortest: int = 2, longest: int = 240, shortest_pick: int = 10, require_armed: bool = True):
+        self.shortest, self.longest, self.shortest_pick, self.require_armed = shortest, longest, shortest_pick, require_armed
+
+    def extract(self, steps: DataFrame) -> DataFrame:
+        return item_windows(steps, self.require_armed)
 
-    def reject(self, windows: DataFrame) -> list[tuple[str, Column]]:
-        n = C("end_step") - C("start_step")
-        return [("too short", n < self.shortest), ("too long", n > self.longest)]
+    def reject(self) -> list[tuple[str, Column]]:
+        n = _length()
+        return [("never seen", ~C("seen")), ("no choice", C("outcome").isNull()), ("too short", (n < self.shortest) | ((C("outcome") == "pick") & (n < self.shortest_pick))), ("too long", n > self.longest), ("dropped", ~C("reached"))]
 
-    def goal_reached(self) -> Column:
-        return F.exists("slots", lambda s: s["hp"] == 0)
+    def goals(self, pairs: DataFrame, windows: DataFrame) -> DataFrame:
+        return item_goals(pairs)
 
 
-class ItemMaker(KillMaker):
-    name = "item"
+class BossMaker:
+    """The boss fight of a trace: from the first boss scene to the cleared level."""
 
-    def __init__(self, shortest: int = 10, longest: int = 240):
-        super().__init__(shortest, longest)
+    name, goal_key = "boss", ["trace_id"]
 
     def extract(self, steps: DataFrame) -> DataFrame:
-        return item_windows(steps)
+        return boss_windows(events.step_pairs(steps)).withColumn("slot", F.lit(None).cast("int"))
+
+    def reject(self) -> list[tuple[str, Column]]:
+        return [("no clear", ~C("reached"))]
+
+    def goals(self, pairs: DataFrame, windows: DataFrame) -> DataFrame:
+        return pairs.where(cleared()).select("trace_id", "step")
+
+
+class TraverseMaker:
+    """Ways from one place on the ground to another; reached is the place: as far, as high (within ``tolerance``), on the ground."""
+
+    name, goal_key = "traverse", ["trace_id", "start_step"]
+
+    def __init__(self, gap: int = 100, latest_start: int = 100, tolerance: int = 8):
+        self.gap, self.latest_start, self.tolerance = gap, latest_start, tolerance
+
+    def extract(self, steps: DataFrame) -> DataFrame:
+        return ground_windows(steps, self.gap, self.latest_start).withColumn("slot", F.lit(None).cast("int"))
+
+    def reject(self) -> list[tuple[str, Column]]:
+        return [("dropped", ~C("reached"))]
 
-    def goal_reached(self) -> Column:
-        return F.exists("slots", lambda s: (s["type"] == 0) & (s["routine"] == 0))
+    def goals(self, pairs: DataFrame, windows: DataFrame) -> DataFrame:
+        """Steps of a window at its place. The windows of a trace follow one another, so a step belongs to at most two: the last that began, and the one that ends where it begins."""
+        place = pairs.where(on_ground()).select("trace_id", "step", (C("xscroll") + C("player_x")).alias("_x"), C("player_y").alias("_y"))
+        ends = windows.select("trace_id", "start_step", "end_step", "end_x", "end_y")
+        w = Window.partitionBy("trace_id").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        row = F.struct("start_step", "end_step", "end_x", "end_y")
+        both = ends.select("trace_id", (C("start_step") + 1).alias("_at"), F.lit(0).alias("_row"), row.alias("_w")).unionByName(place.withColumns({"_at": C("step"), "_row": F.lit(1)}), allowMissingColumns=True)
+        both = both.withColumn("_w", F.last("_w", ignorenulls=True).over(w)).where((C("_row") == 1) & (C("_at") <= C("_w.end_step")))
+        return both.where((C("_x") >= C("_w.end_x")) & (F.abs(C("_y") - C("_w.end_y")) <= self.tolerance)).select("trace_id", C("_w.start_step").alias("start_step"), "step")
 
 
-MAKERS: dict[str, type] = {"kill": KillMaker, "item": ItemMaker}
+MAKERS: dict[str, type] = {"kill": KillMaker, "item": ItemMaker, "boss": BossMaker, "traverse": TraverseMaker}
 
 
 def make_tasks(maker: TaskMaker, steps: DataFrame, cap: int | None = None) -> DataFrame:
     """Windows of a maker with their reasons; ``report`` counts them, kept ones have a null reason."""
     w = maker.extract(steps)
-    return gated(w, maker.reject(w), "label", cap, ["trace_id", "end_step", "slot"])
+    w = verified(w, maker.goals(events.step_pairs(steps), w), maker.goal_key)
+    return gated(w, maker.reject(), "label", cap, ["trace_id", "end_step", "slot"])

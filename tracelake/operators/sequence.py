@@ -127,14 +127,14 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_at: st
     return best.select(*keys, F.col("_b._at").alias("match_at"), F.col("_b._value").alias("match"))
 
 
-def slot_lifecycle(df: DataFrame, key: list[str], step: str, kind: Column, hp: Column, active: Column, target: Column | None = None) -> DataFrame:
-    """Spawn-to-kill pairs per slot (key includes the slot).
+def slot_lifecycle(df: DataFrame, key: list[str], step: str, kind: Column, hp: Column, active: Column, target: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Spawn-to-kill pairs per slot (key includes the slot); columns of ``carry`` come along as they are in the step of the kill.
 
     At each step, in this order: a slot that was active with hp > 0 and now has hp 0 is killed; else a slot that is active and was
     not, or has another kind, spawns; else an inactive slot forgets its spawn. A kill counts if the last event before
     it is a spawn, and ``target`` (over the kind before the step, ``_pkind``) holds. Columns: key, spawn_step, kill_step, kind."""
     w = over(key, [step])
-    t = df.select(*key, step, kind.alias("_kind"), hp.alias("_hp"), F.coalesce(active, F.lit(False)).alias("_active"))
+    t = df.select(*key, step, kind.alias("_kind"), hp.alias("_hp"), F.coalesce(active, F.lit(False)).alias("_active"), *carry)
     t = t.withColumns({"_pkind": F.lag("_kind").over(w), "_php": F.coalesce(F.lag("_hp").over(w), F.lit(0)), "_was": F.coalesce(F.lag("_active").over(w), F.lit(False))})
     event = F.when(F.col("_was") & (F.col("_php") > 0) & (F.col("_hp") == 0), "K").when(F.col("_active") & (~F.col("_was") | ~F.col("_kind").eqNullSafe(F.col("_pkind"))), "S").when(~F.col("_active"), "G")
     t = t.withColumn("_e", F.when(event.isNotNull(), F.struct(event.alias("e"), F.col(step).alias("at"))))
@@ -142,20 +142,21 @@ def slot_lifecycle(df: DataFrame, key: list[str], step: str, kind: Column, hp: C
     ok = (F.col("_e.e") == "K") & (F.col("_last.e") == "S")
     if target is not None:
         ok &= target
-    return t.where(ok).select(*key, F.col("_last.at").alias("spawn_step"), F.col(step).alias("kill_step"), F.col("_pkind").alias("kind"))
+    return t.where(ok).select(*key, F.col("_last.at").alias("spawn_step"), F.col(step).alias("kill_step"), F.col("_pkind").alias("kind"), *carry)
 
 
-def item_lifecycle(df: DataFrame, key: list[str], step: str, kind: Column, active: Column, item: Column, attr: Column) -> DataFrame:
-    """Birth-to-removal pairs of items per slot: key, origin_step, birth_step, removal_step, carrier, attr (low three bits at birth).
+def item_lifecycle(df: DataFrame, key: list[str], step: str, kind: Column, active: Column, item: Column, attr: Column, carry: tuple[str, ...] = (), born: dict[str, Column] | None = None) -> DataFrame:
+    """Birth-to-removal pairs of items per slot: key, origin_step, birth_step, removal_step, carrier, attr (low three bits at birth), then
+    the columns of ``carry`` as they are at the removal and those of ``born`` as they are at the birth.
 
     At each step: an item that is gone is removed if its birth is known; a slot opens an occupancy when it becomes active, or in the step an
     item leaves it; a birth is a slot turning into an item; the carrier is what the slot last was, in this occupancy, before."""
     w = over(key, [step])
-    t = df.select(*key, step, kind.alias("_kind"), F.coalesce(active, F.lit(False)).alias("_active"), F.coalesce(item, F.lit(False)).alias("_item"), attr.alias("_attr"))
+    t = df.select(*key, step, kind.alias("_kind"), F.coalesce(active, F.lit(False)).alias("_active"), F.coalesce(item, F.lit(False)).alias("_item"), attr.alias("_attr"), *carry, *[c.alias(f"_born_{n}") for n, c in (born or {}).items()])
     t = t.withColumns({"_pactive": F.lag("_active").over(w), "_pitem": F.coalesce(F.lag("_item").over(w), F.lit(False))})
     opens = F.col("_active") & (F.col("_pactive").isNull() | ~F.col("_pactive") | (F.col("_pitem") & ~F.col("_item")))
     birth = F.col("_item") & ~F.col("_pitem")
-    t = t.withColumns({"_o": F.when(opens, F.col(step)), "_b": F.when(birth, F.struct(F.col(step).alias("at"), F.col("_attr").bitwiseAND(7).alias("attr")))})
+    t = t.withColumns({"_o": F.when(opens, F.col(step)), "_b": F.when(birth, F.struct(F.col(step).alias("at"), F.col("_attr").bitwiseAND(7).alias("attr"), *[F.col(f"_born_{n}").alias(n) for n in born or {}]))})
     t = t.withColumn("_occ", F.count("_o").over(so_far(key, [step])))
     occ = Window.partitionBy(*key, "_occ").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_carrier", F.last(F.when(F.col("_active") & ~F.col("_item"), F.col("_kind")), ignorenulls=True).over(occ))
@@ -164,7 +165,7 @@ def item_lifecycle(df: DataFrame, key: list[str], step: str, kind: Column, activ
     before = strictly_before(key, [step])
     t = t.withColumns({"_lastb": F.last("_b", ignorenulls=True).over(before), "_lasto": F.last("_o", ignorenulls=True).over(before)})
     return t.where(F.col("_pitem") & ~F.col("_item") & F.col("_lastb").isNotNull()).select(
-        *key, F.col("_lasto").alias("origin_step"), F.col("_lastb.at").alias("birth_step"), F.col(step).alias("removal_step"), F.col("_lastb.carrier").alias("carrier"), F.col("_lastb.attr").alias("attr"))
+        *key, F.col("_lasto").alias("origin_step"), F.col("_lastb.at").alias("birth_step"), F.col(step).alias("removal_step"), F.col("_lastb.carrier").alias("carrier"), F.col("_lastb.attr").alias("attr"), *carry, *[F.col(f"_lastb.{n}").alias(n) for n in born or {}])
 
 
 def pick_or_avoid(items: DataFrame, event_fired: Column, attr: Column, gun: Column, guns: tuple[int, ...] = (1, 2, 3, 4), require_armed: bool = True) -> DataFrame:
