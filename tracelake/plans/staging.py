@@ -2,7 +2,7 @@
 
 ``stage`` writes a DataFrame once, as Parquet, to the folder that all executors share (``spark.checkpoint.dir``) and
 reads it back. Unlike a local checkpoint nothing is held by a single executor, and unlike ``checkpoint()`` the last
-stage runs only once. Only where the session names no folder (tests, local use) a temporary one is made.
+stage runs only once. Only where the session names no folder and is local (tests) a temporary one is made; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tracelake-")
             spark.sparkContext.setCheckpointDir(base)
         _OWN[app] = f"{base.rstrip('/')}/tracelake-{uuid.uuid4().hex}"
