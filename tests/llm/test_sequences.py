@@ -173,7 +173,7 @@ def test_common_passages_stay_out_of_the_lists(rng):
     for i, size in enumerate(blocks.SIZES):
         rec, place = blocks._inside(offsets, size, np.ones(300, dtype=bool))
         counts[i] = np.bincount((blocks.keys(codes, size)[offsets[rec] + place] % np.uint64(blocks.SLOTS)).astype(int), minlength=blocks.SLOTS)
-    rec, place, key = blocks.chosen(codes, offsets, counts)
+    rec, place, key, size = blocks.chosen(codes, offsets, counts)
     assert (np.bincount(rec) == 13).all() and (place >= 47).mean() > 0.99
 
 
@@ -274,23 +274,26 @@ def repeats(rng):
 
 
 def test_history_in_one_pass(make, rng):
-    for _ in range(2):
-        eps, published = repeats(rng)
-        t, p = make.episodes(eps + eps[:5]), make.published(published)
-        assert {r.uid for r in history.found(t, p).collect()} == brute_repeats(eps, published)
-    by = history.batches(t, p).collect()
+    eps, published = repeats(rng)
+    by = history.batches(make.episodes(eps + eps[:5]), make.published(published)).collect()
     assert sum(r.rejected for r in by) == len(brute_repeats(eps, published)) and all(r.accepted + r.rejected == r.episodes for r in by)
 
 
 def test_history_batch_by_batch(spark, make, rng, tmp_path):
     eps, published = repeats(rng)
-    h, got = history.History(spark, str(tmp_path / "history")), set()
-    for b in range(5):
-        batch = make.episodes([e for e in eps if e[2] == b])
-        got |= {r.uid for r in h.check(batch, make.published(published)).where(history.REPEAT).collect()}
-        h.append(batch, b)
-        h.append(batch, b)  # a batch that is run again changes nothing
-    assert got == brute_repeats(eps, published)
+    t, p = make.episodes(eps), make.published(published)
+    assert {r.uid for r in history.judged(t, p, 99, str(tmp_path / "whole")).where(history.REPEAT).collect()} == brute_repeats(eps, published)
+    shards, rows = history.first_published(p), history.records(t)
+    for b in (0, 1, 1):  # a new session finds the tables; a batch that is run again changes nothing
+        h = history.History(spark, str(tmp_path / "history"), 4)
+        got = {r.uid for r in h.check(rows.where(f"batch_no = {b}"), shards, b).where(history.REPEAT).collect()}
+        assert got == {u for u in brute_repeats(eps, published) if [e for e in eps if e[0] == u][0][2] == b}
+
+
+def test_rounds():
+    assert history.round_bounds([(1, 5, 5), (6, 9, 4), (8, 12, 4), (20, 30, 3)], 99) == [5, 12, 30]
+    assert history.round_bounds([(i, i, 10 - i) for i in range(10)], 3)[-1] == 9 and len(history.round_bounds([(i, i, 1) for i in range(10)], 3)) == 3
+    assert history.round_bounds([], 3) == []
 
 
 def test_history_of_nothing(make):

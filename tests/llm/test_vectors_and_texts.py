@@ -160,6 +160,26 @@ def test_quotas():
     assert subset.quotas({1: 3, 2: 4}, 100) == {1: 3, 2: 4} and subset.quotas({}, 5) == {}
 
 
+def test_every_number_of_a_long_state_counts():
+    import pyarrow as pa
+
+    def of(state):
+        b = pa.RecordBatch.from_pydict({"uid": ["a"], "weapon": [None], "state": pa.array([state], pa.list_(pa.float32())), "grams": pa.array([[]], pa.list_(pa.string())), "counts": pa.array([[]], pa.list_(pa.int64()))})
+        out = next(subset._features({}, {}, 160)(iter([b])))
+        return np.frombuffer(out.column("state")[0].as_py(), dtype=np.float32)
+
+    x = np.arange(480, dtype=np.float32)
+    assert of(x[:160].tolist()).tolist() == x[:160].tolist() and of(x[:12].tolist()).tolist() == [*range(12), *[0] * 148] and not of([]).any()
+    assert of(x.tolist()).tolist() == x.reshape(20, 3, 8).mean(1).ravel().tolist()
+
+
+def test_repeats_of_zero_mean_none(spark, make):
+    t = make.documents([(1, "a b c", "x"), (2, "a b c", "y"), (3, "a b c", "z")])
+    targets = spark.createDataFrame([("x", 0.4, 0), ("y", 0.3, None), ("z", 0.3, 2)], "source string, target_share double, max_repeats int")
+    uses = {r.doc_id: r.uses for r in mixing.document_uses(t, targets).collect()}
+    assert uses[1] == 0 and uses[2] == 1 and uses[3] >= 1
+
+
 def test_subset_edges(spark):
     req = spark.createDataFrame([(1, None, 0.5)], "request_id int, weapon string, subset_fraction double")
     assert subset.chosen(spark.createDataFrame([], FEATURES), req).collect() == []

@@ -25,9 +25,9 @@ from tracelake.llm.edits import longest_partner, pivot_counts, radius
 
 SIZES = (4, 6, 8)
 SHORT = 9  # shorter records are near-same to equal ones only
-SLOTS = 1 << 17  # of the sketch, per size
+SLOTS = 1 << 17  # of the sketch, per size; a power of two
 CHUNK = 1 << 14
-POSTING = "key bigint, id bigint, at bigint, pivots bigint"  # at: length of the record << 32 | place of the gram
+POSTING = "key bigint, id bigint, at bigint, pivots bigint, size tinyint"  # at: length of the record << 32 | place of the gram
 
 
 def keys(codes: np.ndarray, size: int) -> np.ndarray:
@@ -70,8 +70,8 @@ def sketch(rows: DataFrame, column: str) -> np.ndarray:
     return out.reshape(len(SIZES), SLOTS).astype(np.float32)
 
 
-def chosen(codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Record, place and key of the blocks that each record enters."""
+def chosen(codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray, bias: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Record, place, key and size of the blocks that each record enters. Blocks shorter than they could be must meet ``bias`` times fewer probes."""
     n = np.diff(offsets)
     need = radius(longest_partner(n)) + 1
     cost, found = np.full((len(SIZES), len(n)), np.inf), []
@@ -91,39 +91,56 @@ def chosen(codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[
         has = blocks > 0
         cost[i, has] = np.bincount(rec, met + 1.0, len(n))[has]
         found.append((rec, place, key))
-    best = len(SIZES) - 1 - cost[::-1].argmin(0)  # of equal costs the longest
+    last = len(SIZES) - 1
+    longest = last - np.isfinite(cost)[::-1].argmax(0)
+    cost[np.arange(len(SIZES))[:, None] < longest[None]] *= bias
+    best = last - cost[::-1].argmin(0)  # of equal costs the longest
     use = [best[rec] == i for i, (rec, _, _) in enumerate(found)]
-    return tuple(np.concatenate([f[j][u] for f, u in zip(found, use)]) for j in range(3))
+    out = [np.concatenate([f[j][u] for f, u in zip(found, use)]) for j in range(3)]
+    return *out, np.repeat(SIZES, [u.sum() for u in use])
 
 
-def indexed(id_name: str, column: str, counts: np.ndarray):
+def indexed(id_name: str, column: str, counts: np.ndarray, bias: float = 1.0):
     """Postings of the chosen blocks of rows (id, sequence)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, offsets = flat(b.column(column))
-            rec, place, key = chosen(codes, offsets, counts)
-            yield _rows(b.column(id_name), codes, offsets, rec, place, key)
+            yield _rows(b.column(id_name), codes, offsets, *chosen(codes, offsets, counts, bias))
 
     return post
 
 
-def probes(id_name: str, column: str):
-    """All grams of rows (id, sequence) that could be a block of a near-same record."""
+def probes(id_name: str, column: str, present: np.ndarray | None = None):
+    """All grams of rows (id, sequence) that could be a block of a near-same record. present: slots (per size) that hold blocks; grams of other slots aren't asked for."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 b = whole.slice(i, 2000)
                 codes, offsets = flat(b.column(column))
-                for size in SIZES:
+                for j, size in enumerate(SIZES):
+                    if present is not None and not present[j].any():
+                        continue
                     rec, place = _inside(offsets, size, np.diff(offsets) >= SHORT)
+                    key = keys(codes, size)[offsets[rec] + place] if len(rec) else np.zeros(0, np.uint64)
+                    if present is not None:
+                        use = present[j][(key % np.uint64(SLOTS)).astype(np.int64)]
+                        rec, place, key = rec[use], place[use], key[use]
                     if len(rec):
-                        yield _rows(b.column(id_name), codes, offsets, rec, place, keys(codes, size)[offsets[rec] + place])
+                        yield _rows(b.column(id_name), codes, offsets, rec, place, key, np.full(len(rec), size))
 
     return ask
 
 
-def _rows(ids: pa.Array, codes: np.ndarray, offsets: np.ndarray, rec: np.ndarray, place: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+def present_slots(postings: DataFrame) -> np.ndarray:
+    """Which slots hold blocks, per size. At most SLOTS rows a size come to the driver."""
+    out = np.zeros((len(SIZES), SLOTS), dtype=bool)
+    for r in postings.select("size", F.col("key").bitwiseAND(SLOTS - 1).alias("slot")).distinct().collect():
+        out[SIZES.index(r["size"]), r.slot] = True
+    return out
+
+
+def _rows(ids: pa.Array, codes: np.ndarray, offsets: np.ndarray, rec: np.ndarray, place: np.ndarray, key: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     n, counts = np.diff(offsets), pivot_counts(codes, offsets)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(ids)[rec]), pa.array(n[rec] << 32 | place), pa.array(counts[rec])], names=["key", "id", "at", "pivots"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(ids)[rec]), pa.array(n[rec] << 32 | place), pa.array(counts[rec]), pa.array(size.astype(np.int8))], names=["key", "id", "at", "pivots", "size"])

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import mix64
+from tracelake.llm.common import gram_hashes, mix64
 
 PIVOTS = 4  # halves of the code space, by bits of a hash
 SHARE = 10  # one edit in so many steps of the longer sequence
@@ -70,9 +70,20 @@ def profiles_apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(max(diff[diff > 0].sum(), -diff[diff < 0].sum()))
 
 
+def grams_shared(a: np.ndarray, b: np.ndarray, q: int = 6) -> int:
+    """How many q-grams of the two have a counterpart in the other."""
+    x, y = gram_hashes(a, q), gram_hashes(b, q)
+    _, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n = int(at.max(initial=-1)) + 1
+    return int(np.minimum(np.bincount(at[: len(x)], minlength=n), np.bincount(at[len(x) :], minlength=n)).sum())
+
+
 def near_same(a: np.ndarray, b: np.ndarray) -> bool:
-    most = max(len(a), len(b)) // SHARE
-    return abs(len(a) - len(b)) <= most and profiles_apart(a, b) <= most and distance(a.tolist(), b.tolist(), most) <= most
+    n, q = max(len(a), len(b)), 6
+    most = n // SHARE
+    if abs(len(a) - len(b)) > most or profiles_apart(a, b) > most:
+        return False
+    return grams_shared(a, b, q) >= n - q + 1 - q * most and distance(a.tolist(), b.tolist(), most) <= most
 
 
 def pivot_counts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -6,79 +6,62 @@ record: its distance to x is that length minus the number of steps of x in H. By
 differ by at most the radius in every pivot distance. The table keeps these distances (as counts) beside every row.
 
 Pivot distances alone prune too little to join on: for long records they crowd together. So the ranges are keyed: a
-history record is entered once per block, d + 1 disjoint blocks of up to 8 steps, one of which any near-same record must
+history record is entered once per block, d + 1 disjoint blocks of 4 to 8 steps (the rarest, see ``blocks``), one of which any near-same record must
 hold whole and at most d places away. The join is on the block with the ranges of all pivot distances, the place and the
 arrival number as further conditions, all inside the join. Pairs that pass are held against the profile, 16 counts that give
-the best bound of all pivots repeating a union of id groups, before any sequence is moved; what is left is verified
-with the true metric.
+the best bound of all pivots repeating a union of id groups, before any sequence is moved; what is left is held against
+its shared grams and verified with the true metric.
 
-A batch costs the postings of the batch, one pass of the join over the posting table, and the verification of its own
-candidates: history is neither cut nor verified again, its rows are only appended.
+``History`` keeps the tables, cut into buckets by key as they are written: a batch is shuffled into the buckets of the table, the table
+itself is only read where it lies. History is neither cut nor verified again, its rows are only appended.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tracelake.functions.identity import hex64
-from tracelake.llm.common import flat, gram_hashes, mix64
-from tracelake.llm.edits import SHARE, longest_partner, near_same, pivot_counts, radius, within_reach
-from tracelake.plans.staging import spread, stage
+from tracelake.llm.blocks import POSTING, SIZES, SLOTS, indexed, present_slots, probes, sketch
+from tracelake.llm.common import flat
+from tracelake.llm.edits import SHARE, near_same, within_reach
+from tracelake.plans.staging import shared_dir, spread, stage, tasks
 
 GROUPS = 16  # of action ids, for the profile: four packed BIGINTs of four counts each
-BLOCK = 8
-FEW = 500_000  # ids sent to all tasks at most; more are joined
-SURE = BLOCK * (SHARE + 2)  # from this length on all near-same records have blocks of BLOCK steps
-POSTING = "key bigint, no bigint, at bigint, pivots bigint"  # at: length of the record << 32 | place of the block
-
-
-def block_steps(n: np.ndarray) -> np.ndarray:
-    """Length of the blocks of a record of n steps."""
-    return np.minimum(BLOCK, n // (radius(longest_partner(n)) + 1))
-
-
-def _postings(probe: bool):
-    """Postings of history (its blocks) or of a batch (all its grams that could equal a block)."""
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, offsets = flat(b.column("actions"))
-            n = np.diff(offsets)
-            counts, no = pivot_counts(codes, offsets), np.asarray(b.column("no"))
-            for size in range(1, BLOCK + 1):
-                if probe:
-                    fits = (n >= SURE) & (size == BLOCK)
-                    few = n < SURE  # here partners with blocks of other sizes are possible
-                    low, high = n - radius(n), longest_partner(n)
-                    for m in range(int((high - low)[few].max(initial=-1)) + 1):
-                        fits |= few & (block_steps(np.minimum(low + m, high)) == size)
-                    per = np.where(fits, np.maximum(n - size + 1, 0), 0)
-                else:
-                    per = np.where((n > 0) & (block_steps(n) == size), radius(longest_partner(n)) + 1, 0)
-                if not per.sum():
-                    continue
-                rec = np.repeat(np.arange(len(n)), per)
-                j = np.arange(per.sum()) - (np.cumsum(per) - per)[rec]
-                place = j if probe else j * n[rec] // per[rec]
-                key = mix64(gram_hashes(codes, size)[offsets[:-1][rec] + place] + np.uint64(size))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(no[rec]), pa.array(n[rec] << 32 | place), pa.array(counts[rec])], names=["key", "no", "at", "pivots"])
-
-    return post
-
-
-def profile(actions: Column) -> list[Column]:
-    """Steps per group of ids (id modulo GROUPS), packed; counts stop at 32767, which keeps them valid bounds."""
-    def count(g: int) -> Column:
-        n = F.size(F.filter(actions, lambda v: F.pmod(F.coalesce(v, F.lit(-1)), F.lit(GROUPS)) == g))
-        return F.least(n, F.lit(32767)).cast("bigint")
-
-    return [(count(4 * i) + F.shiftleft(count(4 * i + 1), 16) + F.shiftleft(count(4 * i + 2), 32) + F.shiftleft(count(4 * i + 3), 48)).alias(f"g{i}") for i in range(GROUPS // 4)]
+BIAS = 8.0  # shorter blocks than a record could have are worth their probes only where they meet so many times fewer
+ROUNDS = 3  # rounds that registered queries take over all batches
+RECORD = "uid string, no bigint, batch_no int, source_trace string, fp string, same string, n int, g0 bigint, g1 bigint, g2 bigint, g3 bigint, actions array<bigint>"
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds digest, length and profile (steps per group of ids, id modulo GROUPS, packed; counts stop at 32767, which keeps them valid bounds)."""
+    for b in batches:
+        actions = b.column("actions")
+        values = np.asarray(actions.flatten().fill_null(-1)).astype(np.int64)
+        n = np.asarray(actions.value_lengths().fill_null(0)).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        group = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + values % GROUPS, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+        packed = np.minimum(group, 32767).astype(np.uint64).reshape(-1, GROUPS // 4, 4) << np.array([0, 16, 32, 48], dtype=np.uint64)
+        known = np.asarray(actions.is_valid())
+        same = [hashlib.sha256(values[i:j].tobytes()).hexdigest() if k else None for i, j, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), known.tolist())]
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+        yield pa.RecordBatch.from_arrays([
+            *(b.column(c) for c in ("uid", "no", "batch_no", "source_trace", "fp")), pa.array(same, pa.string()), pa.array(n.astype(np.int32)),
+            *(pa.array(c.view(np.int64)) for c in packed.sum(2, dtype=np.uint64).T.copy()), lists], names=[c.split()[0] for c in RECORD.split(", ")])
+
+
+def records(episodes: DataFrame) -> DataFrame:
+    """One row per episode (uid): uid, no (arrival), batch_no, source_trace, fp, same (digest of the actions, null if they
+    are null), length, profile, actions (null steps as -1). Rows without uid or arrival number are left out."""
+    rows = episodes.where(F.col("uid").isNotNull() & F.col("staged_no").isNotNull()).select(
+        "uid", F.col("staged_no").cast("bigint").alias("no"), F.col("batch_no").cast("int").alias("batch_no"), "source_trace", hex64(F.col("fingerprint")).alias("fp"), "actions")
+    return spread(rows, "uid").dropDuplicates(["uid"]).mapInArrow(_described, RECORD)
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,61 +85,121 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("new").take(keep), b.column("old").take(keep)], names=["new", "old"])
 
 
-def table_rows(rows: DataFrame) -> DataFrame:
-    """Posting table of history rows (no BIGINT, actions ARRAY<BIGINT>)."""
-    return spread(rows.select("no", "actions"), "no").mapInArrow(_postings(False), POSTING)
-
-
-def near_pairs(new: DataFrame, old: DataFrame, old_postings: DataFrame) -> DataFrame:
-    """Pairs (new, old) of near-same rows with old.no < new.no. new, old: no BIGINT (unique), actions ARRAY<BIGINT>."""
-    probes = spread(new.select("no", "actions"), "no").mapInArrow(_postings(True), POSTING)
-    a, b = probes.alias("a"), old_postings.alias("b")
+def _partners(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs (new, old) that share a block, in reach of each other by all that the postings say, old before new."""
+    a, b = asked.alias("a"), listed.alias("b")
     (na, pa_), (nb, pb) = ((F.shiftright(f"{s}.at", 32), F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF)) for s in "ab")
     reach = F.floor(F.greatest(na, nb) / SHARE)
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.no") < F.col("a.no")) & (F.abs(na - nb) <= reach) & (F.abs(pa_ - pb) <= reach) & within_reach("a.pivots", "b.pivots", reach)
-    pairs = stage(a.join(b, on).select(F.col("a.no").alias("new"), F.col("b.no").alias("old")).distinct(), "pairs")
-    if old is not new:  # of history only what is in a pair is looked at again
-        ids = pairs.select(F.col("old").alias("no")).distinct()
-        old = stage(old.select("no", "actions").join(F.broadcast(ids) if ids.count() <= FEW else ids, "no", "left_semi"), "met")
-    of = lambda rows, c: stage(rows.select(F.col("no").alias(c), F.size("actions").alias(f"n_{c}"), *profile(F.col("actions"))), "profiles")
-    p = of(new, "new")
-    o = (p.withColumnRenamed("new", "old").withColumnRenamed("n_new", "n_old") if old is new else of(old, "old"))
-    rename = lambda df, side: df.withColumnsRenamed({f"g{i}": f"{side}{i}" for i in range(GROUPS // 4)})
-    joined = pairs.join(rename(p, "p"), "new").join(rename(o, "o"), "old").withColumn("reach", F.floor(F.greatest("n_new", "n_old") / SHARE)).drop("n_new", "n_old")
-    pairs = stage(joined.mapInArrow(_close, "new bigint, old bigint"), "close")
-    both = pairs.join(new.select(F.col("no").alias("new"), F.col("actions").alias("new_actions")), "new").join(
-        old.select(F.col("no").alias("old"), F.col("actions").alias("old_actions")), "old")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & (F.abs(na - nb) <= reach) & (F.abs(pa_ - pb) <= reach) & within_reach("a.pivots", "b.pivots", reach)
+    return a.join(b, on).select(F.col("a.id").alias("new"), F.col("b.id").alias("old")).distinct()
+
+
+def judge_pairs(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """Those of the pairs (new, old) that are near-same. new, old: rows of ``records``."""
+    light = lambda rows, c, g: rows.select(F.col("no").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(f"g{i}").alias(f"{g}{i}") for i in range(GROUPS // 4)])
+    joined = pairs.join(light(new, "new", "p"), "new").join(light(old, "old", "o"), "old").withColumn("reach", F.floor(F.greatest("n_new", "n_old") / SHARE)).drop("n_new", "n_old")
+    close = stage(joined.mapInArrow(_close, "new bigint, old bigint"), "close")
+    both = close.join(new.select(F.col("no").alias("new"), F.col("actions").alias("new_actions")), "new").join(old.select(F.col("no").alias("old"), F.col("actions").alias("old_actions")), "old")
     return spread(both, "new", "old").mapInArrow(_verify, "new bigint, old bigint")
 
 
-def records(episodes: DataFrame) -> DataFrame:
-    """One row per episode (uid): uid, no (arrival), batch_no, fp, actions, same (digest of the actions, null if they
-    are null). Rows without uid or arrival number are left out."""
-    rows = episodes.where(F.col("uid").isNotNull() & F.col("staged_no").isNotNull()).select(
-        "uid", F.col("staged_no").alias("no"), "batch_no", hex64(F.col("fingerprint")).alias("fp"), "actions", "source_trace")
-    return spread(rows, "uid").dropDuplicates(["uid"]).withColumn("same", F.sha2(F.col("actions").cast("string").cast("binary"), 256))
+def _first_of(rows: DataFrame, column: str) -> DataFrame:
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("no").alias("no"))
 
 
-def judged(episodes: DataFrame, published: DataFrame) -> DataFrame:
-    """Every episode with its verdict: uid, batch_no, source_trace, same_fp, published, equal, near (booleans).
+REPEAT = "same_fp OR published OR equal OR near"
 
-    Episodes are compared with all earlier arrivals, accepted or not, in one pass over all batches; ``History`` gives the
-    same batch by batch. Null fingerprints and null ``actions`` match nothing; empty ``actions`` equal one another."""
-    rows = stage(records(episodes), "episodes")
-    first_fp = rows.where("fp is not null").groupBy("fp").agg(F.min("no").alias("fp_no"))
-    shards = published.select(hex64(F.col("fingerprint")).alias("fp"), F.col("batch_no").alias("b")).where("fp is not null").groupBy("fp").agg(F.min("b").alias("fp_batch"))
-    first_same = rows.where("same is not null").groupBy("same").agg(F.min("no").alias("same_no"))
-    firsts = stage(rows.join(first_same.select(F.col("same"), F.col("same_no").alias("no")), ["same", "no"]).select("no", "actions"), "firsts")
-    near = near_pairs(firsts, firsts, table_rows(firsts)).select(F.col("new").alias("no")).distinct().withColumn("near", F.lit(True))
-    light = rows.select("uid", "no", "batch_no", "source_trace", "fp", "same")
-    out = light.join(first_fp, "fp", "left").join(shards, "fp", "left").join(first_same, "same", "left").join(near, "no", "left")
-    no = F.lit(False)
-    return out.select(
-        "uid", "batch_no", "source_trace", F.coalesce(F.col("fp_no") < F.col("no"), no).alias("same_fp"), F.coalesce(F.col("fp_batch") < F.col("batch_no"), no).alias("published"),
-        F.coalesce(F.col("same_no") < F.col("no"), no).alias("equal"), F.coalesce("near", no).alias("near"))
 
+class History:
+    """The state between batches: tables below ``path`` that grow by one part per batch.
+
+    * rows: arrival number, length, profile and actions of the first record of each sequence;
+    * marks: first arrival of each fingerprint (f) and sequence (s), in ``buckets`` buckets by mark;
+    * postings: the blocks, in ``buckets`` buckets by key.
+
+    ``check`` appends a batch and judges it against all parts of smaller number and itself. Parts are written under the batch's number
+    in overwrite mode, so a batch that is run again after a failure replaces its own part only, with the same result."""
+
+    TABLES = {"rows": ("no bigint, n int, g0 bigint, g1 bigint, g2 bigint, g3 bigint, actions array<bigint>", None), "marks": ("mark string, no bigint", "mark"), "postings": (POSTING, "key")}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or tasks(spark)
+        self.name = "history_" + hashlib.sha256(self.path.encode()).hexdigest()[:16]
+        self.counts = np.zeros((len(SIZES), SLOTS), dtype=np.float32)  # decides about work only, so a new session may start anew
+        for t, (schema, key) in self.TABLES.items():
+            cut = f"CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS" if key else ""
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{t} ({schema}, part int) USING parquet PARTITIONED BY (part) {cut} LOCATION '{self.path}/{t}'")
+
+    def _read(self, table: str, upto: int, inclusive: bool = True) -> DataFrame:
+        return self.spark.table(f"{self.name}_{table}").where(F.col("part") <= upto if inclusive else F.col("part") < upto)
+
+    def _write(self, table: str, rows: DataFrame, part: int) -> None:
+        schema, key = self.TABLES[table]
+        rows, view = rows.repartition(self.buckets, key) if key else rows, f"{self.name}_new"
+        rows.createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE {self.name}_{table} PARTITION (part = {part}) SELECT {', '.join(c.split()[0] for c in schema.split(', '))} FROM {view}")
+        self.spark.catalog.dropTempView(view)
+
+    def check(self, rows: DataFrame, published: DataFrame, part: int) -> DataFrame:
+        """uid, no, batch_no, source_trace, same_fp, published, equal, near of the batch's records (see ``records``).
+
+        published: fp and fp_batch, the first batch that published a fingerprint. A part's number is greater than those of earlier arrivals."""
+        mark = lambda c, k: rows.where(F.col(c).isNotNull()).select(F.concat(F.lit(k), F.col(c)).alias("mark"), "no")
+        mine = stage(mark("fp", "f").unionByName(mark("same", "s")).groupBy("mark").agg(F.min("no").alias("no")), "marks")
+        before = self._read("marks", part, False).alias("h").join(mine.alias("b"), F.col("h.mark") == F.col("b.mark"), "right").groupBy("b.mark").agg(F.first("b.no").alias("own"), F.min("h.no").alias("h_no"))
+        firsts = stage(before.select("mark", "own", F.coalesce(F.least("h_no", "own"), "own").alias("no"), F.col("h_no").isNull().alias("fresh")), "firsts")
+        self._write("marks", firsts.where("fresh").select("mark", F.col("own").alias("no")), part)
+        fresh = firsts.where("fresh AND mark LIKE 's%'").select(F.col("own").alias("no"))
+        new = stage(rows.join(fresh, "no", "left_semi").select("no", "n", *[f"g{i}" for i in range(4)], "actions"), "fresh")  # equal ones are repeats already
+        self._write("rows", new, part)
+        self.counts = self.counts + sketch(new, "actions")
+        self._write("postings", new.select("no", "actions").mapInArrow(indexed("no", "actions", self.counts, BIAS), POSTING), part)
+        listed = self._read("postings", part)
+        asked = new.select("no", "actions").mapInArrow(probes("no", "actions", present_slots(listed)), POSTING).repartition(self.buckets, "key")
+        pairs = stage(_partners(asked, listed.drop("part")), "pairs")
+        near = judge_pairs(pairs, new, self._read("rows", part).drop("part")).select(F.col("new").alias("no")).distinct().withColumn("near", F.lit(True))
+        first = lambda k, c: firsts.where(F.col("mark").startswith(k)).select(F.substring("mark", 2, 64).alias(c), F.col("no").alias(f"{c}_no"))
+        out = rows.select("uid", "no", "batch_no", "source_trace", "fp", "same").join(first("f", "fp"), "fp", "left").join(first("s", "same"), "same", "left").join(published, "fp", "left").join(near, "no", "left")
+        no = F.lit(False)
+        return stage(out.select(
+            "uid", "no", "batch_no", "source_trace", F.coalesce(F.col("fp_no") < F.col("no"), no).alias("same_fp"), F.coalesce(F.col("fp_batch") < F.col("batch_no"), no).alias("published"),
+            F.coalesce(F.col("same_no") < F.col("no"), no).alias("equal"), F.coalesce("near", no).alias("near")), "judged")
+
+
+def first_published(published: DataFrame) -> DataFrame:
+    return published.select(hex64(F.col("fingerprint")).alias("fp"), F.col("batch_no").alias("b")).where("fp is not null").groupBy("fp").agg(F.min("b").alias("fp_batch"))
+
+
+def round_bounds(spans: list[tuple[int, int, int]], rounds: int) -> list[int]:
+    """Last arrival number of each round. spans: first and last number and size of each batch; batches whose numbers overlap, and smaller
+    neighbours while there are more than ``rounds``, share a round."""
+    merged: list[list[int]] = []
+    for low, high, n in sorted(spans):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1:] = [max(high, merged[-1][1]), merged[-1][2] + n]
+        else:
+            merged.append([low, high, n])
+    while len(merged) > max(1, rounds):
+        i = min(range(len(merged) - 1), key=lambda i: merged[i][2] + merged[i + 1][2])
+        merged[i : i + 2] = [[merged[i][0], merged[i + 1][1], merged[i][2] + merged[i + 1][2]]]
+    return [m[1] for m in merged]
 
-REPEAT = "same_fp OR published OR equal OR near"
+
+def judged(episodes: DataFrame, published: DataFrame, rounds: int = ROUNDS, path: str | None = None) -> DataFrame:
+    """Every episode with its verdict: uid, no, batch_no, source_trace, same_fp, published, equal, near (booleans).
+
+    The batches go through ``History`` in the order of arrival, in at most ``rounds`` rounds of whole batches; the result is the same for any number. Episodes are
+    compared with all earlier arrivals, accepted or not. Null fingerprints and null ``actions`` match nothing; empty ``actions`` equal one another."""
+    spark = episodes.sparkSession
+    rows = stage(records(episodes), "episodes")
+    shards = stage(first_published(published), "published")
+    spans = [(r.low, r.high, r.n) for r in rows.groupBy("batch_no").agg(F.min("no").alias("low"), F.max("no").alias("high"), F.count("*").alias("n")).collect()]  # a row per batch
+    history = History(spark, path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:12]}")
+    out, low = None, -(1 << 63)
+    for part, high in enumerate(round_bounds(spans, rounds)):
+        verdict = history.check(rows.where((F.col("no") > low) & (F.col("no") <= high)), shards, part)
+        out, low = verdict if out is None else out.unionByName(verdict), high
+    return out if out is not None else history.check(rows, shards, 0)
 
 
 def found(episodes: DataFrame, published: DataFrame) -> DataFrame:
@@ -169,40 +212,3 @@ def batches(episodes: DataFrame, published: DataFrame) -> DataFrame:
     hit = lambda c: F.count_if(F.col(c)).alias(c)
     return judged(episodes, published).groupBy("batch_no").agg(
         F.count("*").alias("episodes"), F.count_if(~F.expr(REPEAT)).alias("accepted"), F.count_if(F.expr(REPEAT)).alias("rejected"), hit("same_fp"), hit("published"), hit("equal"), hit("near"))
-
-
-class History:
-    """The state between batches: tables below ``path`` that grow by one part per batch (rows, postings, fingerprints).
-
-    ``check`` judges a batch against them and itself; ``append`` adds its rows. Parts are written under the batch's number
-    in overwrite mode, so a batch that is run again after a failure replaces its own part only."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
-
-    def check(self, batch: DataFrame, published: DataFrame) -> DataFrame:
-        """uid, no, same_fp, published, equal, near of the batch's episodes."""
-        rows = stage(records(batch), "batch")
-        old = self._read("rows", "no bigint, batch_no int, fp string, same string, actions array<bigint>")
-        firsts = stage(rows.where("same is not null").groupBy("same").agg(F.min("no").alias("no")).join(rows.select("no", "actions"), "no").select("no", "actions"), "firsts")
-        fps = old.select("fp", "no").unionByName(rows.select("fp", "no")).join(rows.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("no").alias("fp_no"))
-        same = old.select("same", "no").unionByName(rows.select("same", "no")).join(rows.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min("no").alias("same_no"))
-        shards = published.select(hex64(F.col("fingerprint")).alias("fp"), F.col("batch_no").alias("b")).where("fp is not null").groupBy("fp").agg(F.min("b").alias("fp_batch"))
-        every = old.select("no", "actions").unionByName(firsts)
-        near = near_pairs(firsts, every, self._read("postings", POSTING).unionByName(table_rows(firsts))).select(F.col("new").alias("no")).distinct().withColumn("near", F.lit(True))
-        no = F.lit(False)
-        return rows.select("uid", "no", "batch_no", "fp", "same").join(fps, "fp", "left").join(shards, "fp", "left").join(same, "same", "left").join(near, "no", "left").select(
-            "uid", "no", F.coalesce(F.col("fp_no") < F.col("no"), no).alias("same_fp"), F.coalesce(F.col("fp_batch") < F.col("batch_no"), no).alias("published"),
-            F.coalesce(F.col("same_no") < F.col("no"), no).alias("equal"), F.coalesce("near", no).alias("near"))
-
-    def append(self, batch: DataFrame, number: int) -> None:
-        rows = stage(records(batch), "batch")
-        rows.select("no", "batch_no", "fp", "same", "actions").write.mode("overwrite").parquet(f"{self.path}/rows/batch={number}")
-        firsts = rows.where("same is not null").groupBy("same").agg(F.min("no").alias("no")).join(rows.select("no", "actions"), "no")
-        table_rows(firsts.select("no", "actions")).write.mode("overwrite").parquet(f"{self.path}/postings/batch={number}")

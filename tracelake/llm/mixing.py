@@ -82,10 +82,10 @@ def ramps(give: dict[str, float], steep: float = 0.5) -> dict[str, float]:
 
 
 def plan(counts: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
-    """One row per target source: target_share, max_repeats, available, demand, slope. size: tokens of the mixture, else all there are."""
+    """One row per target source: target_share, max_repeats (null: 1; 0 or less: not at all), available, demand, slope. size: tokens of the mixture, else all there are."""
     have = {r.source: r.t for r in counts.join(targets.select(source_name(F.col("source")).alias("source")).distinct(), "source").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # a row per target
     goal = targets.where("source IS NOT NULL").select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()  # fixed table of targets
-    share, repeats = {r.source: float(r.target_share or 0) for r in goal}, {r.source: int(r.max_repeats or 1) for r in goal}
+    share, repeats = {r.source: float(r.target_share or 0) for r in goal}, {r.source: 1 if r.max_repeats is None else int(r.max_repeats) for r in goal}
     total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).collect()[0][0] if size is None else size
     give = demands(have, share, repeats, total)
     slope = ramps(give)
@@ -141,3 +141,12 @@ def shares(documents: DataFrame, targets: DataFrame, size: int | None = None, to
     return both.withColumn("total", F.sum("used").over(Window.partitionBy())).select(  # one row per source
         "source", "target_share", "max_repeats", "available", "used",
         F.try_divide("used", "total").alias("share"), F.try_divide("used", "available").alias("repeats"))
+
+
+def within(documents: DataFrame, targets: DataFrame, error: float = 0.02, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Per source what holds for every right mixture: source, max_repeats, repeats_kept (no more passes than allowed), share_kept (the share is reached within
+    ``error`` of the mixture, or the source gave all it may, or made up for one that couldn't give more)."""
+    t = shares(documents, targets, None, tokenizers).withColumn("full", F.coalesce(F.col("used") >= F.col("available") * F.col("max_repeats") * (1 - error), F.lit(True)))
+    some = F.max("full").over(Window.partitionBy())  # one row per source
+    kept = (F.abs(F.col("share") - F.col("target_share")) <= error) | F.col("full") | (some & (F.col("share") >= F.col("target_share") - error))
+    return t.select("source", "max_repeats", F.coalesce(F.col("repeats") <= F.col("max_repeats") + 1e-9, F.lit(True)).alias("repeats_kept"), F.coalesce(kept, F.lit(False)).alias("share_kept"))

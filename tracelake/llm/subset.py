@@ -54,17 +54,21 @@ def _names(rows: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
 def _features(grams: dict[str, int], weapons: dict[str, int], dim: int):
     """Rows as packed numbers, made once for all passes: the state, and dimension and value of what isn't 0 of the rest.
 
-    Missing parts of a record are 0: absent states and bins, absent n-grams, unknown weapon."""
+    Missing parts of a record are 0: absent states and bins, absent n-grams, unknown weapon. Of a state with more bins than BINS each bin is the mean of its share of them."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             state = np.zeros((n, BINS * WIDTH), dtype=np.float32)
             values, offsets = flat(b.column("state"))  # already flattened rows of numbers
-            lengths = np.minimum(np.diff(offsets), BINS * WIDTH)
+            lengths = np.diff(offsets)
             rec = np.repeat(np.arange(n), lengths)
-            place = np.arange(lengths.sum()) - (np.cumsum(lengths) - lengths)[rec]
-            state[rec, place] = np.nan_to_num(values[offsets[:-1][rec] + place].astype(np.float32), posinf=0, neginf=0)
+            place = np.arange(lengths.sum()) - offsets[:-1][rec]
+            bins = -(-lengths // WIDTH)
+            place = np.where(bins[rec] > BINS, place // WIDTH * BINS // np.maximum(bins[rec], 1) * WIDTH + place % WIDTH, place)
+            at = rec * BINS * WIDTH + place
+            mean = np.bincount(at, np.nan_to_num(values.astype(np.float64), posinf=0, neginf=0), state.size) / np.maximum(np.bincount(at, minlength=state.size), 1)
+            state = mean.astype(np.float32).reshape(state.shape)
             (counts, offsets), (keys, _) = flat(b.column("counts")), flat(b.column("grams"))
             rec = np.repeat(np.arange(n), np.diff(offsets))
             names, code = np.unique(keys.astype(str), return_inverse=True) if len(keys) else (np.zeros(0, str), np.zeros(0, int))
@@ -247,3 +251,8 @@ def chosen(features: DataFrame, requests: DataFrame, k: int = 48, buckets: int =
 def coverage(features: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request and cluster: how many were chosen."""
     return chosen(features, requests).groupBy("request_id", "cluster").agg(F.count("*").alias("chosen"), F.countDistinct("weapon").alias("weapons"))
+
+
+def sizes(features: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per request: chosen records and how many different ones."""
+    return chosen(features, requests).groupBy("request_id").agg(F.count("*").alias("chosen"), F.countDistinct("uid").alias("records"))
