@@ -51,7 +51,10 @@ def schedule(configs: DataFrame, config: str, rounds: int, first: str | None = N
 
 def requests(sources: DataFrame, path: str, full_each: int, partial: int, shards: int, seed: int = 0) -> DataFrame:
     """request_id, source, full, shard: ``full_each`` whole requests per source, then ``partial`` ones on sources drawn with replacement by hash."""
-    numbered = sources.select(F.col(path).alias("source")).distinct().withColumn("i", F.row_number().over(Window.orderBy("source")) - 1)  # a table of source files
+    from tracelake.operators.select import global_rank
+
+    byte = F.conv(F.substring(F.hex("source"), 1, 4), 16, 10).cast("int")  # ranked in cells of the first two characters
+    numbered = global_rank(sources.select(F.col(path).alias("source")).distinct(), ["source"], cell=byte).select("source", (F.col("rank") - 1).cast("int").alias("i"))
     n = numbered.count()
     full = numbered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(full_each - 1)))).select((F.col("i") * full_each + F.col("k")).cast("bigint").alias("request_id"), "source", F.lit(True).alias("full"))
     drawn = sources.sparkSession.range(partial).select(F.col("id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).cast("int").alias("i"))

@@ -13,11 +13,11 @@ def bigrams(df: DataFrame, key: list[str], order: list[str], action: str) -> Dat
     return df.select(F.col(action).alias("prev"), nxt.alias("next")).where("prev IS NOT NULL AND next IS NOT NULL").groupBy("prev", "next").agg(F.count("*").alias("n"))
 
 
-def array_bigrams(df: DataFrame, actions: str) -> DataFrame:
-    """The same over an array column, without windows or a shuffle of steps."""
+def array_bigrams(df: DataFrame, actions: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same over an array column (per group of ``by``), without windows or a shuffle of steps."""
     a = F.col(actions)
     pairs = F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda p, n: F.struct(p.alias("prev"), n.alias("next")))
-    return df.where(F.size(a) > 1).select(F.inline(pairs)).where("prev IS NOT NULL AND next IS NOT NULL").groupBy("prev", "next").agg(F.count("*").alias("n"))
+    return df.where(F.size(a) > 1).select(*by, F.inline(pairs)).where("prev IS NOT NULL AND next IS NOT NULL").groupBy(*by, "prev", "next").agg(F.count("*").alias("n"))
 
 
 def unigrams(df: DataFrame, action: str) -> DataFrame:
@@ -63,3 +63,27 @@ def checked_prior(table: DataFrame, counts: int, digest: str | None = None, expe
     require(digest == expected, "the prior was built for another action table")
     require(not off, "a row does not add to 1")
     return table
+
+
+def write_prior(table: DataFrame, path: str, actions_digest: str, sources_digest: str, totals: dict[str, int]) -> None:
+    """The prior as an artifact: the dense table, then a manifest with digests, totals (as the files read, skipped and failed) and the number of pairs. What lies at the path is
+    never overwritten."""
+    spark = table.sparkSession
+    table.select("prev", "next", "n", "p").coalesce(1).write.mode("errorifexists").parquet(f"{path}/table")  # actions squared: small
+    pairs = spark.read.parquet(f"{path}/table").agg(F.sum("n")).collect()[0][0] or 0
+    row = [(actions_digest, sources_digest, int(pairs), {k: int(v) for k, v in totals.items()})]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+
+
+MANIFEST = "actions_digest string, sources_digest string, pairs bigint, totals map<string,bigint>"
+
+
+def read_prior(spark, path: str, actions_digest: str | None = None) -> tuple[DataFrame, dict]:
+    """An artifact behind its checks (``checked_prior``), and its manifest. actions_digest: of the action table in use; another one is an error."""
+    from tracelake.operators.expectations import require
+
+    found = spark.read.schema(MANIFEST).json(f"{path}/manifest").collect()
+    require(len(found) == 1, f"{len(found)} manifests in {path}")
+    m = found[0].asDict(True)
+    table = spark.read.parquet(f"{path}/table")
+    return checked_prior(table, m["pairs"], m["actions_digest"], actions_digest or m["actions_digest"]), m

@@ -36,9 +36,8 @@ def exact_split(df: DataFrame, order: list[str], sizes: dict[str, int]) -> DataF
 
 def first_per(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Keep-first deduplication with a defined first, and how many rows each key had (``copies``)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    first = df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return first.join(df.groupBy(*key).agg(F.count("*").alias("copies")), key)
+    w = Window.partitionBy(*key)
+    return df.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "copies": F.count("*").over(w)}).where("_r = 1").drop("_r")
 
 
 def upper_median(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

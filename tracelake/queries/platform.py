@@ -71,9 +71,7 @@ SELECT level, p[1] AS prev, p[2] AS next, count(*) AS n FROM p GROUP BY ALL""")
 def episode_bigrams(spark, d):
     """Transition counts of action ids per level, over arrays: no step is shuffled, only counts."""
     e = table(spark, d, "episodes").select("uid", "level", "actions").dropDuplicates(["uid"])
-    n = F.size("actions")
-    pairs = F.zip_with(F.slice("actions", 1, F.greatest(n - 1, F.lit(0))), F.slice("actions", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("prev"), b.alias("next")))
-    return e.where(n > 1).select("level", F.inline(pairs)).groupBy("level", "prev", "next").agg(F.count("*").alias("n"))
+    return prior.array_bigrams(e, "actions", ("level",))
 
 
 _HEX = "nullif(lower(regexp_extract(fingerprint, '([0-9a-fA-F]{64})', 1)), '')"
@@ -84,8 +82,7 @@ SELECT fp, uid, copies FROM r WHERE r = 1""")
 def dedup_first(spark, d):
     """First arrival of each fingerprint, and how many there were."""
     e = table(spark, d, "episodes").select("uid", ids.hex64(C("fingerprint")).alias("fp"), "staged_no").dropDuplicates(["uid"])
-    w = Window.partitionBy("fp")
-    return e.withColumns({"r": F.row_number().over(w.orderBy("staged_no", "uid")), "copies": F.count("*").over(w)}).where("r = 1").select("fp", "uid", "copies")
+    return select.first_per(e, ["fp"], [C("staged_no"), C("uid")]).select("fp", "uid", "copies")
 
 
 _CAT = f"""e AS (SELECT DISTINCT uid, {_HEX} AS fp, source_trace, action_steps FROM episodes), m AS (SELECT DISTINCT shard_id, {_HEX} AS fp, ordinal FROM shard_episodes)"""

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tracelake.operators.expectations import require
 
@@ -127,3 +129,57 @@ def promote(candidates: DataFrame, known: DataFrame, on: str = "fingerprint") ->
     w = Window.partitionBy(on).orderBy("path")
     k = known.select(on).distinct().withColumn("_k", F.lit(True))
     return candidates.join(k, on, "left").withColumn("_r", F.row_number().over(w)).withColumn("status", F.when(F.col("_k") | (F.col("_r") > 1), "existing").otherwise("promoted")).drop("_k", "_r")
+
+
+def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
+    """Append-only table of attempts: rows whose key is already there are left out, so a driver that is run again goes on where it stopped. The number of rows added."""
+    spark = rows.sparkSession
+    try:
+        fresh = rows.join(spark.read.schema(rows.schema).parquet(path).select(*key).distinct(), key, "left_anti")
+    except AnalysisException:
+        fresh = rows
+    fresh = fresh.dropDuplicates(key)
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").parquet(path)
+    return n
+
+
+def remaining(requests: DataFrame, path: str, key: list[str], schema: str) -> DataFrame:
+    """Requests that have no attempt in the table yet."""
+    try:
+        return requests.join(requests.sparkSession.read.schema(schema).parquet(path).select(*key).distinct(), key, "left_anti")
+    except AnalysisException:
+        return requests
+
+
+def verified_files(spark: SparkSession, manifest: DataFrame, root: str, strict: bool = True) -> DataFrame:
+    """The files that a manifest (path below root, bytes, sha256) lists, with ``content``, and ``ok``: size and digest are as listed. A file that is missing or differs
+    is an error where ``strict``; files that no manifest lists aren't read. Scans pass over
+    empty files, so one that is listed with no bytes counts as there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = manifest.select(F.col("path").alias("name"), F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
+    name = F.regexp_replace(F.col("path"), F.concat(F.lit("^.*?"), F.lit(re.escape(root.rstrip("/"))), F.lit("/")), "")
+    t = listed.join(files.select(name.alias("name"), "content", "length"), "name", "left")
+    empty = F.col("length").isNull() & (F.col("_bytes") == 0)
+    t = t.withColumns({"content": F.when(empty, F.lit(b"")).otherwise(F.col("content")), "length": F.when(empty, 0).otherwise(F.col("length"))})
+    ok = (F.col("length") == F.col("_bytes")) & (F.sha2("content", 256) == F.lower("_sha"))
+    t = t.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    if strict:
+        t = t.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.concat(F.lit("file differs from its manifest: "), F.col("name"))).cast("boolean")))
+    return t.select(F.col("name").alias("path"), "content", "ok")
+
+
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus in whatever layout it has (see ``layout``)."""
+    from tracelake.sources import archives
+
+    kind = layout(path)
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    archives.register(spark)
+    if kind == "tar":
+        return spark.read.format("tarpairs").option("path", path).load()
+    if kind == "episodes":
+        return spark.read.format("npz").option("path", os.path.join(path, "episodes")).load()
+    raise ValueError(f"{path}: layout {kind} has no reader")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
+
+from tracelake.operators.expectations import require
 
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -61,17 +64,55 @@ def rising_stream(stream: DataFrame, key: str, order: list[str], flag: str) -> D
     return stream.select(key, *order, flag).groupBy(key).applyInPandasWithState(edges, ", ".join(f"{c} {t}" for c, t in fields), "last boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def publish(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Idempotent sink for ``foreachBatch``: data under the batch's number in overwrite mode, then the marker. A repeated batch replaces itself."""
-    batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
-    n = batch.sparkSession.read.parquet(f"{path}/data/batch={batch_id}").count()
-    batch.sparkSession.createDataFrame([(batch_id, n)], "batch bigint, rows bigint").write.mode("overwrite").json(f"{path}/markers/batch={batch_id}")
+def content(rows: DataFrame) -> tuple[int, str]:
+    """Number of rows and a digest of their content that doesn't depend on the order (sum of two hashes of each row)."""
+    cols = [F.col(c) for c in sorted(rows.columns)]
+    r = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")), F.lit(0)).alias(f"h{seed}") for seed in (1, 2)]).collect()[0]
+    return r.n, f"{int(r.h1):x}.{int(r.h2):x}"
+
+
+def _marker(spark: SparkSession, path: str, batch_id: int) -> tuple[int, str] | None:
+    try:
+        got = spark.read.schema("batch bigint, rows bigint, digest string").json(f"{path}/markers/batch={batch_id}").collect()  # one row
+    except AnalysisException:
+        return None
+    return (got[0].rows, got[0].digest) if got else None
+
+
+def publish(batch: DataFrame, batch_id: int, path: str) -> bool:
+    """Create-only sink for ``foreachBatch``: data under the batch's number, read back and compared in size and digest, then the marker. What was written without a marker
+    (a run that broke) is replaced; a batch that is published already is left as it is if it is the same (False), and an error if its content differs."""
+    spark = batch.sparkSession
+    own, there = content(batch), _marker(spark, path, batch_id)
+    if there is not None:
+        require(there == own, f"batch {batch_id} was published with other content")
+        return False
+    target = f"{path}/data/batch={batch_id}"
+    batch.write.mode("overwrite").parquet(target)
+    require(content(spark.read.schema(batch.schema).parquet(target)) == own, f"batch {batch_id} was not written as it is")
+    spark.createDataFrame([(batch_id, *own)], "batch bigint, rows bigint, digest string").coalesce(1).write.mode("errorifexists").json(f"{path}/markers/batch={batch_id}")
+    return True
+
+
+def cut_batches(members: DataFrame, worker: str, order: list[str], size: int, flush: bool = False) -> DataFrame:
+    """The journal of a worker's members as batches of exactly ``size`` in order: members with ``batch`` and ``open``. An open tail belongs to the batch it will
+    be in once that is full; ``flush`` seals it as it is. Batches depend on the journal alone, so a restart goes on where the last run ended."""
+    w = Window.partitionBy(worker)
+    t = members.withColumns({"_no": F.row_number().over(w.orderBy(*order)), "_all": F.count("*").over(w)}).withColumn("batch", F.floor((F.col("_no") - 1) / size))
+    return t.withColumn("open", F.lit(False) if flush else (F.col("batch") + 1) * size > F.col("_all")).drop("_no", "_all")
+
+
+def resume(batches: DataFrame, path: str) -> list[int]:
+    """Publish every sealed batch (column ``batch``) that has no marker yet, in order; the numbers published. Sealed batches wait for a restart in small numbers."""
+    spark = batches.sparkSession
+    waiting = [r.batch for r in batches.select("batch").distinct().orderBy("batch").collect()]
+    return [b for b in waiting if _marker(spark, path, b) is None and publish(batches.where(F.col("batch") == b).drop("batch"), b, path)]
 
 
 def published(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the batches whose marker is there."""
     data = spark.read.schema(schema + ", batch bigint").option("basePath", f"{path}/data").parquet(f"{path}/data")
-    marks = spark.read.schema("batch bigint, rows bigint").json(f"{path}/markers")
+    marks = spark.read.schema("batch bigint, rows bigint, digest string").json(f"{path}/markers")
     return data.join(marks.select("batch").distinct(), "batch", "left_semi")
 
 
