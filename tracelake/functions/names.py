@@ -53,3 +53,18 @@ def warmup_stable_decay(step: Column, base: float, warmup: int, decay_start: int
     """Rise, constant phase, cosine decay from ``decay_start``."""
     progress = F.least((step - decay_start) / max(1, total - decay_start), F.lit(1.0))
     return F.when(step < warmup, (step + 1) * (base / max(warmup, 1))).when(step < decay_start, F.lit(base)).otherwise(F.lit(base * 0.5) * (1 + F.cos(progress * F.lit(3.141592653589793))))
+
+
+def value_text(v: Column) -> Column:
+    """A number for display: whole ones without a fraction, others with two digits."""
+    return F.when(v == F.floor(v), F.floor(v).cast("bigint").cast("string")).when(v.isNotNull(), F.format_string("%.2f", v.cast("double")))
+
+
+def target_text(meta: Column, level: Column) -> Column:
+    """What a task is about, from its ``meta``: the enemy and its slot, or the item; empty where neither is given."""
+    from tracelake.functions.ram import ITEMS, type_name
+
+    kind, slot, item = (F.try_element_at(meta, F.lit(k)) for k in ("enemy_type", "slot", "item_weapon"))
+    items = F.create_map(*[F.lit(x) for kv in ITEMS.items() for x in kv])
+    enemy = F.concat(F.lit("target: "), type_name(kind.cast("int"), level), F.coalesce(F.concat(F.lit("  slot "), slot), F.lit("")))
+    return F.when(kind.isNotNull(), enemy).when(item.isNotNull(), F.concat(F.lit("item: "), F.coalesce(F.try_element_at(items, item.cast("int")), F.lit("?")))).otherwise("")

@@ -62,3 +62,34 @@ def several_values(df: DataFrame, by: list[str], column: str) -> DataFrame:
 def failing(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which the condition doesn't hold (null counts as failing)."""
     return df.where(~F.coalesce(condition, F.lit(False)))
+
+
+def digest_changed(copied: DataFrame, source: DataFrame, on: list[str], digest: str = "sha256") -> DataFrame:
+    """Rows of a copy (files, shards) whose digest isn't that of the source, or that the source doesn't have."""
+    return copied.join(source.select(*on, F.col(digest).alias("_own"), F.lit(True).alias("_there")), on, "left").where(F.col("_there").isNull() | ~F.col(digest).eqNullSafe(F.col("_own"))).drop("_own", "_there")
+
+
+def frames_changed(decoded: DataFrame, rows: DataFrame, episode: list[str], frame: str, digest: str = "frame_sha256") -> DataFrame:
+    """Episodes whose decoded frames aren't as many as were written, or whose first or last frame has another digest: key, decoded, written, ends_differ."""
+    at = lambda t, n: t.groupBy(*episode).agg(F.count("*").alias(n), F.struct(F.min_by(digest, frame), F.max_by(digest, frame)).alias(f"_{n}"))
+    both = at(rows, "written").join(at(decoded, "decoded"), episode, "full")
+    out = both.select(*episode, F.coalesce("decoded", F.lit(0)).alias("decoded"), F.coalesce("written", F.lit(0)).alias("written"), (~F.col("_written").eqNullSafe(F.col("_decoded"))).alias("ends_differ"))
+    return out.where("decoded <> written OR ends_differ")
+
+
+def offsets_broken(table: DataFrame, offsets: str, frames: Column, values: Column) -> DataFrame:
+    """Rows whose offsets (an array) aren't one more than the frames, don't begin at 0, fall, or don't end at the number of values."""
+    o = F.col(offsets)
+    rising = F.forall(F.zip_with(F.slice(o, 1, F.greatest(F.size(o) - 1, F.lit(0))), F.slice(o, 2, F.greatest(F.size(o) - 1, F.lit(0))), lambda a, b: a <= b), lambda x: x)
+    return failing(table, (F.size(o) == frames + 1) & (F.try_element_at(o, F.lit(1)) == 0) & rising & (F.try_element_at(o, F.lit(-1)) == values))
+
+
+def not_won(tasks: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """Candidates whose outcome is given and is not a win."""
+    return tasks.where((F.coalesce(F.col(outcome), F.lit("")) != "") & (F.col(outcome) != "win"))
+
+
+def labels_agree(mismatches: DataFrame) -> None:
+    """Stop an export whose labels disagree with what stands in the frames (``segments.label_mismatches``)."""
+    r = mismatches.collect()[0]  # one row
+    require(r.mismatches == 0, f"labels disagree on {r.mismatches} of {r.checked} points")

@@ -252,6 +252,49 @@ def signature(steps: DataFrame, bins: int = 20) -> DataFrame:
     return sequence.state_signature(t, ["trace_id"], "step", C("_fall"), feats, bins)
 
 
+# Keys of ``meta`` that a release carries along.
+PASSED_ON = ("target_entity", "source_entity", "item_weapon", "kind", "start_seg", "end_seg", "weapon", "rapid", "boss_hp_start", "offset_frac", "batch_id", "stage", "source_task", "source_offset",
+             "initial_state_name", "initial_state_sha256", "raw_trace", "trace_fingerprint", "diversity_nearest_uid", "diversity_nearest_distance")
+
+
+def passed_on(meta: Column) -> Column:
+    """The entries of ``meta`` that a release carries along."""
+    return F.map_filter(meta, lambda k, v: k.isin(*PASSED_ON))
+
+
+def boss_metadata(tasks: DataFrame, steps: DataFrame) -> DataFrame:
+    """Boss tasks (uid, meta) with ``weapon`` and ``rapid`` of their opening observation, and, unless derived from another task, the most hit points the boss shows
+    (``boss_hp_start``) and an offset of 0. steps: of the task's own replay, trace_id is the uid. A task without steps is an error."""
+    t = steps.withColumn("_hp", ram.boss_hp(C("slots"), C("level"))).groupBy(C("trace_id").alias("uid")).agg(
+        F.min_by(ram.weapon_label(C("weapon")), "step").alias("_weapon"), F.min_by("rapid", "step").alias("_rapid"), F.max("_hp").alias("_hp"))
+    both = tasks.join(t, "uid", "left")
+    weapon = F.coalesce("_weapon", F.raise_error(F.concat(F.lit("no steps of boss task "), C("uid"))).cast("string"))
+    own = F.map_from_arrays(F.array(F.lit("weapon"), F.lit("rapid")), F.array(weapon, C("_rapid").cast("string")))
+    full = F.map_from_arrays(F.array(F.lit("boss_hp_start"), F.lit("offset_frac")), F.array(C("_hp").cast("string"), F.lit("0.0")))
+    new = F.when(F.try_element_at("meta", F.lit("source_task")).isNull(), F.map_concat(own, full)).otherwise(own)
+    kept = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(new, k))
+    return both.withColumn("meta", F.map_concat(kept, new)).drop("_weapon", "_rapid", "_hp")
+
+
+def replay_report(pairs: DataFrame, goal: Column) -> DataFrame:
+    """Per replayed trace: does it reach its goal (``replay_valid``), with which weapon (``spread_equipped``: the spread gun), in how many steps."""
+    at = F.min(F.when(goal, C("step")))
+    t = pairs.groupBy("trace_id").agg(at.alias("goal_step"), F.min_by(F.when(goal, F.struct("weapon", "rapid")), F.when(goal, C("step"))).alias("_w"), F.max("step").alias("trace_steps"))
+    return t.select("trace_id", C("goal_step").isNotNull().alias("replay_valid"), "goal_step", "_w.weapon", "_w.rapid", F.coalesce(C("_w.weapon") == 3, F.lit(False)).alias("spread_equipped"), "trace_steps")
+
+
+def goal_of(name: str, level: int | None = None) -> Column:
+    """The goals of a search over a pair of steps: ``boss_entry``, ``game_clear``, ``level_up`` (the transition, or the level isn't ``level`` any more)."""
+    if name == "boss_entry":
+        return events.event_by_tag("in_boss_stage") > 0
+    if name == "game_clear":
+        return events.event_by_tag("clear_game") > 0
+    if name != "level_up":
+        raise KeyError(name)
+    changed = C("level") != (C("pre_level") if level is None else F.lit(level))
+    return (events.event_by_tag("in_level_transition") > 0) | changed
+
+
 def newest_path(tasks: DataFrame) -> DataFrame:
     """One row per uid: the last path in order wins."""
     return tasks.groupBy("uid").agg(F.max("path").alias("path"))

@@ -12,7 +12,8 @@ import os
 import tarfile
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TRACE = "trace string, path string, actions array<array<smallint>>, initial_state binary, skip int, level int, weapon string, split string, label string, uid string, meta map<string,string>"
@@ -91,11 +92,12 @@ class TarReader(DataSourceReader):
                 if suffix not in ("png", "json", "bin") or key in done or (members is not None and key not in members):
                     continue
                 got = half.setdefault(key, {})
-                got["meta" if suffix == "json" else "payload"] = tar.extractfile(m).read()
+                skip = self.options.get("payload") == "false"
+                got["meta" if suffix == "json" else "payload"] = None if skip else tar.extractfile(m).read()
                 if len(got) == 2:
                     done.add(key)
                     half.pop(key)
-                    yield key, os.path.basename(part.path), got["payload"], got["meta"].decode()
+                    yield key, os.path.basename(part.path), got["payload"], None if skip else got["meta"].decode()
         if half:
             raise ValueError(f"{part.path}: members without their other half: {sorted(half)[:5]}")
         if members is not None and self.options.get("strict") == "true" and done != members:
@@ -103,7 +105,8 @@ class TarReader(DataSourceReader):
 
 
 class TarPairs(DataSource):
-    """Pairs of members; the first complete pair of a key wins, leftovers are an error. Option ``members``: only these keys (with ``strict`` all must be there)."""
+    """Pairs of members; the first complete pair of a key wins, leftovers are an error. Option ``members``: only these keys (with ``strict`` all must be there);
+    ``payload`` = false: keys and shards only, without reading what the members hold."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,6 +127,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarPairs)
 
 
+def with_split(traces: DataFrame) -> DataFrame:
+    """Recordings whose missing split is derived from the file's name, as for those written before there was one."""
+    from tracelake.functions.identity import effective_split, trace_name
+
+    return traces.withColumn("split", effective_split(F.col("split"), trace_name(F.col("trace"))))
+
+
 def write_npz(path: str, **values) -> None:
     """One recording, written beside its place and renamed into it. Names of known columns can't be given as extra data."""
     import numpy as np

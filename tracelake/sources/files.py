@@ -183,3 +183,13 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     if kind == "episodes":
         return spark.read.format("npz").option("path", os.path.join(path, "episodes")).load()
     raise ValueError(f"{path}: layout {kind} has no reader")
+
+
+def is_complete(manifest: dict | None, expected: dict, names: list[str], needed: tuple[str, ...]) -> bool:
+    """Is a part of a corpus done? Its manifest holds all that is expected, and the needed files are there."""
+    return manifest is not None and all(k in manifest and manifest[k] == v for k, v in expected.items()) and set(needed) <= set(names)
+
+
+def corpus_shards(episodes: DataFrame, ordinal: str, committed_shards: DataFrame, per: int = 10) -> DataFrame:
+    """Episodes with their ``shard`` (``per`` episodes each), without those of shards that are committed already."""
+    return episodes.withColumn("shard", F.floor(F.col(ordinal) / per).cast("bigint")).join(committed_shards.select("shard").distinct(), "shard", "left_anti")
