@@ -59,6 +59,46 @@ def test_neighbour_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def exact_neighbours(data, k=10, every=50):
+    """collection, encoder, id -> the k most similar others, by comparing all."""
+    import pyarrow.parquet as pq
+
+    read = lambda n: pq.read_table(f"{data}/{n}.parquet").to_pylist()
+    dims = {r["checkpoint_sha256"]: r["token_dim"] for r in read("encoders")}
+    groups = defaultdict(dict)
+    for r in read("frame_tokens"):
+        if r["vec"] is not None and len(r["vec"]) == dims.get(r["encoder_sha256"]) and any(r["vec"]):
+            groups["token", r["encoder_sha256"]][str(r["token_id"])] = r["vec"]
+    for r in read("diversity_features"):
+        if r["state"] is not None and len(r["state"]) == 20 and all(v is not None and len(v) == 8 for v in r["state"]):
+            groups["state", "state"][r["uid"]] = sum(r["state"], [])
+    out = {}
+    for (c, g), rows in groups.items():
+        ids, x = sorted(rows), np.array([rows[i] for i in sorted(rows)], dtype=np.float64)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) if c == "token" else x
+        for i, name in enumerate(ids):
+            d = ((x - x[i]) ** 2).sum(1)
+            d[i] = np.inf
+            out[c, g, name] = np.sort(d)[: min(k, len(ids) - 1)]
+    return out, {(c, g): (dict(zip(sorted(rows), range(len(rows)))), np.array([rows[i] for i in sorted(rows)], dtype=np.float64)) for (c, g), rows in groups.items()}
+
+
+def test_registered_neighbours_reach_their_recall(spark, data):
+    from tracelake import llm
+
+    exact, vectors_of = exact_neighbours(data)
+    got = defaultdict(list)
+    for r in llm.queries()["p7_neighbours"](spark, data).collect():
+        got[r.collection, r.encoder, r.id].append(r.neighbour)
+    hit = want = 0
+    for key, names in got.items():
+        at, x = vectors_of[key[:2]]
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) if key[0] == "token" else x
+        d = np.array([((x[at[n]] - x[at[key[2]]]) ** 2).sum() for n in names])
+        hit, want = hit + (d <= exact[key][-1] + 1e-9).sum(), want + len(exact[key])
+    assert len(got) >= 3 and hit >= 0.9 * want
+
+
 def test_large_leaf_is_cut(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 20)
     rng = np.random.default_rng(3)
