@@ -325,10 +325,12 @@ def test_idempotent_publishing(spark, tmp_path):
     for _ in range(2):  # a restart finds nothing new
         batches.run_available(batches.file_stream(spark, str(tmp_path / "in"), df.schema, 1), out, str(tmp_path / "ck"))
     assert sorted(r.i for r in batches.published(spark, out, "i int").collect()) == list(range(30))
-    batches.publish(df.limit(5), 0, out)
-    batches.publish(df.limit(5), 0, out)
+    batches.publish(df.where("i < 5"), 50, out)
+    batches.publish(df.where("i < 5"), 50, out)  # the same again changes nothing
+    with pytest.raises(ValueError, match="other content"):
+        batches.publish(df.where("i < 6"), 50, out)
     df.write.parquet(f"{out}/data/batch=99")  # no marker: not visible
-    assert batches.published(spark, out, "i int").where("batch = 99").count() == 0 and batches.published(spark, out, "i int").where("batch = 0").count() == 5
+    assert batches.published(spark, out, "i int").where("batch = 99").count() == 0 and batches.published(spark, out, "i int").where("batch = 50").count() == 5
     assert [batches.backoff(i) for i in (0, 1, 10)] == [5, 10, 300]
 
 
