@@ -98,8 +98,17 @@ def march() -> dict[str, tuple[str, Column]]:
     }
 
 
+_BUILT: dict[str, dict[str, tuple[str, Column]]] = {}  # the registry of the running application: building it takes hundreds of calls to the JVM
+
+
 def event_by_tag(tag: str) -> Column:
-    return registry()[tag][1]
+    from pyspark import SparkContext
+
+    app = SparkContext._active_spark_context.applicationId if SparkContext._active_spark_context else ""
+    if app not in _BUILT:
+        _BUILT.clear()
+        _BUILT[app] = registry()
+    return _BUILT[app][tag][1]
 
 
 def step_pairs(steps: DataFrame) -> DataFrame:
