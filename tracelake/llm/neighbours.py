@@ -182,7 +182,9 @@ def _nearest(k: int, unit: bool, most: float | None):
         ids = np.asarray(part.column("id").to_pylist(), dtype=object)
         codes = part.column("code").combine_chunks()
         dim = part.column("dim")[0].as_py() if part.num_rows else 0
-        x = _matrix(codes, dim, unit)
+        raw = _matrix(codes, dim, False)  # exact, also where the codes are of half precision
+        norm = np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True) if unit else None
+        x = raw / norm.astype(np.float32) if unit else raw
         m, q = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         sq = (x[m] ** 2).sum(1)
@@ -200,7 +202,7 @@ def _nearest(k: int, unit: bool, most: float | None):
             r, a, b = r[differ], a[differ], b[differ]
             if not len(r):
                 continue
-            u, v = (_matrix(codes.take(pa.array(w)), dim, unit, np.float64) for w in (a, b))
+            u, v = (raw[w].astype(np.float64) / norm[w] if unit else raw[w].astype(np.float64) for w in (a, b))
             exact = (u * v).sum(1) if unit else np.sqrt(((u - v) ** 2).mean(1))
             order = np.lexsort((-exact if unit else exact, r))
             r, a, b, exact = r[order], a[order], b[order], exact[order]
