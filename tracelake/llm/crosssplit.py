@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.blocks import POSTING, SHORT, indexed, probes, sketch
+from tracelake.llm.blocks import BIAS, POSTING, SHORT, indexed, present_slots, probes, sketch
 from tracelake.llm.common import flat, segment_codes
 from tracelake.llm.edits import SHARE, distance, profiles_apart, radius, within_reach
 from tracelake.plans.staging import spread, stage
@@ -57,8 +57,8 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     classes: id and id2 BIGINT (two hashes), side STRING, codes ARRAY<SMALLINT>, n INT; distinct codes per side."""
     asking, listed = (classes.where((F.col("side") == s) & (F.col("n") >= SHORT)).select("id", "codes") for s in ("eval", "train"))
     counts = sketch(asking, "codes")
-    a = spread(asking, "id").mapInArrow(probes("id", "codes"), POSTING).alias("a")
-    b = spread(listed, "id").mapInArrow(indexed("id", "codes", counts), POSTING).alias("b")
+    listed = stage(spread(listed, "id").mapInArrow(indexed("id", "codes", counts, BIAS), POSTING), "postings")
+    a, b = spread(asking, "id").mapInArrow(probes("id", "codes", present_slots(listed)), POSTING).alias("a"), listed.alias("b")
     (na, pa_), (nb, pb) = ((F.shiftright(f"{s}.at", 32), F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF)) for s in "ab")
     reach = F.floor(F.greatest(na, nb) / SHARE)
     on = (F.col("a.key") == F.col("b.key")) & (F.abs(na - nb) <= reach) & (F.abs(pa_ - pb) <= reach) & within_reach("a.pivots", "b.pivots", reach)

@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.identity import hex64
-from tracelake.llm.blocks import POSTING, SIZES, SLOTS, indexed, present_slots, probes, sketch
+from tracelake.llm.blocks import BIAS, POSTING, SIZES, SLOTS, indexed, present_slots, probes, sketch
 from tracelake.llm.common import flat
 from tracelake.llm.edits import SHARE, near_same, within_reach
 from tracelake.plans.staging import shared_dir, spread, stage, tasks
 
 GROUPS = 16  # of action ids, for the profile: four packed BIGINTs of four counts each
-BIAS = 8.0  # shorter blocks than a record could have are worth their probes only where they meet so many times fewer
 ROUNDS = 3  # rounds that registered queries take over all batches
 RECORD = "uid string, no bigint, batch_no int, source_trace string, fp string, same string, n int, g0 bigint, g1 bigint, g2 bigint, g3 bigint, actions array<bigint>"
 
