@@ -298,3 +298,25 @@ def test_rounds():
 
 def test_history_of_nothing(make):
     assert history.found(make.episodes([]), make.published([])).collect() == []
+
+
+def test_history_moves_no_row_per_gram(spark, make, rng, tmp_path):
+    written = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))} if (
+        stages := spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())) is not None else {}
+    eps = [(f"u{i}", i, i % 2, f"{i:064x}", [rng.randrange(18) for _ in range(150 + 3 * i)], "t", None, 1, "full") for i in range(40)]
+    eps.append(("copy", 50, 2, "f" * 64, [17, *eps[7][4][:90], *eps[7][4][93:]], "t", None, 1, "full"))
+    before = written()
+    got = {r.uid for r in history.judged(make.episodes(eps), make.published([]), 1, str(tmp_path / "h")).where(history.REPEAT).collect()}
+    moved = sum(v for k, v in written().items() if k not in before)
+    assert got == brute_repeats(eps, []) == {"copy"}
+    assert moved < 60 * len(eps)  # the sketch, of fixed size, is some rows; a record has about 200 grams of each size
+
+
+def test_packed_steps_of_every_width():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [[], [-1, 5, 17], [300, -2], [1 << 40, 3], [70000]]
+    values, offsets = history.unpacked(pa.array([history.packed(np.array(r, dtype=np.int64)) for r in rows] + [None], pa.binary()))
+    assert [values[i:j].tolist() for i, j in zip(offsets, offsets[1:])] == [*rows, []]
+    assert all(np.searchsorted(history.CELLS, edits.longest_partner(n), "right") - np.searchsorted(history.CELLS, n, "right") <= 1 for n in range(9, 5000))

@@ -43,14 +43,14 @@ def _inside(offsets: np.ndarray, size: int, use: np.ndarray) -> tuple[np.ndarray
     return rec, np.arange(n.sum()) - (np.cumsum(n) - n)[rec]
 
 
-def sketch(rows: DataFrame, column: str) -> np.ndarray:
-    """How many grams of the rows fall in each slot, per size. Tasks hold and send arrays of fixed size, merged in two steps."""
+def sketch(rows: DataFrame, column: str, read=flat) -> np.ndarray:
+    """How many grams of the rows fall in each slot, per size. read: gives values and offsets of the column of a batch. Tasks hold and send arrays of fixed size, merged in two steps."""
     width = len(SIZES) * SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, dtype=np.int64)
         for b in batches:
-            codes, offsets = flat(b.column(column))
+            codes, offsets = read(b.column(column))
             for i, size in enumerate(SIZES):
                 rec, place = _inside(offsets, size, np.diff(offsets) >= SHORT)
                 if len(rec):

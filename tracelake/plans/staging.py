@@ -47,7 +47,17 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Compute once into a shared table and read it back (cuts the lineage)."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables of ``stage`` that nothing reads any more."""
+    for t in tables:
+        jvm, spark = t.sparkSession.sparkContext._jvm, t.sparkSession
+        p = jvm.org.apache.hadoop.fs.Path(t._staged)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def tasks(spark: SparkSession) -> int:
