@@ -197,6 +197,21 @@ def test_nearest_blended_is_brute_force(spark, data):
             assert got[r.uid].distance == pytest.approx(min(pool.values()), abs=1e-7) == pool[got[r.uid].nearest]
 
 
+def test_js_floor_is_tight():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for a in (0.05, 1, 20):
+        p, q = r.dirichlet(np.full(30, a), (2, 200))
+        q[:20] = 0.999 * p[:20] + 0.001 * q[:20]
+        m = (p + q) / 2
+        half = lambda s: np.where(s > 0, s * np.log2(np.where(s > 0, s, 1) / m), 0).sum(1)
+        js = np.sqrt((half(p) + half(q)) / 2)
+        floor = diversity.js_floor(1 - np.sqrt(p * q).sum(1))
+        assert (floor <= js + 1e-7).all() and (js <= floor / math.sqrt(math.log(2)) + 1e-6).all()
+    assert diversity.js_floor(np.array([1.0]))[0] == 1
+
+
 def test_js_distance_all_needs_no_state(spark, tmp_path):
     from tracelake.queries import platform
 

@@ -111,19 +111,28 @@ def nearest_earlier(df: DataFrame, uid: str, stratum: str, vec: str) -> DataFram
     return found.groupBy("uid").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("uid", "b.nearest", "b.distance")
 
 
-def nearest_blended(features: DataFrame, block: int = 4000) -> DataFrame:
+def js_floor(h):
+    """Least Jensen-Shannon distance (root, base 2) at a squared Hellinger distance h = 1 - sum of sqrt(p q): per term of the sums the ratio of the divergence in bits to
+    h lies between 1 (one side is 0) and 1 / ln 2 (the sides are equal). Works in place."""
+    h.clip(0, None, out=h)
+    h **= 0.5
+    return h
+
+
+def nearest_blended(features: DataFrame, block: int = 8000) -> DataFrame:
     """uid, weapon, nearest, distance: for every record the nearest earlier one (smaller uid) of its weapon under the blended distance, of all weapons
     where its own has none earlier; nearest and distance are null for the very first. Of equal distances the smaller uid counts.
 
     features: distinct uid, weapon, length, ngrams, state. Unknown weapons are a stratum of their own. Records without n-grams or state have no distance and are left
     out; states of another size can't be compared, so a record meets only those of its size. Exact: all pairs of a stratum meet, as tiles of two blocks. Two matrix products
-    give bounds of every pair (root mean square as it is; the Jensen-Shannon divergence in bits lies between H²/(2 ln 2) and 2 H² for H² = 1 - sum of sqrt(p q)), and only pairs
+    give bounds of every pair (root mean square as it is; for the Jensen-Shannon distance see ``js_floor``), in single precision less its largest error, and only pairs
     whose lower bound is under the best distance of the record are worked out. No pair of rows is emitted, only the best per tile."""
     import numpy as np
     import pyarrow as pa
 
+    kind = "float" if dict(features.dtypes)["state"] == "array<array<float>>" else "double"  # what moves is as wide as what is given
     t = features.select("uid", F.coalesce("weapon", F.lit("")).alias("weapon"), F.col("length").cast("double").alias("length"), F.map_keys("ngrams").alias("grams"), F.map_values("ngrams").alias("counts"),
-                        F.flatten("state").cast("array<double>").alias("state")).where("uid IS NOT NULL AND length IS NOT NULL AND size(state) > 0 AND aggregate(counts, 0L, (a, x) -> a + coalesce(x, 0L)) > 0")
+                        F.flatten("state").cast(f"array<{kind}>").alias("state")).where("uid IS NOT NULL AND length IS NOT NULL AND size(state) > 0 AND aggregate(counts, 0L, (a, x) -> a + coalesce(x, 0L)) > 0")
     code = {r.g: i for i, r in enumerate(t.select(F.explode("grams").alias("g")).distinct().orderBy("g").collect())}  # bounded by the alphabet of the steps, not by the records
 
     def coded(batches):
@@ -133,7 +142,7 @@ def nearest_blended(features: DataFrame, block: int = 4000) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("uid", "weapon", "length")], pa.ListArray.from_arrays(pa.array(ends), codes), *[b.column(c) for c in ("counts", "state")]], names=["uid", "weapon", "length", "grams", "counts", "state"])
 
-    rows = stage(t.mapInArrow(coded, "uid string, weapon string, length double, grams array<int>, counts array<bigint>, state array<double>"), "blended").withColumn("size", F.size("state"))
+    rows = stage(t.mapInArrow(coded, f"uid string, weapon string, length double, grams array<int>, counts array<bigint>, state array<{kind}>"), "blended").withColumn("size", F.size("state"))
     firsts = rows.groupBy("size", "weapon").agg(F.min("uid").alias("first"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a weapon
     placed = rows.join(F.broadcast(firsts), ["size", "weapon"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(5)), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -143,7 +152,7 @@ def nearest_blended(features: DataFrame, block: int = 4000) -> DataFrame:
 
     def dense(part: pa.Table) -> tuple:
         n = part.num_rows
-        x = np.array(part.column("state").to_pylist(), dtype=np.float64).reshape(n, -1)
+        x = part.column("state").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
         p = np.zeros((n, len(code)))
         g, c = part.column("grams").combine_chunks(), part.column("counts").combine_chunks()
         np.add.at(p, (np.repeat(np.arange(n), g.value_lengths().to_numpy(zero_copy_only=False)), g.flatten().to_numpy()), np.nan_to_num(c.flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
@@ -172,7 +181,16 @@ def nearest_blended(features: DataFrame, block: int = 4000) -> DataFrame:
                 out[s : s + 4096] = 0.45 * rms + 0.35 * js + 0.2 * np.minimum(1, np.abs(length[u] - length[v]) / math.log(4.0))
             return out
 
-        square = (x**2).sum(1)
+        # bounds in single precision: a product of k terms is off by at most k eps times the norms
+        finite = np.isfinite(x).all(1)  # other rows have no distance
+        kind = np.float32 if np.abs(x[finite]).max(initial=0) < 1e15 else np.float64
+        eps = float(np.finfo(kind).eps)
+        y = ((x - (x[finite].mean(0) if finite.any() else 0)) * (0.45 / math.sqrt(x.shape[1]))).astype(kind)
+        square = (y**2).sum(1) * kind(1 - 4 * (x.shape[1] + 8) * eps)
+        root = root.astype(kind)
+        off = (length * (0.2 / math.log(4.0))).astype(kind)
+        most = kind(1 + 2 * (len(code) + 8) * eps)
+        gap = kind(1e-12 + 64 * eps * (1 + np.abs(off).max(initial=0) + math.sqrt(float(square[finite].max(initial=0)))))
         # in a tile of two blocks, rows meet only those of the other block; rows that open a stratum meet all
         meets = [(np.flatnonzero(opens), member)] + ([(np.flatnonzero((own == a) & ~opens), np.flatnonzero((own == b) & ~opens)) for a, b in ((i, j), (j, i))] if i != j else [(member, member)])
         for asks, pool in meets:
@@ -181,11 +199,21 @@ def nearest_blended(features: DataFrame, block: int = 4000) -> DataFrame:
                 m = pool[: np.searchsorted(rank[pool], rank[q].max())] if len(q) else pool[:0]  # the pool is in order of uid
                 if not len(m):
                     continue
-                mean = (square[q][:, None] + square[m][None] - 2 * x[q] @ x[m].T) / x.shape[1]
-                slack = 1e-9 * (1 + (square[q][:, None] + square[m][None]) / x.shape[1])
-                h = 1 - root[q] @ root[m].T
-                low = 0.45 * np.sqrt(np.maximum(mean - slack, 0)) + 0.35 * np.sqrt(np.maximum(h - 1e-9, 0) / (2 * math.log(2.0))) + 0.2 * np.minimum(1, np.abs(length[q][:, None] - length[m][None]) / math.log(4.0)) - 1e-12
-                low[rank[m][None] >= rank[q][:, None]] = np.inf
+                low = y[q] @ (-2 * y[m].T)
+                low += square[q][:, None]
+                low += square[m][None]
+                low.clip(0, None, out=low)
+                low **= 0.5
+                h = root[q] @ root[m].T
+                np.subtract(most - kind(4 * (len(code) + 8) * eps), h, out=h)
+                low += js_floor(h) * kind(0.35)
+                np.subtract(off[q][:, None], off[m][None], out=h)
+                np.abs(h, out=h)
+                low += np.minimum(h, kind(0.2), out=h)
+                low -= gap
+                low[:, ~finite[m]] = np.inf
+                late = np.searchsorted(rank[m], rank[q].min())
+                low[:, late:][rank[m[late:]][None] >= rank[q][:, None]] = np.inf
                 first = low.argmin(1)
                 has = np.flatnonzero(np.isfinite(low[np.arange(len(q)), first]))
                 top = np.full(len(q), -1.0)
