@@ -368,3 +368,12 @@ def test_select_helpers(spark):
     r = select.seeded_round(t.withColumn("r", F.lit(1)), "r", "k", "c").orderBy("position").collect()
     assert r[0].k == "c" and len(r) == 3
     assert {x.prefix: x.n for x in select.scaling_prefixes(t.withColumn("g", F.lit(1)).select("g", "o", "n"), ["g"], "o", ["n"]).collect()} == {1: 3, 2: 7, 3: 12}
+
+
+def test_nearest_quantiles_beside_a_state_without_distance(spark, tmp_path):
+    from tracelake.queries import platform
+
+    state = lambda v: [[v] * 8] * 20
+    rows = [("a", "f", 9, "L", {"u:1": 1}, state(float("nan"))), ("b", "f", 9, "L", {"u:1": 1}, state(0.5)), ("c", "f", 9, "L", {"u:1": 1}, state(0.0))]
+    spark.createDataFrame(rows, "uid string, fingerprint string, length int, weapon string, ngrams map<string,bigint>, state array<array<float>>").write.parquet(str(tmp_path / "diversity_features.parquet"))
+    assert [tuple(r) for r in platform.diversity_nearest_quantiles(spark, str(tmp_path)).collect()] == [(1, 0.225, 0.225, 0.225)]
