@@ -377,3 +377,35 @@ def test_nearest_quantiles_beside_a_state_without_distance(spark, tmp_path):
     rows = [("a", "f", 9, "L", {"u:1": 1}, state(float("nan"))), ("b", "f", 9, "L", {"u:1": 1}, state(0.5)), ("c", "f", 9, "L", {"u:1": 1}, state(0.0))]
     spark.createDataFrame(rows, "uid string, fingerprint string, length int, weapon string, ngrams map<string,bigint>, state array<array<float>>").write.parquet(str(tmp_path / "diversity_features.parquet"))
     assert [tuple(r) for r in platform.diversity_nearest_quantiles(spark, str(tmp_path)).collect()] == [(1, 0.225, 0.225, 0.225)]
+
+
+def test_nearest_quantiles_moves_no_row_per_pair(spark, tmp_path):
+    """Records meet without an exchange of rows per block, and repeated, equal and unusual ones (exact ties, halves that aren't enough for a state, large counts, a rare weapon) keep their nearest."""
+    import numpy as np
+    from tracelake.queries import platform
+
+    r = np.random.default_rng(2)
+    near = lambda v: (r.integers(0, 2, (4, 8)) * v + r.random((4, 8))).astype(np.float32)
+    rows = [(f"u{i:03d}", "f", int(r.integers(5, 300)), "S" if i != 150 else "rare", {f"u:{k}": int(r.integers(1, 90000 if i % 5 == 0 else 9)) for k in r.choice(12, 6, False)}, (near(1) if i % 3 else np.round(near(0) * 8) / 8).tolist()) for i in range(200)]
+    rows += [(f"w{i:03d}", *rows[i][1:]) for i in range(0, 60, 2)]  # the same under later uids
+    rows += rows[::7]
+    types = "uid string, fingerprint string, length int, weapon string, ngrams map<string,bigint>, state array<array<float>>"
+    spark.createDataFrame(rows, types).write.parquet(str(tmp_path / "diversity_features.parquet"))
+    found = diversity.nearest_blended(platform._features(spark, str(tmp_path), repeated=True), 16)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got, each = {x.uid: x for x in found.collect()}, sorted({x[0]: x for x in rows}.values(), key=lambda x: x[0])
+    assert len(got) == len(each) == found.count() == 230
+
+    def distance(a, b):
+        p, q = ({k: v / sum(x[4].values()) for k, v in x[4].items()} for x in (a, b))
+        half = lambda s, t: sum(v * math.log2(2 * v / (v + t.get(k, 0))) for k, v in s.items())
+        rms = np.sqrt(((np.array(a[5]) - np.array(b[5])) ** 2).mean())
+        return 0.45 * rms + 0.35 * math.sqrt(max(0, (half(p, q) + half(q, p)) / 2)) + 0.2 * min(1, abs(math.log((a[2] + 1) / (b[2] + 1))) / math.log(4))
+
+    for i, a in enumerate(each):
+        pool = {b[0]: distance(a, b) for b in [b for b in each[:i] if b[3] == a[3]] or each[:i]}
+        best = min(pool.items(), key=lambda x: (round(x[1], 9), x[0]), default=(None, None))
+        assert got[a[0]].nearest == best[0] and got[a[0]].distance == (None if best[0] is None else pytest.approx(best[1], abs=1e-7))
+    assert got["w000"].nearest == "u000" and got["w000"].distance == 0
+    distances = [x.distance for x in got.values() if x.distance is not None]
+    assert [tuple(x) for x in platform.diversity_nearest_quantiles(spark, str(tmp_path)).collect()] == [(229, *(pytest.approx(np.quantile(distances, k), abs=1e-5) for k in (0.1, 0.5, 0.9)))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,116 +120,56 @@ def js_floor(h):
     return h
 
 
-def nearest_blended(features: DataFrame, block: int = 8000) -> DataFrame:
+def nearest_blended(features: DataFrame, block: int = 12000) -> DataFrame:
     """uid, weapon, nearest, distance: for every record the nearest earlier one (smaller uid) of its weapon under the blended distance, of all weapons
     where its own has none earlier; nearest and distance are null for the very first. Of equal distances the smaller uid counts.
 
-    features: distinct uid, weapon, length, ngrams, state. Unknown weapons are a stratum of their own. Records without n-grams or state have no distance and are left
-    out; states of another size can't be compared, so a record meets only those of its size. Exact: all pairs of a stratum meet, as tiles of two blocks. Two matrix products
-    give bounds of every pair (root mean square as it is; for the Jensen-Shannon distance see ``js_floor``), in single precision less its largest error, and only pairs
-    whose lower bound is under the best distance of the record are worked out. No pair of rows is emitted, only the best per tile."""
+    features: uid, weapon, length, ngrams, state; a uid counts once. Unknown weapons are a stratum of their own. Records without n-grams or state have no distance and are left
+    out; states of another size can't be compared, so a record meets only those of its size. Exact: all pairs of a stratum meet (see ``nearest.Nearest``).
+
+    Records are packed and written once, in files of about ``block`` rows, each a range of uids. The queries of a task are a run of files of one stratum, or small strata as a whole; it
+    reads the files up to these itself, one after the other, so no row is shuffled for the sake of a pair. The shared folder must be one that pyarrow opens by its address."""
     import numpy as np
     import pyarrow as pa
 
-    kind = "float" if dict(features.dtypes)["state"] == "array<array<float>>" else "double"  # what moves is as wide as what is given
+    from tracelake.operators import nearest
+
+    kind = "float" if dict(features.dtypes)["state"] == "array<array<float>>" else "double"
     t = features.select("uid", F.coalesce("weapon", F.lit("")).alias("weapon"), F.col("length").cast("double").alias("length"), F.map_keys("ngrams").alias("grams"), F.map_values("ngrams").alias("counts"),
                         F.flatten("state").cast(f"array<{kind}>").alias("state")).where("uid IS NOT NULL AND length IS NOT NULL AND size(state) > 0 AND aggregate(counts, 0L, (a, x) -> a + coalesce(x, 0L)) > 0")
-    code = {r.g: i for i, r in enumerate(t.select(F.explode("grams").alias("g")).distinct().orderBy("g").collect())}  # bounded by the alphabet of the steps, not by the records
-
-    def coded(batches):
+    code = {r.g: i for i, r in enumerate(features.select(F.explode(F.map_keys("ngrams")).alias("g")).distinct().orderBy("g").collect())}  # bounded by the alphabet of the steps, not by the records
+    n = features.count()
+    files = max(1, math.ceil(n / block))
+    some = features.select("uid").where((F.pmod(F.xxhash64("uid"), F.lit(max(1, n // (100 * files)))) == 0) & F.col("uid").isNotNull()).distinct().orderBy("uid").collect()  # about a hundred a file
+    borders = [some[len(some) * k // files].uid for k in range(1, files)] if some else []
+
+    def pack(batches):
+        ends = lambda lists: np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
         for b in batches:
-            lists = b.column("grams")
-            codes = pa.array([code[g] for g in lists.flatten().to_pylist()], pa.int32())
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("uid", "weapon", "length")], pa.ListArray.from_arrays(pa.array(ends), codes), *[b.column(c) for c in ("counts", "state")]], names=["uid", "weapon", "length", "grams", "counts", "state"])
-
-    rows = stage(t.mapInArrow(coded, f"uid string, weapon string, length double, grams array<int>, counts array<bigint>, state array<{kind}>"), "blended").withColumn("size", F.size("state"))
-    firsts = rows.groupBy("size", "weapon").agg(F.min("uid").alias("first"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a weapon
-    placed = rows.join(F.broadcast(firsts), ["size", "weapon"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(5)), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = placed.select(*rows.columns, "block", other).select(*rows.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.lit(False).alias("opens"))
-    each = firsts.select("size", F.col("weapon").alias("into"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    opening = placed.where("uid = first").join(F.broadcast(each), "size").where("into <> weapon").select(*[F.col("into").alias("weapon") if c == "weapon" else c for c in rows.columns], "i", F.col("i").alias("j"), F.lit(-1).alias("block"), F.lit(True).alias("opens"))
-
-    def dense(part: pa.Table) -> tuple:
-        n = part.num_rows
-        x = part.column("state").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-        p = np.zeros((n, len(code)))
-        g, c = part.column("grams").combine_chunks(), part.column("counts").combine_chunks()
-        np.add.at(p, (np.repeat(np.arange(n), g.value_lengths().to_numpy(zero_copy_only=False)), g.flatten().to_numpy()), np.nan_to_num(c.flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
-        p /= p.sum(1, keepdims=True)
-        return np.array(part.column("uid").to_pylist(), dtype=object), x, p, np.sqrt(p), np.log(part.column("length").to_numpy() + 1)
-
-    def log_term(p, m):
-        return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(m > 0, m, 1)), 0).sum(1)
-
-    def best(part: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(part.column("uid").to_pylist(), dtype=object), kind="stable")
-        part = part.take(pa.array(order))
-        uid, x, p, root, length = dense(part)
-        _, rank = np.unique(uid.astype(str), return_inverse=True)
-        opens, own, i, j = part.column("opens").to_numpy(), part.column("block").to_numpy(), part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        member = np.flatnonzero(~opens)
-        got = []
-
-        def exact(a, b):
-            out = np.empty(len(a))
-            for s in range(0, len(a), 4096):
-                u, v = a[s : s + 4096], b[s : s + 4096]
-                m = (p[u] + p[v]) / 2
-                js = np.sqrt(np.maximum((log_term(p[u], m) + log_term(p[v], m)) / 2, 0))
-                rms = np.sqrt(((x[u] - x[v]) ** 2).mean(1))
-                out[s : s + 4096] = 0.45 * rms + 0.35 * js + 0.2 * np.minimum(1, np.abs(length[u] - length[v]) / math.log(4.0))
-            return out
-
-        # bounds in single precision: a product of k terms is off by at most k eps times the norms
-        finite = np.isfinite(x).all(1)  # other rows have no distance
-        kind = np.float32 if np.abs(x[finite]).max(initial=0) < 1e15 else np.float64
-        eps = float(np.finfo(kind).eps)
-        y = ((x - (x[finite].mean(0) if finite.any() else 0)) * (0.45 / math.sqrt(x.shape[1]))).astype(kind)
-        square = (y**2).sum(1) * kind(1 - 4 * (x.shape[1] + 8) * eps)
-        root = root.astype(kind)
-        off = (length * (0.2 / math.log(4.0))).astype(kind)
-        most = kind(1 + 2 * (len(code) + 8) * eps)
-        gap = kind(1e-12 + 64 * eps * (1 + np.abs(off).max(initial=0) + math.sqrt(float(square[finite].max(initial=0)))))
-        # in a tile of two blocks, rows meet only those of the other block; rows that open a stratum meet all
-        meets = [(np.flatnonzero(opens), member)] + ([(np.flatnonzero((own == a) & ~opens), np.flatnonzero((own == b) & ~opens)) for a, b in ((i, j), (j, i))] if i != j else [(member, member)])
-        for asks, pool in meets:
-            for s in range(0, len(asks), 256):
-                q = asks[s : s + 256]
-                m = pool[: np.searchsorted(rank[pool], rank[q].max())] if len(q) else pool[:0]  # the pool is in order of uid
-                if not len(m):
-                    continue
-                low = y[q] @ (-2 * y[m].T)
-                low += square[q][:, None]
-                low += square[m][None]
-                low.clip(0, None, out=low)
-                low **= 0.5
-                h = root[q] @ root[m].T
-                np.subtract(most - kind(4 * (len(code) + 8) * eps), h, out=h)
-                low += js_floor(h) * kind(0.35)
-                np.subtract(off[q][:, None], off[m][None], out=h)
-                np.abs(h, out=h)
-                low += np.minimum(h, kind(0.2), out=h)
-                low -= gap
-                low[:, ~finite[m]] = np.inf
-                late = np.searchsorted(rank[m], rank[q].min())
-                low[:, late:][rank[m[late:]][None] >= rank[q][:, None]] = np.inf
-                first = low.argmin(1)
-                has = np.flatnonzero(np.isfinite(low[np.arange(len(q)), first]))
-                top = np.full(len(q), -1.0)
-                top[has] = exact(q[has], m[first[has]])
-                a, b = np.nonzero(low <= top[:, None])
-                d = exact(q[a], m[b])
-                pick = np.lexsort((rank[m[b]], d, a))
-                pick = pick[np.unique(a[pick], return_index=True)[1]]
-                got += zip(uid[q[a[pick]]], uid[m[b[pick]]], d[pick].tolist())
-        cols = list(zip(*got)) if got else [(), (), ()]
-        return pa.table({"uid": pa.array(cols[0], pa.string()), "nearest": pa.array(cols[1], pa.string()), "distance": pa.array(cols[2], pa.float64())})
+            uid, grams, counts, state = (b.column(c) for c in ("uid", "grams", "counts", "state"))
+            words = grams.flatten().dictionary_encode()
+            codes = np.array([code[g] for g in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy()]
+            bits = [nearest.packed(state.flatten().to_numpy(zero_copy_only=False), ends(state), nearest.STATES), nearest.packed(codes, ends(grams), nearest.CODES),
+                    nearest.packed(counts.flatten().fill_null(0).to_numpy().astype(np.int64), ends(counts), nearest.COUNTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(borders, u) for u in uid.to_pylist()], pa.int32()), uid, b.column("weapon"), b.column("length"), *[pa.array(np.diff(ends(x)), pa.int32()) for x in (state, grams)], *[pa.array(x, pa.binary()) for x in bits]],
+                                             names=["file", "uid", "weapon", "length", "size", "kinds", "state", "grams", "counts"])
+
+    rows = t.mapInArrow(pack, "file int, uid string, weapon string, length double, size int, kinds int, state binary, grams binary, counts binary")
+    rows = stage(rows.repartition(files, "file").dropDuplicates(["file", "uid"]).sortWithinPartitions("file", "uid"), "blended")
+    held = rows.groupBy("file", F.input_file_name().alias("path"), "size", "weapon").agg(F.count("*").alias("n"), F.min("uid").alias("first")).collect()  # a row a file and stratum
+    paths = sorted({(r.file, r.path) for r in held})
+    place, strata = {p: k for k, p in enumerate(paths)}, {}
+    for r in sorted(held, key=lambda r: (r.file, r.path)):
+        strata.setdefault((r.size, r.weapon), []).append((place[r.file, r.path], r.n, r.first))
+    work = nearest.jobs(strata, block) if strata else []
+    openers = frozenset(u for j in work for u in j.openers)
+
+    def search(batches):
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                yield from work[k].run(paths, len(code), block, openers)
 
-    found = tiles.unionByName(opening).groupBy("size", "weapon", "i", "j").applyInArrow(best, "uid string, nearest string, distance double")
-    one = found.groupBy("uid").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("uid", "b.nearest", "b.distance")
-    return rows.select("uid", "weapon").join(one, "uid", "left").select("uid", "weapon", "nearest", "distance")
+    return features.sparkSession.range(0, len(work), 1, max(1, len(work))).mapInArrow(search, "uid string, weapon string, nearest string, distance double")
 
 
 def select_diverse(candidates: DataFrame, references: DataFrame, least: float, distance, whole_pool: bool = False) -> DataFrame:

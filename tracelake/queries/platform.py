@@ -264,9 +264,9 @@ v AS (SELECT a, b, k, sum(pa) AS x, sum(pb) AS y FROM u WHERE b IS NOT NULL GROU
 js AS (SELECT a, b, sqrt(greatest(0, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2)) AS js FROM v GROUP BY 1, 2)"""
 
 
-def _features(spark, d):
-    f = table(spark, d, "diversity_features").dropDuplicates(["uid"])
-    return f.withColumn("weapon", F.regexp_replace(F.lower("weapon"), "[^a-z0-9]+", ""))
+def _features(spark, d, repeated=False):
+    f = table(spark, d, "diversity_features")
+    return (f if repeated else f.dropDuplicates(["uid"])).withColumn("weapon", F.regexp_replace(F.lower("weapon"), "[^a-z0-9]+", ""))
 
 
 def _neighbours(spark, d, state="size(state) = 20"):
@@ -320,7 +320,7 @@ def js_distance_all(spark, d):
 @query()
 def diversity_nearest(spark, d):
     """For every record its nearest earlier one of the same weapon (else of all) under the blended distance."""
-    return diversity.nearest_blended(_features(spark, d))
+    return diversity.nearest_blended(_features(spark, d, repeated=True))
 
 
 @query()
